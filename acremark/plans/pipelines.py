@@ -1,0 +1,244 @@
+"""Whole analyses, from stored tables to the table a user asked for."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from acremark.bbox import BBox
+from acremark.functions.scoring import Weights
+from acremark.operators import coverage, filters, geometry, graph, hotspots, imagery, presentation, prices, ranking
+from acremark.operators.filters import BOUNDS
+from acremark.operators.upsert import insert_if_absent, upsert
+
+
+def hotspot_mesh(features: DataFrame, box: BBox, types: list[tuple[str, str]], run_id: str, nx: int = 28,
+                 kernel_m: float = 450.0, min_norm: float = 0.0) -> DataFrame:
+    """Kernel mesh of every category, numbered by score over all of them."""
+    points = filters.match_tags(features.where(filters.feature_overlaps_bbox(box)), types)
+    mesh = hotspots.kernel_mesh(points, box, nx, kernel_m, min_norm, "center_lat", "center_lon")
+    return hotspots.number_cells(mesh, run_id, ["category", "y", "x", "t"])
+
+
+def mesh_category_stats(features: DataFrame, cells: DataFrame, box: BBox, types: list[tuple[str, str]]) -> DataFrame:
+    """Per requested category: stored points and mesh triangles, zeros included."""
+    points = filters.match_tags(features.where(filters.feature_overlaps_bbox(box)), types)
+    wanted = filters.types_frame(features.sparkSession, types).select("category")
+    stored = points.groupBy("category").agg(F.count("*").alias("stored_matching_points"))
+    made = cells.groupBy("category").agg(F.count("*").alias("mesh_triangles"))
+    return wanted.join(stored, "category", "left").join(made, "category", "left").fillna(0)
+
+
+def quadtree_points(features: DataFrame, box: BBox, types: list[tuple[str, str]],
+                    default: hotspots.QuadtreeConfig = hotspots.QuadtreeConfig(),
+                    per_category: dict[str, hotspots.QuadtreeConfig] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(thinned points inside the box, per-category counts of each step)."""
+    from acremark.functions.geo import in_bbox
+
+    matched = filters.match_tags(features.where(filters.feature_overlaps_bbox(box)), types)
+    inside = in_bbox(F.col("center_lat"), F.col("center_lon"), box)
+    radius = hotspots._setting("dedupe_radius_m", default, per_category or {})
+    thinned = hotspots.thin_by_radius(
+        matched.where(inside), ["osm_type", "osm_id"], ["category"], radius, box.mid_lat, "center_lat", "center_lon"
+    )
+    wanted = filters.types_frame(features.sparkSession, types).select("category")
+    counts = matched.groupBy("category").agg(
+        F.count("*").alias("stored_matching_points"), F.count_if(inside).alias("in_bbox_points"),
+        F.count_if(~inside).alias("outside_bbox_points"),
+    )
+    kept = thinned.groupBy("category").agg(F.count("*").alias("deduped_points"))
+    stats = wanted.join(counts, "category", "left").join(kept, "category", "left").fillna(0)
+    return thinned, stats
+
+
+def hotspot_quadtree(features: DataFrame, box: BBox, types: list[tuple[str, str]],
+                     default: hotspots.QuadtreeConfig = hotspots.QuadtreeConfig(),
+                     per_category: dict[str, hotspots.QuadtreeConfig] | None = None) -> DataFrame:
+    """Thinned points, adaptive cells, overlaps suppressed, scores normalised over all categories."""
+    points, _ = quadtree_points(features, box, types, default, per_category)
+    cells = hotspots.quadtree_hotspots(points, box, default, per_category, "center_lat", "center_lon")
+    limit = hotspots._setting("max_overlap_ratio", default, per_category or {})
+    kept = hotspots.suppress_overlaps(cells, limit)
+    # a table of cells, bounded by the depth of the tree
+    return hotspots.normalise_by_max(kept, "score", [])
+
+
+def hotspot_grid(features: DataFrame, box: BBox, types: list[tuple[str, str]], n: int, limit: int) -> DataFrame:
+    """The uniform grid over features with any of the tags."""
+    from acremark.functions.geo import in_bbox
+
+    chosen = features.where(in_bbox(F.col("center_lat"), F.col("center_lon"), box)).where(
+        filters.has_any_tag(F.col("tags_json"), types)
+    )
+    return hotspots.uniform_grid(chosen, box, n, limit)
+
+
+def probe_area(spark, box: BBox, step_m: float, parcels: DataFrame, points: DataFrame, max_requests: int = 0,
+               expected_commune: str | None = None, gates: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples of one area within the request budget, and their counters."""
+    area = spark.createDataFrame(
+        [("area", box.min_lat, box.min_lon, box.max_lat, box.max_lon)], "area_id string, " + ", ".join(f"{b} double" for b in BOUNDS)
+    )
+    samples = coverage.judged_samples(area, "area_id", step_m, parcels, points, expected_commune, gates)
+    used = coverage.within_budget(samples, max_requests)
+    return used, coverage.coverage_counts(used, "area_id")
+
+
+def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run_id: str, max_candidates: int = 20,
+                    step_m: float = 35.0, max_requests: int = 50, expected_commune: str | None = None,
+                    strict_commune: bool = False, excluded: list[str] = (), gates: dict | None = None,
+                    target_parcels: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Parcels found under the best cells of a run: (links, one status row per candidate).
+
+    All candidates are probed in one join. A candidate is out of scope or empty by what its points
+    up to the first uncovered one show. With ``target_parcels``, candidates after the one that
+    reaches it are left out (1 stops at the first hit).
+    """
+    candidates = ranking.ranked_candidates(cells, run_id, max_candidates, excluded)
+    samples = coverage.judged_samples(
+        candidates, "candidate_index", step_m, parcels, points, expected_commune if strict_commune else None, gates
+    )
+    first_look = F.col("uncovered_before") < 1
+    in_budget = first_look if max_requests <= 1 else F.col("uncovered_before") < max_requests
+
+    def seen(outcome: str):
+        return F.count_if(first_look & (F.col("outcome") == outcome))
+
+    looks = samples.groupBy("candidate_index").agg(
+        seen("out_of_scope").alias("o"), seen("uncovered").alias("u"), seen("found").alias("f"),
+        F.count_if(in_budget).alias("points"), F.count_if(in_budget & (F.col("outcome") == "uncovered")).alias("requests"),
+    )
+    state = F.when(F.col("o") > 0, "out_of_scope").when((F.col("u") > 0) & (F.col("f") == 0), "empty").otherwise("probed")
+    looked = looks.select("candidate_index", state.alias("status"), "points", "requests")
+    found = samples.where(in_budget & (F.col("outcome") == "found")).join(
+        looked.where("status = 'probed'").select("candidate_index"), "candidate_index", "left_semi"
+    )
+    firsts = found.groupBy("parcel_id").agg(F.min("candidate_index").alias("candidate_index"))
+    hits = firsts.groupBy("candidate_index").agg(F.count("*").alias("new_parcels"))
+    # at most ``max_candidates`` rows from here on
+    before = Window.orderBy("candidate_index").rowsBetween(Window.unboundedPreceding, -1)
+    progress = looked.join(hits, "candidate_index", "left").fillna(0, subset=["new_parcels"]).withColumn(
+        "linked_before", F.coalesce(F.sum("new_parcels").over(before), F.lit(0))
+    )
+    tested = progress.where(F.col("linked_before") < target_parcels) if target_parcels else progress
+    w, s, e, n = (F.col(f"bbox_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    labels = candidates.join(tested.select("candidate_index"), "candidate_index", "left_semi").select(
+        "candidate_index", F.concat_ws(",", w, s, e, n).alias("source_bbox")
+    )
+    links = firsts.join(labels, "candidate_index").select(
+        F.lit(run_id).alias("run_id"), "parcel_id", "candidate_index", "source_bbox",
+        F.lit(expected_commune).cast("string").alias("expected_commune"),
+    )
+    return links, tested
+
+
+def candidate_rollup(tested: DataFrame, strict_commune: bool = False) -> DataFrame:
+    """One row about a linking run: how many candidates were tested and what became of them."""
+    none = "no_in_scope_parcels" if strict_commune else "no_parcels_found"
+    totals = tested.agg(
+        F.count("*").alias("tested_candidates"),
+        F.count_if(F.col("status") == "empty").alias("empty_candidates"),
+        F.count_if(F.col("status") == "out_of_scope").alias("out_of_scope_candidates"),
+        F.coalesce(F.sum("new_parcels"), F.lit(0)).alias("linked_parcels"),
+        F.min(F.when(F.col("new_parcels") > 0, F.col("candidate_index"))).alias("selected_candidate"),
+    )
+    return totals.withColumn("status", F.when(F.col("linked_parcels") > 0, "ok").otherwise(none))
+
+
+def store_links(stored: DataFrame, links: DataFrame) -> DataFrame:
+    """Links to append: the first candidate of a parcel wins, stored links stay."""
+    return insert_if_absent(stored, links, ["run_id", "parcel_id"], [F.col("candidate_index")])
+
+
+def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataFrame | None = None,
+               checks: DataFrame | None = None, tile_km: float = 2.0, margin_m: float = 50.0,
+               failed_tiles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Scan landed price records for all parcels not yet checked.
+
+    Returns the observations, the tiles to fetch, the checks of this scan and its totals. Tiles in
+    ``failed_tiles`` (tile_id, error) mark their parcels as failed, to be taken up by the next scan.
+    """
+    pending = filters.fully_located(parcels)
+    if checks is not None:
+        pending = pending.join(checks.where("status = 'ok'").select("parcel_id"), "parcel_id", "left_anti")
+    tiles, members = prices.scan_tiles(pending, tile_km, margin_m)
+    observations = prices.price_observations(records, run_id, index)
+    stats = prices.stats_per_parcel(members, observations)
+    status = members.join(stats, "parcel_id")
+    if failed_tiles is None:
+        status = status.withColumn("status", F.lit("ok")).withColumn("error_message", F.lit(None).cast("string"))
+    else:
+        known = failed_tiles.select("tile_id", F.substring("error", 1, 500).alias("error_message"))
+        status = status.join(known, "tile_id", "left").withColumn(
+            "status", F.when(F.col("error_message").isNull(), "ok").otherwise("error")
+        )
+    checked = status.withColumn("run_id", F.lit(run_id))
+    tile_status = checked.groupBy("tile_id").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise("error")).alias("status"))
+    return {
+        "observations": observations, "tiles": tiles, "checks": checked,
+        "totals": prices.scan_totals(tile_status, checked),
+    }
+
+
+def merge_checks(stored: DataFrame, checks: DataFrame) -> DataFrame:
+    return upsert(stored, checks, ["parcel_id"], ["run_id", "tile_id"])
+
+
+def geometry_features(points: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Moments of all parcels, or of those named, with the geometry digest they were made from."""
+    chosen = points if ids is None else points.join(ids.select("parcel_id").distinct(), "parcel_id", "left_semi")
+    digests = geometry.geometry_hash(chosen).withColumnRenamed("geometry_hash", "source_geometry_hash")
+    return geometry.polygon_moments(chosen).join(digests, "parcel_id")
+
+
+def geometry_summary(features: DataFrame) -> DataFrame:
+    return features.agg(F.count_if(F.col("error").isNull()).alias("computed"), F.count("error").alias("errors"))
+
+
+ALGORITHM_VERSION = "deriv_parcel_visual_features_v1"  # fixed value, stored with the rows
+
+
+def visual_features(points: DataFrame, strips: DataFrame, zoom: int, image_source: str, tile_size: int = 256) -> DataFrame:
+    """Colour figures of every parcel with pixels, ready to store."""
+    figures = imagery.pixel_statistics(imagery.parcel_pixels(points, strips, zoom, tile_size))
+    tiles = imagery.parcel_tiles(points, zoom, tile_size).groupBy("parcel_id").agg(F.count("*").alias("tile_count"))
+    digests = geometry.geometry_hash(points).withColumnRenamed("geometry_hash", "source_geometry_hash")
+    return figures.join(tiles, "parcel_id").join(digests, "parcel_id").withColumns({
+        "zoom": F.lit(zoom), "image_source": F.lit(image_source), "algorithm_version": F.lit(ALGORITHM_VERSION),
+    })
+
+
+def rank_run(links: DataFrame, parcels: DataFrame, geometry_table: DataFrame | None, visual_table: DataFrame | None,
+             run_id: str, gates: ranking.Gates = ranking.Gates(), weights: Weights = Weights(),
+             limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(top parcels of a run, funnel)."""
+    rows = ranking.ranking_rows(links, parcels, geometry_table, visual_table, run_id)
+    return ranking.rank_parcels(rows, gates, weights, limit), ranking.funnel(rows, gates, limit)
+
+
+def presentation_bundle(runs: list[str], cells: DataFrame, features: DataFrame, parcels: DataFrame, points: DataFrame,
+                        links: DataFrame, prices_table: DataFrame | None, geometry_table: DataFrame | None,
+                        visual_table: DataFrame | None, types: list[tuple[str, str, str, str]], box: BBox,
+                        limit: int = 0) -> dict[str, DataFrame]:
+    """All tables of a map page of several runs."""
+    shown = ranking.top_rows(cells, runs, limit)
+    spots = presentation.points_of_runs(shown, features, box, types)
+    return {
+        "cells": shown,
+        "points": spots,
+        "parcels": presentation.map_parcels(parcels, points, links, runs, prices_table, geometry_table, visual_table),
+        "categories": presentation.categories_union(shown, spots),
+        "top_candidates": ranking.top_distinct_boxes(cells, runs),
+    }
+
+
+def trail_boxes(ways: DataFrame, box: BBox, margin_km: float = 10.0, count: int = 20, size_km: float = 20.0,
+                step_km: float = 7.0) -> dict[str, DataFrame]:
+    """Boxes and sample points along a long easy trail inside the box."""
+    edges = graph.edges_inside(graph.way_edges(filters.easy_trails(ways)), box, margin_km)
+    segments = graph.path_segments(graph.long_path(edges))
+    return {
+        "segments": segments,
+        "boxes": graph.path_boxes(segments, count, size_km, step_km),
+        "route": graph.path_samples(segments),
+    }
