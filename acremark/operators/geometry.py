@@ -178,8 +178,9 @@ def polygon_metrics(parcels: DataFrame, points: DataFrame) -> DataFrame:
     mpl = F.cos(F.radians(F.col("ring_lat"))) * METRES_PER_DEGREE
     edges = ring_edges(outer).select(
         "parcel_id", "ring_points",
-        (F.col("lon0") * mpl).alias("x0"), (F.col("lat0") * METRES_PER_DEGREE).alias("y0"),
-        (F.col("lon1") * mpl).alias("x1"), (F.col("lat1") * METRES_PER_DEGREE).alias("y1"),
+        *[((F.col(c) - F.col(o)) * m).alias(n) for n, c, o, m in (
+            ("x0", "lon0", "ref_lon", mpl), ("y0", "lat0", "ref_lat", METRES_PER_DEGREE),
+            ("x1", "lon1", "ref_lon", mpl), ("y1", "lat1", "ref_lat", METRES_PER_DEGREE))],
     )
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     figures = edges.groupBy("parcel_id").agg(
@@ -212,7 +213,9 @@ def polygon_metrics(parcels: DataFrame, points: DataFrame) -> DataFrame:
 
 def ingest_stats(points: DataFrame) -> DataFrame:
     """What is known of a parcel on arrival: outer-ring area (holes kept), vertex mean, box, digest."""
-    cross = F.col("lon0") * F.col("lat1") - F.col("lon1") * F.col("lat0")
+    # the area does not depend on the origin; a near one keeps the digits
+    x0, y0, x1, y1 = (F.col(c) - F.col(o) for c, o in (("lon0", "ref_lon"), ("lat0", "ref_lat"), ("lon1", "ref_lon"), ("lat1", "ref_lat")))
+    cross = x0 * y1 - x1 * y0
     outer_cross = F.when((F.col("ring_index") == 0) & (F.col("ring_points") >= 3), cross).otherwise(F.lit(0.0))
     rings = ring_edges(points).groupBy(*RING).agg(
         F.sum(outer_cross).alias("cross"),

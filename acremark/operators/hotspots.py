@@ -225,7 +225,8 @@ def quadtree_cells(points: DataFrame, box: BBox, default: QuadtreeConfig = Quadt
     """
     per_category = per_category or {}
     depth = max([default.max_depth, *[c.max_depth for c in per_category.values()]])
-    counted = (
+    # the points are gone through once; what is kept is a table of cells
+    counted = cut_lineage(
         quadtree_members(points.select("category", "tag_key", "tag_value", lat, lon), box, depth, lat, lon)
         .groupBy(*CELL, "tag_key", "tag_value")
         .agg(F.count("*").alias("point_count"),

@@ -15,7 +15,7 @@ def strips_from_pixels(pixels: DataFrame) -> DataFrame:
     """Pixel rows (z, x, y, px, py, r, g, b) as one row per tile line, colours as arrays."""
     spot = F.struct("px", "r", "g", "b")
     lines = pixels.groupBy(*STRIP).agg(F.sort_array(F.collect_list(spot)).alias("line"))
-    return lines.select(*STRIP, *[F.transform("line", lambda p, c=c: p[c]).alias(c) for c in ("r", "g", "b")])
+    return lines.select(*STRIP, "line.r", "line.g", "line.b")
 
 
 def pixels_from_strips(strips: DataFrame) -> DataFrame:

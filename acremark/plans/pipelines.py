@@ -10,6 +10,7 @@ from acremark.functions.scoring import Weights
 from acremark.operators import coverage, filters, geometry, graph, hotspots, imagery, presentation, prices, ranking
 from acremark.operators.filters import BOUNDS
 from acremark.operators.upsert import insert_if_absent, upsert
+from acremark.session import cut_lineage
 
 
 def hotspot_mesh(features: DataFrame, box: BBox, types: list[tuple[str, str]], run_id: str, nx: int = 28,
@@ -95,9 +96,10 @@ def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run
     reaches it are left out (1 stops at the first hit).
     """
     candidates = ranking.ranked_candidates(cells, run_id, max_candidates, excluded)
-    samples = coverage.judged_samples(
+    # probed once, read three times below
+    samples = cut_lineage(coverage.judged_samples(
         candidates, "candidate_index", step_m, parcels, points, expected_commune if strict_commune else None, gates
-    )
+    ))
     first_look = F.col("uncovered_before") < 1
     in_budget = first_look if max_requests <= 1 else F.col("uncovered_before") < max_requests
 

@@ -8,33 +8,17 @@ from pyspark.sql import functions as F
 from acremark.functions.text import canonical_map_json, content_hash, repair_mojibake, repair_tags
 
 POINT = "struct<lat:double,lon:double>"
-ELEMENT = (
-    "type string, id bigint, lat double, lon double, "
-    f"center {POINT}, bounds struct<minlat:double,minlon:double,maxlat:double,maxlon:double>, "
-    f"geometry array<{POINT}>, nodes array<bigint>, "
-    "members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>"
+RESPONSE = (
+    "elements array<struct<type:string,id:bigint,lat:double,lon:double,"
+    f"center:{POINT},bounds:struct<minlat:double,minlon:double,maxlat:double,maxlon:double>,"
+    f"geometry:array<{POINT}>,nodes:array<bigint>,"
+    "members:array<struct<type:string,ref:bigint,role:string>>,tags:map<string,string>>>"
 )
 
 
 def scan_osm_json(spark: SparkSession, path: str) -> DataFrame:
     """One row per element of the landed responses (``{"elements": [...]}``, one response a file)."""
-    payload = spark.read.schema(f"elements array<struct<{_struct(ELEMENT)}>>").json(path, multiLine=True)
-    return payload.select(F.inline("elements"))
-
-
-def _struct(columns: str) -> str:
-    """Turn ``name type`` column text into struct-field text."""
-    out, depth, name = [], 0, True
-    for ch in columns:
-        depth += {"<": 1, ">": -1}.get(ch, 0)
-        if ch == " " and depth == 0 and name and out and out[-1] not in (" ", ","):
-            out.append(":")
-            name = False
-            continue
-        if ch == "," and depth == 0:
-            name = True
-        out.append(ch)
-    return "".join(out).replace(", ", ",")
+    return spark.read.schema(RESPONSE).json(path, multiLine=True).select(F.inline("elements"))
 
 
 def _both(lat: Column, lon: Column, value: Column) -> Column:

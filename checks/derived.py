@@ -6,10 +6,9 @@ The same text feeds both sides, so a difference in a result is a difference in a
 from __future__ import annotations
 
 import os
+import re
 
 # name -> (tables it reads, SELECT)
-D = "CAST({} AS DOUBLE)".format
-
 TABLES: dict[str, tuple[list[str], str]] = {
     # k: order key. A 200-column lattice of parcels; sizes vary with k.
     "fx_lots": (
@@ -96,8 +95,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
         SELECT CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) AS gml_id,
                'P' || lpad(CAST(l_orderkey AS VARCHAR(20)), 8, '0') AS parcel_id,
                CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)) AS transaction_date,
-               CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE replace(CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || '.' || CAST(l_suppkey % 10 AS VARCHAR(20)), '.', ',') END AS parcel_area,
-               CAST(CAST(l_quantity AS INT) * 150 AS VARCHAR(20)) AS property_area,
+               CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE replace(CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || '.' || CAST(l_suppkey % 10 AS VARCHAR(20)) || '37', '.', ',') END AS parcel_area,
+               CAST(CAST(l_quantity AS INT) * 151 AS VARCHAR(20)) AS property_area,
                CASE WHEN l_returnflag = 'R' THEN '' ELSE ' ' || CAST(CAST(floor(l_extendedprice / 1000) AS INT) AS VARCHAR(20)) || ' ' || lpad(CAST(CAST(floor(l_extendedprice) AS INT) % 1000 AS VARCHAR(20)), 3, '0') END AS parcel_price,
                CASE WHEN l_linestatus = 'F' THEN CAST(CAST(floor(l_extendedprice) AS INT) AS VARCHAR(20)) ELSE 'n/a' END AS property_price,
                'r' || CAST(l_suppkey % 3 AS VARCHAR(20)) AS run_id,
@@ -260,13 +259,12 @@ def _base_tables(names: list[str]) -> list[str]:
 def oracle(names: list[str], body: str) -> str:
     """DuckDB SQL: the derived tables as CTEs and then ``body`` (which may start with more CTEs)."""
     ctes = [f"{n} AS ({TABLES[n][1].replace('{one}', '1')})" for n in _with(names)]
-    recursive = "RECURSIVE " if body.lstrip().upper().startswith("RECURSIVE") else ""
     text = body.strip()
-    if recursive:
-        text = text[len("RECURSIVE") :].strip()
-    if text.upper().startswith("WITH "):
-        return f"WITH {recursive}" + ",\n".join(ctes) + ",\n" + text[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + text
+    words = re.match(r"WITH(\s+RECURSIVE)?\s", text, re.IGNORECASE)
+    if not words:
+        return "WITH " + ",\n".join(ctes) + "\n" + text
+    head = "WITH RECURSIVE " if words.group(1) else "WITH "
+    return head + "".join(c + ",\n" for c in ctes) + text[words.end() :]
 
 
 def frame(spark, sf_dir: str, name: str):
