@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acremark.bbox import BBox
@@ -167,16 +167,25 @@ def to_epsg2180(lon, lat) -> Column:
     )
 
 
-def from_epsg2180(x, y) -> Column:
-    """Struct (lon, lat): the inverse series, from the footpoint latitude."""
+def _footpoint(x) -> Column:
     mu = (num(x) - TM_FALSE_NORTHING) / (TM_K0 * GRS80_A * _MERIDIAN_SCALE)
-    foot = mu + _sine_series(mu, _FOOTPOINT_SINES)
-    sin2 = F.sin(foot) * F.sin(foot)
-    w = F.lit(1.0) - sin2 * _E2
-    prime_vertical = F.lit(GRS80_A) / F.sqrt(w)
-    radius = F.lit(GRS80_A * (1 - _E2)) / (w * F.sqrt(w))
-    t = F.tan(foot) * F.tan(foot)
-    c = F.cos(foot) * F.cos(foot) * _EP2
+    return mu + _sine_series(mu, _FOOTPOINT_SINES)
+
+
+def _at_footpoint(foot: Column) -> Column:
+    """What the inverse series needs at the footpoint latitude."""
+    w = F.lit(1.0) - F.sin(foot) * F.sin(foot) * _E2
+    return F.struct(
+        foot.alias("foot"),
+        (F.lit(GRS80_A) / F.sqrt(w)).alias("prime_vertical"),
+        (F.lit(GRS80_A * (1 - _E2)) / (w * F.sqrt(w))).alias("radius"),
+        (F.tan(foot) * F.tan(foot)).alias("t"),
+        (F.cos(foot) * F.cos(foot) * _EP2).alias("c"),
+    )
+
+
+def _off_footpoint(at: Column, y) -> Column:
+    foot, prime_vertical, t, c = at["foot"], at["prime_vertical"], at["t"], at["c"]
     d = (num(y) - TM_FALSE_EASTING) / (prime_vertical * TM_K0)
     d2 = d * d
     drop = _poly(
@@ -198,10 +207,15 @@ def from_epsg2180(x, y) -> Column:
     )
     return F.struct(
         (F.degrees(side / F.cos(foot)) + TM_LON0_DEG).alias("lon"),
-        F.degrees(foot - prime_vertical * F.tan(foot) / radius * drop).alias("lat"),
+        F.degrees(foot - prime_vertical * F.tan(foot) / at["radius"] * drop).alias("lat"),
     )
 
 
+def from_epsg2180(x, y) -> Column:
+    """Struct (lon, lat): the inverse series, from the footpoint latitude."""
+    return _off_footpoint(_at_footpoint(_footpoint(x)), y)
+
+
 def srs_family(srs: Column) -> Column:
     """'2180', '4326' or 'CRS84', null for anything else."""
     name = F.upper(srs)
@@ -212,21 +226,32 @@ def srs_family(srs: Column) -> Column:
     )
 
 
-def to_lonlat(first: Column, second: Column, srs: Column, axis_order: str = "auto") -> Column:
-    """Struct (lon, lat) of one coordinate pair. An unknown system is an error."""
-    if axis_order == "auto":
-        # latitude first only for EPSG:4326 proper
-        swapped = (srs_family(srs) == "4326") & ~F.upper(srs).contains("CRS84")
-    else:
-        swapped = F.lit(axis_order == "yx")
-    x = F.when(swapped, second).otherwise(first)
-    y = F.when(swapped, first).otherwise(second)
-    plain = F.struct(x.alias("lon"), y.alias("lat"))
-    unknown = F.raise_error(F.concat(F.lit("no conversion from "), srs)).cast("struct<lon:double,lat:double>")
-    return (
-        F.when(srs_family(srs) == "2180", from_epsg2180(x, y))
-        .when(srs_family(srs).isNotNull(), plain)
-        .otherwise(unknown)
+def with_lonlat(frame: DataFrame, first: Column, second: Column, srs: str, axis_order: str = "auto") -> DataFrame:
+    """Add ``lon`` and ``lat`` of coordinate pairs in the system named by column ``srs``.
+
+    The steps of the inverse projection are columns of their own, so each is computed once and the
+    generated code stays small. An unknown system is an error.
+    """
+    family = srs_family(F.col(srs))
+    swapped = family == "4326" if axis_order == "auto" else F.lit(axis_order == "yx")
+    unknown = F.raise_error(F.concat(F.lit("no conversion from "), F.col(srs))).cast("double")
+
+    def pick(part: str, plain: str) -> Column:
+        return (
+            F.when(F.col("_family") == "2180", F.col("_off")[part]).when(F.col("_family").isNotNull(), F.col(plain))
+            .otherwise(unknown)
+        )
+
+    steps = (
+        frame.withColumn("_family", family)
+        .withColumn("_x", F.when(swapped, second).otherwise(first))
+        .withColumn("_y", F.when(swapped, first).otherwise(second))
+        .withColumn("_foot", _footpoint(F.col("_x")))
+        .withColumn("_at", _at_footpoint(F.col("_foot")))
+        .withColumn("_off", _off_footpoint(F.col("_at"), F.col("_y")))
+    )
+    return steps.withColumn("lon", pick("lon", "_x")).withColumn("lat", pick("lat", "_y")).drop(
+        "_family", "_x", "_y", "_foot", "_at", "_off"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acremark.functions.geo import to_lonlat
+from acremark.functions.geo import with_lonlat
 
 # Element names of the usual parcel service, by stored column.
 FIELD_MAP = {
@@ -26,7 +26,7 @@ def scan_parcel_gml(spark: SparkSession, path: str, field_map: dict[str, str | N
                     geometry_field: str = "msGeometry", row_tag: str = "dzialki") -> DataFrame:
     """One row per feature with its named fields and its polygons; features without id are dropped.
 
-    Spark's XML source splits files at the row tag, so a large response is never held whole.
+    Spark's XML source streams a file row tag by row tag, so a large response is never held whole.
     """
     names = sorted({n for n in field_map.values() if n})
     geometry = (
@@ -88,10 +88,8 @@ def gml_ring_points(features: DataFrame, default_srs: str, axis_order: str = "au
         "parcel_id", "polygon_index", "ring_index", srs.alias("srs"),
         F.posexplode(F.when(F.size(words) > 0, from_list).otherwise(from_pairs)).alias("point_index", "p"),
     )
-    spot = to_lonlat(F.col("p.a"), F.col("p.b"), F.col("srs"), axis_order)
-    return vertices.withColumn("spot", spot).select(
-        "parcel_id", "polygon_index", "ring_index", "point_index", "spot.lon", "spot.lat"
-    )
+    placed = with_lonlat(vertices, F.col("p.a"), F.col("p.b"), "srs", axis_order)
+    return placed.select("parcel_id", "polygon_index", "ring_index", "point_index", "lon", "lat")
 
 
 LOOKUP_FIELDS = ["parcel_id", "parcel_number", "commune", "county", "voivodeship", "datasource", "wkt"]

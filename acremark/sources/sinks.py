@@ -34,12 +34,11 @@ def write_rows(frame: DataFrame, path: str, name: str, run_id: str) -> DataFrame
 def write_chunks(viewer: DataFrame, geometry: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """Viewer parcels with geometry, one directory per precinct.
 
-    Rows are clustered by admin columns plus a salt on the parcel id, so that a precinct with very
-    many parcels is written by several tasks and files stay of bounded length.
+    A precinct above ``rows_per_file`` parcels is split by a salt into as many parts as it needs, so
+    that no task and no file holds more than about that many rows; all others make one file.
     """
     keys = ["voivodeship", "county", "commune", "precinct"]
-    joined = viewer.join(geometry, "parcel_id", "left").withColumn("_salt", F.pmod(F.xxhash64("parcel_id"), F.lit(16)))
-    (
-        joined.repartition(*keys, "_salt").drop("_salt")
-        .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).json(path)
-    )
+    parts = viewer.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_file).alias("_parts"))
+    joined = viewer.join(geometry, "parcel_id", "left").join(parts, keys)
+    salted = joined.withColumn("_salt", F.pmod(F.xxhash64("parcel_id"), F.col("_parts"))).drop("_parts")
+    salted.repartition(*keys, "_salt").drop("_salt").write.mode("overwrite").partitionBy(*keys).json(path)

@@ -260,6 +260,8 @@ def oracle(names: list[str], body: str) -> str:
     """DuckDB SQL: the derived tables as CTEs and then ``body`` (which may start with more CTEs)."""
     ctes = [f"{n} AS ({TABLES[n][1].replace('{one}', '1')})" for n in _with(names)]
     text = body.strip()
+    if not ctes:
+        return text
     words = re.match(r"WITH(\s+RECURSIVE)?\s", text, re.IGNORECASE)
     if not words:
         return "WITH " + ",\n".join(ctes) + "\n" + text

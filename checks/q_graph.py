@@ -82,7 +82,7 @@ def _(t):
 @query("positions_on_segments", ["fx_ways", "fx_osm"], f"""WITH line AS (SELECT k, lat, lon, coalesce(sum(leg) OVER (ORDER BY k), 0) AS m FROM (SELECT k, lat, lon, {HAV.format('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS leg FROM (SELECT k, lat, lon FROM fx_ways) a WINDOW w AS (ORDER BY k)) b),
     seg AS (SELECT m AS start_m, lead(m) OVER (ORDER BY k) AS end_m, lat, lon, lead(lat) OVER (ORDER BY k) AS lat2, lead(lon) OVER (ORDER BY k) AS lon2 FROM line),
     pos AS (SELECT osm_id, CAST(osm_id AS DOUBLE) * CAST(997.3 AS DOUBLE) + 1 AS metre FROM fx_osm)
-    SELECT p.osm_id, round(s.lat + (s.lat2 - s.lat) * ((p.metre - s.start_m) / greatest(CAST(0.000000001 AS DOUBLE), s.end_m - s.start_m)), 5) AS lat, round(s.lon + (s.lon2 - s.lon) * ((p.metre - s.start_m) / greatest(CAST(0.000000001 AS DOUBLE), s.end_m - s.start_m)), 5) AS lon
+    SELECT p.osm_id, round(s.lat + (s.lat2 - s.lat) * ((p.metre - s.start_m) / greatest(CAST(0.000000001 AS DOUBLE), s.end_m - s.start_m)), 7) AS lat, round(s.lon + (s.lon2 - s.lon) * ((p.metre - s.start_m) / greatest(CAST(0.000000001 AS DOUBLE), s.end_m - s.start_m)), 7) AS lon
     FROM pos p JOIN seg s ON p.metre > s.start_m AND p.metre <= s.end_m""")
 def _(t):
     """One line through all way points in key order; features give positions along it."""
@@ -100,7 +100,7 @@ def _(t):
     hit = interval_locate(spots, segments, "metre", "start_m", "end_m", 5000.0)
 
     def at(a, b):
-        return F.round(interpolate(F.col(a), F.col(b), F.col("start_m"), F.col("end_m"), F.col("metre")), 5).alias(a)
+        return interpolate(F.col(a), F.col(b), F.col("start_m"), F.col("end_m"), F.col("metre")).alias(a)
 
     return hit.select("osm_id", at("lat", "lat2"), at("lon", "lon2"))
 

@@ -50,10 +50,9 @@ def _(t):
 
 
 @query("hierarchy_groups", ["fx_parcels"], GROUPS + """
-    SELECT level, key, label, count, round(area, 1) AS area_m2, min_lat, min_lon, max_lat, max_lon, round(CASE WHEN area > 0 THEN alat / area ELSE clat END, 6) AS center_lat, round(CASE WHEN area > 0 THEN alon / area ELSE clon END, 6) AS center_lon FROM groups""")
+    SELECT level, key, label, count, round(area, 2) AS area_m2, min_lat, min_lon, max_lat, max_lon, round(CASE WHEN area > 0 THEN alat / area ELSE clat END, 7) AS center_lat, round(CASE WHEN area > 0 THEN alon / area ELSE clon END, 7) AS center_lon FROM groups""")
 def _(t):
-    g = presentation.hierarchy_groups(presentation.viewer_parcels(t("fx_parcels")))
-    return g.withColumns({"area_m2": F.round("area_m2", 1), "center_lat": F.round("center_lat", 6), "center_lon": F.round("center_lon", 6)})
+    return presentation.hierarchy_groups(presentation.viewer_parcels(t("fx_parcels")))
 
 
 @query("densest_groups", ["fx_parcels"], GROUPS + """

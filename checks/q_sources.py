@@ -59,6 +59,17 @@ def _(t):
     return osm.preview_elements(_land_osm(t)).select("type", "id", F.round("lat", 9).alias("lat"), "name")
 
 
+def _land_xml(t, rows, label):
+    """Rows of XML text as feature collections, one file per page as the service hands them out."""
+    head = ('<?xml version="1.0" encoding="UTF-8"?>\t<wfs:FeatureCollection xmlns:wfs="http://www.opengis.net/wfs/2.0" '
+            'xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:ms="http://mapserver.gis.umn.edu/mapserver">')
+    body = F.concat(F.lit(head), F.array_join("rows", "\t"), F.lit("</wfs:FeatureCollection>"))
+    path = scratch_path(t.spark, label)
+    pages = rows.groupBy("page").agg(F.collect_list("row").alias("rows"))
+    pages.select("page", body.alias("value")).write.partitionBy("page").text(path)
+    return path
+
+
 def _gml(t):
     """Parcels as feature members: every third in EPSG:2180, the others latitude-first in EPSG:4326."""
     metric = F.col("parcel_number").cast("long") % 3 == 0
@@ -92,9 +103,8 @@ def _gml(t):
         F.coalesce(F.concat(F.lit("<ms:NAZWA_OBREBU>"), F.col("precinct"), F.lit("</ms:NAZWA_OBREBU>")), F.lit("<ms:NUMER_OBREBU>0007</ms:NUMER_OBREBU>")),
         F.lit("</ms:dzialki></wfs:member>"),
     )
-    path = scratch_path(t.spark, "gml")
-    named.select(value.alias("value")).write.text(path)
-    return parcels.scan_parcel_gml(t.spark, path)
+    page = F.floor(F.col("parcel_number").cast("long") / 500)
+    return parcels.scan_parcel_gml(t.spark, _land_xml(t, named.select(page.alias("page"), value.alias("row")), "gml"))
 
 
 @query("parcel_gml_scan", ["fx_parcels"], "SELECT parcel_id, parcel_number, commune, coalesce(precinct, '0007') AS precinct FROM fx_parcels")
@@ -144,8 +154,8 @@ def _(t):
 def _(t):
     tags = [F.concat(F.lit(f"<ms:{f}>"), F.col(f), F.lit(f"</ms:{f}>")) for f in RECORD_FIELDS if f not in ("dzi_vat", "teryt")]
     value = F.concat(F.lit('<ms:dzialki gml:id="'), F.col("gml_id"), F.lit('">'), *tags, F.lit("</ms:dzialki>"))
-    path = scratch_path(t.spark, "price-xml")
-    _records(t).select(value.alias("value")).write.text(path)
+    page = F.floor(F.split("gml_id", "-")[0].cast("long") / 100)
+    path = _land_xml(t, _records(t).select(page.alias("page"), F.concat(F.lit("<wfs:member>"), value, F.lit("</wfs:member>")).alias("row")), "price-xml")
     rows = tables.scan_price_xml(t.spark, path).where("dzi_vat = '' AND teryt = ''")
     return rows.groupBy("gml_id", F.col("dzi_id_dzialki").alias("parcel_id"), F.col("dok_data").alias("transaction_date"),
                         F.col("dzi_cena_brutto").alias("parcel_price"), F.col("nier_pow_gruntu").alias("property_area")).agg(F.count("*").alias("n"))
