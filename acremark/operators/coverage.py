@@ -10,7 +10,7 @@ from acremark.functions.text import commune_matches
 from acremark.operators.filters import BOUNDS, rejection_reason
 from acremark.operators.geometry import first_parcel_at
 from acremark.operators.ordering import sums_before
-from acremark.operators.spatial import points_in_boxes
+from acremark.operators.spatial import keys_touching, points_in_boxes
 
 
 def sampling_lattice(boxes: DataFrame, step_m: float, key: str) -> DataFrame:
@@ -43,8 +43,14 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
     ``uncovered_before`` counts the uncovered points that come earlier in the same box.
     """
     spots = sampling_lattice(boxes, step_m, key)
-    located = first_parcel_at(spots, points, [key, "ordinal"])
     facts = parcels.select("parcel_id", "commune", "area_m2", *BOUNDS)
+    # outlines are built only for parcels whose box touches a sampled box, or has no known box
+    unknown = F.lit(False)
+    for bound in BOUNDS:
+        unknown = unknown | F.col(bound).isNull()
+    sides = ("bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
+    near = keys_touching(facts, "parcel_id", sides, boxes, sides).union(facts.where(unknown).select("parcel_id"))
+    located = first_parcel_at(spots, points.join(near, "parcel_id", "left_semi"), [key, "ordinal"])
     # the verdict is per parcel, so it is made before the join, once for each
     verdicts = facts.select(
         "parcel_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acremark.functions.geo import METRES_PER_DEGREE, bbox_area_m2, ray_crosses
-from acremark.operators.spatial import points_in_boxes
+from acremark.operators.spatial import box_level, grid_levels, points_in_boxes
 
 RING = ["parcel_id", "polygon_index", "ring_index"]
 CHUNK = 1024  # vertices of one ring that are handled together
@@ -300,8 +300,19 @@ def ring_pieces(points: DataFrame, outer_only: bool = True) -> DataFrame:
         F.min(F.least("lon0", "lon1")).alias("own_min_lon"),
         F.max(F.greatest("lon0", "lon1")).alias("piece_max_lon"),
     )
-    # a ray runs east, so a piece also concerns points west of it, back to the edge of its ring
-    return pieces.withColumn("piece_min_lon", F.min("own_min_lon").over(Window.partitionBy(*RING))).drop("own_min_lon")
+    # a ray runs east, so a piece also concerns points west of it, back to the edge of its ring;
+    # pieces stand on the grid of their ring
+    ring = Window.partitionBy(*RING)
+    bounds = [f(c).over(ring).alias(n) for f, c, n in (
+        (F.min, "own_min_lon", "piece_min_lon"), (F.max, "piece_max_lon", "_e"), (F.min, "piece_min_lat", "_s"), (F.max, "piece_max_lat", "_n"))]
+    placed = pieces.select("*", *bounds)
+    return placed.withColumn("_level", box_level("piece_min_lon", "_s", "_e", "_n")).drop("own_min_lon", "_e", "_s", "_n")
+
+
+def ring_levels(points: DataFrame) -> Column:
+    """Grids that the rings stand on, from one light aggregation of the vertices."""
+    boxes = points.groupBy(*RING).agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
+    return grid_levels(boxes.select(box_level("w", "s", "e", "n").alias("_level")))
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame, point_key: list[str], lon: str = "lon",
@@ -314,6 +325,7 @@ def points_in_polygons(points: DataFrame, vertices: DataFrame, point_key: list[s
     pairs = points_in_boxes(
         points.select(*point_key, lon, lat), pieces, lon, lat,
         ("piece_min_lon", "piece_min_lat", "piece_max_lon", "piece_max_lat"),
+        levels=ring_levels(vertices.where("ring_index = 0")),
     )
     crossings = F.size(
         F.filter("edges", lambda e: ray_crosses(F.col(lon), F.col(lat), e["lon0"], e["lat0"], e["lon1"], e["lat1"]))

@@ -304,8 +304,9 @@ def thin_by_radius(points: DataFrame, order: list[str], group: list[str], radius
 
     Copies at one position are first cut to the earliest, which decides for all of them. Then, on
     cells so small that two points of a cell are always within the radius, only the earliest open
-    point of a cell can be kept next, and no cell ever keeps two. So each round compares an open
-    point with at most 25 candidates and 25 kept points, however crowded a place is.
+    point of a cell can be kept next, and no cell ever keeps two. So a round compares an open point
+    with one candidate and one kept point per small cell around it, some dozens at most, however
+    crowded a place is.
     """
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
     columns = points.columns
@@ -322,46 +323,42 @@ def thin_by_radius(points: DataFrame, order: list[str], group: list[str], radius
         F.min(rank).alias("_rank"), F.first("_radius").alias("_radius"), F.first("_x").alias("_x"), F.first("_y").alias("_y")
     )
     side = F.col("_radius") / math.sqrt(2.0)
+    spot = ["_rank", "_x", "_y"]
+    cell, block = [*group, "_cx", "_cy"], [*group, "_bx", "_by"]
     open_points = cut_lineage(
         firsts.select(
-            *group, "_rank", "_radius", "_x", "_y",
+            *group, *spot, "_radius",
             F.floor(F.col("_x") / side).alias("_cx"), F.floor(F.col("_y") / side).alias("_cy"),
+            F.floor(F.col("_x") / F.col("_radius")).alias("_bx"), F.floor(F.col("_y") / F.col("_radius")).alias("_by"),
         )
     )
-    cell = [*group, "_cx", "_cy"]
 
-    def spread(seeds: DataFrame, name: str) -> DataFrame:
-        """For every cell, the seeds in the 5 x 5 cells around it, at most one from each."""
-        steps = F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)])
-        around = seeds.select(
-            *group, F.struct("_rank", "_x", "_y").alias("_seed"),
-            F.explode(F.transform(steps, lambda d: F.col("_cx") + d)).alias("_cx"), "_cy",
-        ).withColumn("_cy", F.explode(F.transform(steps, lambda d: F.col("_cy") + d)))
-        return around.groupBy(*cell).agg(F.collect_list("_seed").alias(name))
+    def around(seeds: DataFrame) -> DataFrame:
+        """The seeds in each of the nine blocks (of the radius' size) that they can reach."""
+        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        east = F.explode(F.transform(steps, lambda d: F.col("_bx") + d))
+        north = F.explode(F.transform(steps, lambda d: F.col("_by") + d))
+        named = seeds.select(*group, *[F.col(c).alias(f"s{c}") for c in spot], "_bx", "_by")
+        return named.withColumn("_bx", east).withColumn("_by", north)
 
-    def close(seed: Column) -> Column:
-        dx, dy = seed["_x"] - F.col("_x"), seed["_y"] - F.col("_y")
-        return F.sqrt(dx * dx + dy * dy) <= F.col("_radius")
+    dx, dy = F.col("s_x") - F.col("_x"), F.col("s_y") - F.col("_y")
+    close = F.sqrt(dx * dx + dy * dy) <= F.col("_radius")
+
+    def reached(left: DataFrame, seeds: DataFrame, test: Column, how: str) -> DataFrame:
+        right = around(seeds).withColumnsRenamed({c: f"s_{c}" for c in block})
+        same = [F.col(c) == F.col(f"s_{c}") for c in block]
+        return left.join(right, [*same, test], how)
 
     kept_parts: list[DataFrame] = []
     while True:
-        candidates = open_points.groupBy(*cell).agg(F.min_by(F.struct("_rank", "_x", "_y"), "_rank").alias("_s")).select(
-            *cell, "_s._rank", "_s._x", "_s._y"
-        )
-        blocked = (
-            open_points.join(spread(candidates, "_near"), cell)
-            .select(*group, F.explode(F.filter("_near", lambda s: (s["_rank"] > F.col("_rank")) & close(s))).alias("_s"))
-            .select(*group, F.col("_s._rank").alias("_rank"))
-            .distinct()
-        )
+        candidates = open_points.groupBy(*cell).agg(
+            F.min_by(F.struct(*spot, "_bx", "_by"), "_rank").alias("_s")
+        ).select(*group, "_s.*")
+        earlier = reached(open_points, candidates, close & (F.col("_rank") < F.col("s_rank")), "inner")
+        blocked = earlier.select(*group, F.col("s_rank").alias("_rank")).distinct()
         kept = cut_lineage(candidates.join(blocked, [*group, "_rank"], "left_anti"))
         kept_parts.append(kept)
-        remaining = (
-            open_points.join(spread(kept, "_near"), cell, "left")
-            .where(F.col("_near").isNull() | ~F.exists("_near", close))
-            .drop("_near")
-        )
-        open_points = cut_lineage(remaining)
+        open_points = cut_lineage(reached(open_points, kept, close, "left_anti"))
         if open_points.isEmpty():
             break
     winners = kept_parts[0].select(*group, "_rank")

@@ -31,21 +31,29 @@ def _span(lo: Column, hi: Column, size: Column) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
+def box_level(min_x: str, min_y: str, max_x: str, max_y: str, base: float = BASE_DEGREES) -> Column:
+    """The grid whose cells are at least as large as the box."""
+    return _level(F.col(max_x) - F.col(min_x), F.col(max_y) - F.col(min_y), base)
+
+
 def boxes_on_grid(boxes: DataFrame, min_x: str, min_y: str, max_x: str, max_y: str,
                   base: float = BASE_DEGREES) -> DataFrame:
-    """One row per cell that the box touches on its own grid (at most four)."""
+    """One row per cell that the box touches on its grid (at most four).
+
+    Boxes that already carry ``_level`` keep it; it must not be below their own.
+    """
     known = boxes.where(F.col(min_x).isNotNull() & F.col(min_y).isNotNull()
                         & F.col(max_x).isNotNull() & F.col(max_y).isNotNull())
-    levelled = known.withColumn("_level", _level(F.col(max_x) - F.col(min_x), F.col(max_y) - F.col(min_y), base))
+    levelled = known if "_level" in boxes.columns else known.withColumn("_level", box_level(min_x, min_y, max_x, max_y, base))
     size = _cell_size(F.col("_level"), base)
     return levelled.withColumn("_cell_x", F.explode(_span(F.col(min_x), F.col(max_x), size))).withColumn(
         "_cell_y", F.explode(_span(F.col(min_y), F.col(max_y), size))
     )
 
 
-def grid_levels(gridded_boxes: DataFrame) -> Column:
+def grid_levels(levelled_boxes: DataFrame) -> Column:
     """Grid sizes in use, about a dozen numbers at most, as a scalar subquery."""
-    return gridded_boxes.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
+    return levelled_boxes.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
 
 
 def points_on_grid(points: DataFrame, x: str, y: str, levels: Column, base: float = BASE_DEGREES) -> DataFrame:
@@ -56,15 +64,17 @@ def points_on_grid(points: DataFrame, x: str, y: str, levels: Column, base: floa
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str,
-                    bounds: tuple[str, str, str, str], base: float = BASE_DEGREES) -> DataFrame:
+                    bounds: tuple[str, str, str, str], base: float = BASE_DEGREES,
+                    levels: Column | None = None) -> DataFrame:
     """Every (point, box) pair with the point inside the box, edges included.
 
     ``bounds`` names (min_x, min_y, max_x, max_y). A pair meets in exactly one cell, so no
-    duplicates arise. Column names of the two sides must differ.
+    duplicates arise. Column names of the two sides must differ. ``levels`` may name the grids in
+    use where the caller can tell them more cheaply than from the boxes.
     """
     min_x, min_y, max_x, max_y = bounds
     right = boxes_on_grid(boxes, min_x, min_y, max_x, max_y, base)
-    left = points_on_grid(points, x, y, grid_levels(right), base)
+    left = points_on_grid(points, x, y, grid_levels(right) if levels is None else levels, base)
     inside = F.col(x).between(F.col(min_x), F.col(max_x)) & F.col(y).between(F.col(min_y), F.col(max_y))
     return left.join(right, KEYS).where(inside).drop(*KEYS)
 
@@ -110,6 +120,33 @@ def overlapping_boxes(boxes: DataFrame, key: str, bounds: tuple[str, str, str, s
     )
 
 
+def keys_touching(boxes: DataFrame, key: str, bounds: tuple[str, str, str, str], frames: DataFrame,
+                  frame_bounds: tuple[str, str, str, str], base: float = BASE_DEGREES) -> DataFrame:
+    """Keys of the boxes that touch any of the frames.
+
+    A box meets a frame on the coarser of their two grids: boxes are laid on the frames' grids that
+    are no finer than their own, and frames on the boxes' grids that are coarser than theirs.
+    """
+    names = ("_a", "_b", "_c", "_d")
+    own = boxes.select(key, *[F.col(b) for b in bounds])
+    others = frames.select(*[F.col(b).alias(n) for b, n in zip(frame_bounds, names)])
+    touch = (
+        (F.col(bounds[2]) >= F.col("_a")) & (F.col(bounds[0]) <= F.col("_c"))
+        & (F.col(bounds[3]) >= F.col("_b")) & (F.col(bounds[1]) <= F.col("_d"))
+    )
+    host_boxes, host_frames = boxes_on_grid(own, *bounds, base), boxes_on_grid(others, *names, base)
+
+    def as_guests(frame: DataFrame, limits: tuple, hosts: DataFrame, strictly: bool) -> DataFrame:
+        low = box_level(*limits, base)
+        wanted = F.filter("_levels", lambda v: (v > F.col("_own")) if strictly else (v >= F.col("_own")))
+        laid = frame.withColumn("_own", low).withColumn("_levels", grid_levels(hosts)).withColumn("_level", F.explode(wanted))
+        return boxes_on_grid(laid.drop("_levels", "_own"), *limits, base)
+
+    on_frames = as_guests(own, bounds, host_frames, False).join(host_frames, KEYS).where(touch).select(key)
+    on_boxes = host_boxes.join(as_guests(others, names, host_boxes, True), KEYS).where(touch).select(key)
+    return on_frames.union(on_boxes).distinct()
+
+
 def radius_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str],
                 radius: float, within: list[tuple[str, str]] = ()) -> DataFrame:
     """Pairs at most ``radius`` apart, in the units of the planar coordinates given.
