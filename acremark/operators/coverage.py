@@ -11,6 +11,7 @@ from acremark.operators.filters import BOUNDS, rejection_reason
 from acremark.operators.geometry import first_parcel_at
 from acremark.operators.ordering import sums_before
 from acremark.operators.spatial import keys_touching, points_in_boxes
+from acremark.session import cut_lineage
 
 
 def sampling_lattice(boxes: DataFrame, step_m: float, key: str) -> DataFrame:
@@ -42,6 +43,8 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
     ``outcome`` is uncovered, out_of_scope, rejected or found; ``reason`` names a rejection;
     ``uncovered_before`` counts the uncovered points that come earlier in the same box.
     """
+    # the boxes are few and used several times; they are found once
+    boxes = cut_lineage(boxes.select(key, *BOUNDS))
     spots = sampling_lattice(boxes, step_m, key)
     facts = parcels.select("parcel_id", "commune", "area_m2", *BOUNDS)
     # outlines are built only for parcels whose box touches a sampled box, or has no known box

@@ -52,7 +52,12 @@ def _(t):
     return graph.edges_inside(_edges(t), NET, 5.0).select("src", "dst")
 
 
-@query("connected_components", ["fx_ways"])
+@query("connected_components", ["fx_ways"], f"""WITH RECURSIVE {PAIRS},
+    links AS (SELECT DISTINCT src, dst FROM edges),
+    lab(node, label) USING KEY (node) AS (
+      SELECT src, src FROM links GROUP BY src
+      UNION SELECT e.dst, min(l.label) FROM lab l JOIN links e ON e.src = l.node JOIN recurring.lab r ON r.node = e.dst WHERE l.label < r.label GROUP BY e.dst)
+    SELECT node, label AS component FROM lab""")
 def _(t):
     return graph.connected_components(_edges(t))
 
@@ -67,10 +72,16 @@ def _(t):
     return components.where(F.col("component") == smallest).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-@query("single_source_distances", ["fx_ways"])
+@query("single_source_distances", ["fx_ways"], f"""WITH RECURSIVE {PAIRS},
+    links AS (SELECT src, dst, min(distance) AS distance FROM edges GROUP BY src, dst),
+    paths(node, metres) USING KEY (node) AS (
+      SELECT min(src), CAST(0 AS DOUBLE) FROM links
+      UNION SELECT e.dst, min(p.metres + e.distance) FROM paths p JOIN links e ON e.src = p.node LEFT JOIN recurring.paths r ON r.node = e.dst WHERE r.node IS NULL OR p.metres + e.distance < r.metres GROUP BY e.dst)
+    SELECT node, round(metres, 3) AS distance FROM paths""")
 def _(t):
     edges = _edges(t)
-    return graph.shortest_paths(edges, edges.agg(F.min("src").alias("node"))).select("node", "distance")
+    paths = graph.shortest_paths(edges, edges.agg(F.min("src").alias("node")))
+    return paths.select("node", F.round("distance", 3).alias("distance"))
 
 
 @query("running_distance", ["fx_ways"], f"""WITH legs AS (SELECT way_id, k, {HAV.format('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS leg FROM fx_ways WINDOW w AS (PARTITION BY way_id ORDER BY k))

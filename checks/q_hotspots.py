@@ -142,8 +142,8 @@ def _(t):
     return hotspots.nearest_rank(t("fx_cells"), "score", ["run_id", "category"], F.lit(0.75), "threshold")
 
 
-@query("overlap_suppression", ["fx_osm"], QUAD_HOT + """,
-    -- nested cells only: a cell goes if a better kept cell is its ancestor or descendant; levels of dominance
+SUPPRESSED = QUAD_HOT + """,
+    -- a cell goes if a better kept cell of its category overlaps it: kept and dropped cells level by level
     pairs AS (SELECT a.id AS better, b.id AS worse FROM hot a JOIN hot b ON a.category = b.category AND a.id <> b.id
         AND a.s < b.n AND b.s < a.n AND a.w < b.e AND b.w < a.e AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))),
     k1 AS (SELECT id FROM hot WHERE id NOT IN (SELECT worse FROM pairs)),
@@ -151,12 +151,23 @@ def _(t):
     k2 AS (SELECT id FROM hot h WHERE id NOT IN (SELECT id FROM d1) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.worse = h.id AND p.better NOT IN (SELECT id FROM d1))),
     d2 AS (SELECT DISTINCT worse AS id FROM pairs WHERE better IN (SELECT id FROM k2)),
     k3 AS (SELECT id FROM hot h WHERE id NOT IN (SELECT id FROM d2) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.worse = h.id AND p.better NOT IN (SELECT id FROM d2)))
-    SELECT h.id, h.category, round(h.score, 5) AS score FROM hot h WHERE h.id IN (SELECT id FROM k3)""")
+"""
+
+
+@query("overlap_suppression", ["fx_osm"], SUPPRESSED + "SELECT h.id, h.category, round(h.score, 5) AS score FROM hot h WHERE h.id IN (SELECT id FROM k3)")
 def _(t):
     cells = hotspots.quadtree_hotspots(_matched(t), AREA, QUAD_CFG, None, "center_lat", "center_lon")
     return hotspots.suppress_overlaps(cells, 0.7).select("id", "category", F.round("score", 5).alias("score"))
 
 
+@query("quadtree_pipeline", ["fx_osm"], SUPPRESSED + """
+    SELECT h.id, h.category, h.c AS point_count, round(h.score, 5) AS score, round(h.score / (SELECT max(score) FROM hot WHERE id IN (SELECT id FROM k3)), 7) AS norm FROM hot h WHERE h.id IN (SELECT id FROM k3)""")
+def _(t):
+    """The whole chain with thinning switched off, which SQL can follow."""
+    cells = pipelines.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG.override(dedupe_radius_m=0.0))
+    return cells.select("id", "category", "point_count", F.round("score", 5).alias("score"), F.round("norm", 7).alias("norm"))
+
+
 @query("radius_thinning", ["fx_osm"])
 def _(t):
     """No SQL: the outcome depends on going through the points in order. Tested against such a loop."""
@@ -164,8 +175,9 @@ def _(t):
         "osm_type", "osm_id", "category")
 
 
-@query("quadtree_pipeline", ["fx_osm"])
+@query("quadtree_pipeline_thinned", ["fx_osm"])
 def _(t):
+    """Thinning on, with a category of its own settings; tested against loops."""
     return pipelines.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG, {"amenity_cafe": QUAD_CFG.override(min_points=4)}).select(
         "id", "category", "point_count", "score", "norm")
 
@@ -317,9 +329,12 @@ def _(t):
     return top.select("parcel_id", "score", "area_m2", "commune", "compactness", "elongation_ratio", "green_pixel_ratio")
 
 
-@query("ranking_map_links", RANK_READS)
+@query("ranking_map_links", RANK_READS, """
+    SELECT p.parcel_id, 'https://www.google.com/maps/search/?api=1&query=' || printf('%.7f', coalesce(nullif(p.centroid_lat, 0), (p.bbox_min_lat + p.bbox_max_lat) / 2)) || ',' || printf('%.7f', coalesce(nullif(p.centroid_lon, 0), (p.bbox_min_lon + p.bbox_max_lon) / 2)) AS map_link
+    FROM fx_parcels p JOIN (SELECT parcel_id, max(candidate_index) AS c FROM fx_links WHERE run_id = 'r1' GROUP BY parcel_id) l ON l.parcel_id = p.parcel_id JOIN fx_shape g ON g.parcel_id = p.parcel_id""")
 def _(t):
-    top, _ = pipelines.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1", limit=100)
+    everything = 2**31 - 1
+    top, _ = pipelines.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1", limit=everything)
     return top.select("parcel_id", "map_link")
 
 

@@ -80,10 +80,16 @@ def _(t):
                       F.size("polygons").cast("long").alias("polygons"))
 
 
-@query("two_stage_viewport", ["fx_parcels"])
+AWAY = "sqrt(power((CAST(16.15 AS DOUBLE) - center_lon) * CAST(111320 AS DOUBLE) * cos(radians(CAST(50.035 AS DOUBLE))), 2) + power((CAST(50.035 AS DOUBLE) - center_lat) * CAST(111320 AS DOUBLE), 2))"
+
+
+@query("two_stage_viewport", ["fx_parcels"], GROUPS + f""",
+    placed AS (SELECT *, round(CASE WHEN area > 0 THEN alat / area ELSE clat END, 7) AS center_lat, round(CASE WHEN area > 0 THEN alon / area ELSE clon END, 7) AS center_lon FROM groups WHERE level = 'precinct'),
+    chosen AS (SELECT key FROM placed WHERE max_lat >= CAST(50.01 AS DOUBLE) AND min_lat <= CAST(50.06 AS DOUBLE) AND max_lon >= CAST(16.05 AS DOUBLE) AND min_lon <= CAST(16.25 AS DOUBLE) ORDER BY {AWAY}, key LIMIT 80)
+    SELECT parcel_id, round({AWAY}, 3) AS distance_m FROM viewer WHERE {PARCEL_IN_VIEW} AND voivodeship || '|' || county || '|' || commune || '|' || precinct IN (SELECT key FROM chosen) ORDER BY distance_m, parcel_id LIMIT 120""")
 def _(t):
     viewer = presentation.viewer_parcels(t("fx_parcels"))
-    return presentation.two_stage_viewport(presentation.hierarchy_groups(viewer), viewer, VIEW).select("parcel_id", "distance_m")
+    return presentation.two_stage_viewport(presentation.hierarchy_groups(viewer), viewer, VIEW).select("parcel_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("run_summary_metrics", ["fx_osm", "fx_cells", "fx_links", "fx_prices", "fx_shape"], """

@@ -157,7 +157,22 @@ def _(t):
     )
 
 
-@query("bbox_reprojection", ["fx_parcels"])
+GRS80 = """
+    k AS (SELECT CAST(6378137 AS DOUBLE) AS a, f * (2 - f) AS e2, f * (2 - f) / (1 - f * (2 - f)) AS ep2 FROM (SELECT 1 / CAST(298.257222101 AS DOUBLE) AS f) z)
+"""
+
+
+@query("bbox_reprojection", ["fx_parcels"], f"""WITH {GRS80},
+    corners AS (SELECT parcel_id, radians(lat) AS p, radians(lon) - radians(CAST(19 AS DOUBLE)) AS dl FROM (
+      SELECT parcel_id, bbox_min_lon AS lon, bbox_min_lat AS lat FROM fx_parcels UNION ALL SELECT parcel_id, bbox_min_lon, bbox_max_lat FROM fx_parcels
+      UNION ALL SELECT parcel_id, bbox_max_lon, bbox_min_lat FROM fx_parcels UNION ALL SELECT parcel_id, bbox_max_lon, bbox_max_lat FROM fx_parcels) c),
+    s AS (SELECT parcel_id, p, a, e2, ep2, a / sqrt(1 - e2 * power(sin(p), 2)) AS n, power(tan(p), 2) AS t, ep2 * power(cos(p), 2) AS c, dl * cos(p) AS q FROM corners CROSS JOIN k),
+    xy AS (SELECT parcel_id,
+      CAST(-5300000 AS DOUBLE) + CAST(0.9993 AS DOUBLE) * (a * ((1 - e2 / 4 - 3 * power(e2, 2) / 64 - 5 * power(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * power(e2, 2) / 32 + 45 * power(e2, 3) / 1024) * sin(2 * p)
+          + (15 * power(e2, 2) / 256 + 45 * power(e2, 3) / 1024) * sin(4 * p) - 35 * power(e2, 3) / 3072 * sin(6 * p))
+        + n * tan(p) * (power(q, 2) / 2 + (5 - t + 9 * c + 4 * power(c, 2)) * power(q, 4) / 24 + (61 - 58 * t + power(t, 2) + 600 * c - 330 * ep2) * power(q, 6) / 720)) AS x,
+      CAST(500000 AS DOUBLE) + CAST(0.9993 AS DOUBLE) * n * (q + (1 - t + c) * power(q, 3) / 6 + (5 - 18 * t + power(t, 2) + 72 * c - 58 * ep2) * power(q, 5) / 120) AS y FROM s)
+    SELECT parcel_id, round(min(x), 3) AS min_x, round(min(y), 3) AS min_y, round(max(x), 3) AS max_x, round(max(y), 3) AS max_y FROM xy GROUP BY parcel_id""")
 def _(t):
     box = geo.reproject_box(*[F.col(f"bbox_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")], "EPSG:2180")
     return t("fx_parcels").select("parcel_id", box.alias("b")).select("parcel_id", "b.*")
@@ -396,3 +411,22 @@ def _(t):
     SELECT DISTINCT x, unnest(range(y0, y1 + 1)) AS y FROM cols""")
 def _(t):
     return imagery.parcel_tiles(t("fx_points"), 18).select("x", "y").distinct()
+
+
+@query("geometry_features_summary", ["fx_points"], MOMENTS + """
+    SELECT (SELECT count(*) FROM p) AS computed, (SELECT count(DISTINCT parcel_id) FROM fx_points) - (SELECT count(*) FROM p) AS errors""")
+def _(t):
+    """How many parcels got stored features and how many came out as errors."""
+    from acremark.plans import pipelines
+
+    return pipelines.geometry_summary(pipelines.geometry_features(t("fx_points")))
+
+
+@query("visual_features_stored", ["fx_points", "fx_pixels"], PIXEL_HITS + """,
+    tiles AS (SELECT parcel_id, CAST((floor(max(x0) / 8) - floor(min(x0) / 8) + 1) * (floor(max(y0) / 8) - floor(min(y0) / 8) + 1) AS BIGINT) AS tile_count FROM wp GROUP BY parcel_id)
+    SELECT i.parcel_id, count(*) AS masked_pixel_count, any_value(t.tile_count) AS tile_count, CAST(18 AS INT) AS zoom, 'tiles' AS image_source, CAST(64 AS INT) AS digest_length FROM inside i JOIN tiles t ON t.parcel_id = i.parcel_id GROUP BY i.parcel_id""")
+def _(t):
+    from acremark.plans import pipelines
+
+    rows = pipelines.visual_features(t("fx_points"), _strips(t), 18, "tiles", 8)
+    return rows.select("parcel_id", "masked_pixel_count", "tile_count", "zoom", "image_source", F.length("source_geometry_hash").alias("digest_length"))
