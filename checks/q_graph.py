@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acremark.bbox import BBox
 from acremark.operators import filters, graph
-from acremark.plans import pipelines
+from acremark.plans import analyses
 from checks.catalog import query
 from checks.q_space import HAV
 
@@ -118,4 +118,4 @@ def _(t):
 
 @query("trail_boxes", ["fx_ways"])
 def _(t):
-    return pipelines.trail_boxes(_ways(t), NET, 0.0, 20, 10.0, 2.0)["boxes"]
+    return analyses.trail_boxes(_ways(t), NET, 0.0, 20, 10.0, 2.0)["boxes"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from acremark.bbox import BBox
 from acremark.functions.scoring import Weights
 from acremark.operators import coverage, filters, geometry, hotspots, ranking
-from acremark.plans import pipelines
+from acremark.plans import analyses
 from checks.catalog import query
 from checks.q_space import EDGES, MATCHES, MOMENTS, TYPES
 
@@ -30,7 +30,7 @@ GRID = """
       round(CAST(16 AS DOUBLE) + (CAST(16.4 AS DOUBLE) - CAST(16 AS DOUBLE)) * (x + CAST(0.5 AS DOUBLE)) / 20, 8) AS center_lon,
       round(CAST(50 AS DOUBLE) + (CAST(50.11 AS DOUBLE) - CAST(50 AS DOUBLE)) * (y + CAST(0.5 AS DOUBLE)) / 20, 8) AS center_lat FROM counts""")
 def _(t):
-    grid = pipelines.hotspot_grid(t("fx_osm"), AREA, TYPES, 20, 500)
+    grid = analyses.hotspot_grid(t("fx_osm"), AREA, TYPES, 20, 500)
     return grid.select("candidate_id", "score", F.round("center_lon", 8).alias("center_lon"), F.round("center_lat", 8).alias("center_lat"))
 
 
@@ -66,7 +66,7 @@ def _(t):
 @query("hotspot_mesh_run", ["fx_osm"], MESH + """
     SELECT 'run-a_' || lpad(CAST(row_number() OVER (ORDER BY score DESC, category, y, x, t) AS VARCHAR), 5, '0') AS cell_id, 'run-a' AS run_id, category, round(score, 7) AS score FROM normed""")
 def _(t):
-    cells = pipelines.hotspot_mesh(t("fx_osm"), MESH_BOX, TYPES, "run-a", nx=12)
+    cells = analyses.hotspot_mesh(t("fx_osm"), MESH_BOX, TYPES, "run-a", nx=12)
     return cells.select("cell_id", "run_id", "category", F.round("score", 7).alias("score"))
 
 
@@ -77,8 +77,8 @@ def _(t):
     LEFT JOIN (SELECT category, count(*) AS c FROM normed GROUP BY category) m ON m.category = w.category""")
 def _(t):
     types = [*TYPES, ("amenity", "bar")]
-    cells = pipelines.hotspot_mesh(t("fx_osm"), MESH_BOX, types, "run-a", nx=12)
-    return pipelines.mesh_category_stats(t("fx_osm"), cells, MESH_BOX, types)
+    cells = analyses.hotspot_mesh(t("fx_osm"), MESH_BOX, types, "run-a", nx=12)
+    return analyses.mesh_category_stats(t("fx_osm"), cells, MESH_BOX, types)
 
 
 # --- quadtree ------------------------------------------------------------------------------
@@ -160,11 +160,11 @@ def _(t):
     return hotspots.suppress_overlaps(cells, 0.7).select("id", "category", F.round("score", 5).alias("score"))
 
 
-@query("quadtree_pipeline", ["fx_osm"], SUPPRESSED + """
+@query("quadtree_chain", ["fx_osm"], SUPPRESSED + """
     SELECT h.id, h.category, h.c AS point_count, round(h.score, 5) AS score, round(h.score / (SELECT max(score) FROM hot WHERE id IN (SELECT id FROM k3)), 7) AS norm FROM hot h WHERE h.id IN (SELECT id FROM k3)""")
 def _(t):
     """The whole chain with thinning switched off, which SQL can follow."""
-    cells = pipelines.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG.override(dedupe_radius_m=0.0))
+    cells = analyses.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG.override(dedupe_radius_m=0.0))
     return cells.select("id", "category", "point_count", F.round("score", 5).alias("score"), F.round("norm", 7).alias("norm"))
 
 
@@ -175,16 +175,16 @@ def _(t):
         "osm_type", "osm_id", "category")
 
 
-@query("quadtree_pipeline_thinned", ["fx_osm"])
+@query("quadtree_chain_thinned", ["fx_osm"])
 def _(t):
     """Thinning on, with a category of its own settings; tested against loops."""
-    return pipelines.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG, {"amenity_cafe": QUAD_CFG.override(min_points=4)}).select(
+    return analyses.hotspot_quadtree(t("fx_osm"), AREA, TYPES, QUAD_CFG, {"amenity_cafe": QUAD_CFG.override(min_points=4)}).select(
         "id", "category", "point_count", "score", "norm")
 
 
 @query("quadtree_category_stats", ["fx_osm"])
 def _(t):
-    return pipelines.quadtree_points(t("fx_osm"), AREA, TYPES)[1]
+    return analyses.quadtree_points(t("fx_osm"), AREA, TYPES)[1]
 
 
 # --- candidates ----------------------------------------------------------------------------
@@ -285,7 +285,7 @@ LINK = PROBE + """,
 
 
 def _linked(t):
-    return pipelines.link_candidates(t("fx_cells"), t("fx_parcels"), t("fx_points"), "r2", 40, 60.0, 200,
+    return analyses.link_candidates(t("fx_cells"), t("fx_parcels"), t("fx_points"), "r2", 40, 60.0, 200,
                                      gates={"min_area_m2": 1000.0}, target_parcels=90)
 
 
@@ -299,7 +299,7 @@ def _(t):
     SELECT count(*) AS tested_candidates, count(*) FILTER (WHERE status = 'empty') AS empty_candidates, CAST(0 AS BIGINT) AS out_of_scope_candidates, CAST(sum(new_parcels) AS BIGINT) AS linked_parcels,
       CAST(min(CASE WHEN new_parcels > 0 THEN candidate_index END) AS INT) AS selected_candidate, CASE WHEN sum(new_parcels) > 0 THEN 'ok' ELSE 'no_parcels_found' END AS status FROM tested""")
 def _(t):
-    return pipelines.candidate_rollup(_linked(t)[1])
+    return analyses.candidate_rollup(_linked(t)[1])
 
 
 # --- ranking -------------------------------------------------------------------------------
@@ -325,7 +325,7 @@ RANK_READS = ["fx_links", "fx_parcels", "fx_shape", "fx_visual"]
         + greatest(CAST(0 AS DOUBLE), 1 - abs(dark - CAST(0.35 AS DOUBLE)) / CAST(0.35 AS DOUBLE)) * CAST(0.6 AS DOUBLE) + greatest(CAST(0 AS DOUBLE), 1 - abs(bright - CAST(0.1 AS DOUBLE)) / CAST(0.2 AS DOUBLE)) * CAST(0.4 AS DOUBLE) AS score FROM s6) q
     ORDER BY round(score, 4) DESC, parcel_id LIMIT 50""")
 def _(t):
-    top, _ = pipelines.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), t("fx_visual"), "r0", GATES, Weights(), 50)
+    top, _ = analyses.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), t("fx_visual"), "r0", GATES, Weights(), 50)
     return top.select("parcel_id", "score", "area_m2", "commune", "compactness", "elongation_ratio", "green_pixel_ratio")
 
 
@@ -334,7 +334,7 @@ def _(t):
     FROM fx_parcels p JOIN (SELECT parcel_id, max(candidate_index) AS c FROM fx_links WHERE run_id = 'r1' GROUP BY parcel_id) l ON l.parcel_id = p.parcel_id JOIN fx_shape g ON g.parcel_id = p.parcel_id""")
 def _(t):
     everything = 2**31 - 1
-    top, _ = pipelines.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1", limit=everything)
+    top, _ = analyses.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1", limit=everything)
     return top.select("parcel_id", "map_link")
 
 
@@ -344,7 +344,7 @@ def _(t):
     UNION ALL SELECT 4, 'geometry_shape_filter', (SELECT count(*) FROM s4) UNION ALL SELECT 5, 'with_visual_features', (SELECT count(*) FROM s5)
     UNION ALL SELECT 6, 'visual_land_filter', (SELECT count(*) FROM s6) UNION ALL SELECT 7, 'top_50', least(50, (SELECT count(*) FROM s6))""")
 def _(t):
-    return pipelines.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), t("fx_visual"), "r0", GATES, Weights(), 50)[1]
+    return analyses.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), t("fx_visual"), "r0", GATES, Weights(), 50)[1]
 
 
 @query("simple_ranking", ["fx_parcels", "fx_shape"], """

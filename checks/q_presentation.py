@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from acremark.bbox import BBox
 from acremark.functions import text
 from acremark.operators import geometry, presentation
-from acremark.plans import pipelines
+from acremark.plans import analyses
 from acremark.session import scratch_path
 from acremark.sources import sinks
 from checks.catalog import query
@@ -162,7 +162,7 @@ def _(t):
     UNION ALL SELECT 'categories', (SELECT count(*) FROM (SELECT category FROM fx_cells WHERE run_id IN ('r0', 'r1') UNION SELECT category FROM spots) u)
     UNION ALL SELECT 'top_candidates', (SELECT least(10, count(*)) FROM (SELECT DISTINCT bbox_min_lat, bbox_min_lon FROM (SELECT * FROM fx_cells WHERE run_id IN ('r0', 'r1') ORDER BY score DESC, run_id, cell_id LIMIT 50) b) d)""")
 def _(t):
-    bundle = pipelines.presentation_bundle(["r0", "r1"], t("fx_cells"), t("fx_osm"), t("fx_parcels"), t("fx_points"), t("fx_links"), None,
+    bundle = analyses.presentation_bundle(["r0", "r1"], t("fx_cells"), t("fx_osm"), t("fx_parcels"), t("fx_points"), t("fx_links"), None,
                                            None, None, RUN_TYPES, ALL)
     names = {"cells": "mesh_cells", "points": "osm_points", "parcels": "parcels", "categories": "categories", "top_candidates": "top_candidates"}
     parts = [bundle[k].agg(F.lit(n).alias("part"), F.count("*").alias("n")) for k, n in names.items()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acremark.functions import text
 from acremark.operators import ordering, prices, quality, upsert
-from acremark.plans import pipelines
+from acremark.plans import analyses
 from acremark.session import scratch_path
 from acremark.streaming import incremental
 from checks.catalog import query
@@ -137,7 +137,7 @@ def _scan(t):
     from acremark.operators.filters import fully_located
 
     failed = prices.scan_tiles(fully_located(pending))[0].where("x % 3 = 0").select("tile_id", F.lit("timeout").alias("error"))
-    return checks, pipelines.price_scan(t("fx_parcels"), _records(t), "scan-2", t("fx_index"), checks, failed_tiles=failed)
+    return checks, analyses.price_scan(t("fx_parcels"), _records(t), "scan-2", t("fx_index"), checks, failed_tiles=failed)
 
 
 SCAN = TILES.replace("WITH located AS (SELECT * FROM fx_parcels WHERE centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL)",
@@ -229,7 +229,7 @@ def _(t):
 def _(t):
     links = t("fx_links").select("run_id", "parcel_id", "candidate_index")
     batch = links.where("candidate_index > 3").unionByName(links.withColumn("run_id", F.lit("r9")))
-    return pipelines.store_links(links.where("candidate_index <= 5"), batch)
+    return analyses.store_links(links.where("candidate_index <= 5"), batch)
 
 
 @query("replace_one_run", ["fx_links"], """

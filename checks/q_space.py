@@ -417,16 +417,16 @@ def _(t):
     SELECT (SELECT count(*) FROM p) AS computed, (SELECT count(DISTINCT parcel_id) FROM fx_points) - (SELECT count(*) FROM p) AS errors""")
 def _(t):
     """How many parcels got stored features and how many came out as errors."""
-    from acremark.plans import pipelines
+    from acremark.plans import analyses
 
-    return pipelines.geometry_summary(pipelines.geometry_features(t("fx_points")))
+    return analyses.geometry_summary(analyses.geometry_features(t("fx_points")))
 
 
 @query("visual_features_stored", ["fx_points", "fx_pixels"], PIXEL_HITS + """,
     tiles AS (SELECT parcel_id, CAST((floor(max(x0) / 8) - floor(min(x0) / 8) + 1) * (floor(max(y0) / 8) - floor(min(y0) / 8) + 1) AS BIGINT) AS tile_count FROM wp GROUP BY parcel_id)
     SELECT i.parcel_id, count(*) AS masked_pixel_count, any_value(t.tile_count) AS tile_count, CAST(18 AS INT) AS zoom, 'tiles' AS image_source, CAST(64 AS INT) AS digest_length FROM inside i JOIN tiles t ON t.parcel_id = i.parcel_id GROUP BY i.parcel_id""")
 def _(t):
-    from acremark.plans import pipelines
+    from acremark.plans import analyses
 
-    rows = pipelines.visual_features(t("fx_points"), _strips(t), 18, "tiles", 8)
+    rows = analyses.visual_features(t("fx_points"), _strips(t), 18, "tiles", 8)
     return rows.select("parcel_id", "masked_pixel_count", "tile_count", "zoom", "image_source", F.length("source_geometry_hash").alias("digest_length"))

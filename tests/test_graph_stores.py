@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acremark.bbox import BBox
 from acremark.operators import graph, quality, upsert
-from acremark.plans import pipelines
+from acremark.plans import analyses
 from acremark.streaming import incremental
 
 
@@ -34,7 +34,7 @@ def test_components_paths_and_boxes_equal_plain_loops(spark):
     ]
     ways = [(i, tags, [(round(lat, 6), round(lon, 6)) for lat, lon in g]) for i, tags, g in ways]
     frame = spark.createDataFrame(ways, WAY)
-    edges = pipelines.graph.way_edges(pipelines.filters.easy_trails(frame))
+    edges = analyses.graph.way_edges(analyses.filters.easy_trails(frame))
     sizes = sorted(r["count"] for r in graph.connected_components(edges).groupBy("component").count().collect())
     assert sizes == [2, 28]
     adjacent = {}
@@ -57,7 +57,7 @@ def test_components_paths_and_boxes_equal_plain_loops(spark):
     want = sweep(start)
     got = {r.node: r.distance for r in graph.shortest_paths(edges, spark.createDataFrame([(nid(start),)], "node long")).collect()}
     assert set(got) == {nid(n) for n in want} and all(abs(got[nid(n)] - d) < 1e-6 for n, d in want.items())
-    out = pipelines.trail_boxes(frame, BBox(16.0, 50.0, 17.0, 51.0), 0.0, 5, 4.0, 1.0)
+    out = analyses.trail_boxes(frame, BBox(16.0, 50.0, 17.0, 51.0), 0.0, 5, 4.0, 1.0)
     length = out["segments"].agg(F.max("end_m")).first()[0]
     far = max(want, key=want.get)
     assert abs(length - max(sweep(far).values())) < 1e-6

@@ -5,7 +5,7 @@ import pytest
 
 from acremark.bbox import BBox
 from acremark.operators import filters, hotspots, ranking
-from acremark.plans import pipelines
+from acremark.plans import analyses
 
 FEATURE = ("osm_type string, osm_id long, tags_json string, center_lat double, center_lon double, bbox_min_lat double, "
            "bbox_min_lon double, bbox_max_lat double, bbox_max_lon double")
@@ -26,7 +26,7 @@ def test_bbox_orders_agree_and_bad_boxes_fail():
 def test_mesh_of_four_points_equals_loop(spark):
     spots = [(i, 50 + i * 0.001, 16 + i * 0.001) for i in range(1, 5)]
     box = BBox(16.0, 50.0, 16.01, 50.01)
-    cells = pipelines.hotspot_mesh(features(spark, spots), box, TYPES, "run", nx=4).collect()
+    cells = analyses.hotspot_mesh(features(spark, spots), box, TYPES, "run", nx=4).collect()
     ny = hotspots.mesh_rows(box, 4)
     assert len(cells) == 2 * 4 * ny
     scale = 111_320.0 * math.cos(math.radians(50.005))
@@ -132,7 +132,7 @@ def test_ranking_funnel_and_top(spark):
                                  "parcel_id string, green_pixel_ratio double, dark_pixel_ratio double, bright_pixel_ratio double, "
                                  "low_saturation_ratio double, brightness_mean double")
     gates = ranking.Gates(1500, 12000, 0.25, 8, True, 0.5, 0.2, 0.4, 140)
-    top, funnel = pipelines.rank_run(links, parcels, shape, look, "demo", gates, limit=10)
+    top, funnel = analyses.rank_run(links, parcels, shape, look, "demo", gates, limit=10)
     steps = [(r.step, r["count"]) for r in funnel.orderBy("position").collect()]
     assert steps == [("layer2_parcels", 3), ("deduped_parcels", 3), ("with_geometry_features", 3), ("area_1500_12000", 2),
                      ("geometry_shape_filter", 1), ("with_visual_features", 1), ("visual_land_filter", 1), ("top_10", 1)]
@@ -140,7 +140,7 @@ def test_ranking_funnel_and_top(spark):
     assert [r.parcel_id for r in rows] == ["P1"]
     assert rows[0].map_link.endswith("query=50.0000000,16.0000000")
     # without feature tables nothing has geometry
-    assert pipelines.rank_run(links, parcels, None, None, "demo")[0].count() == 0
+    assert analyses.rank_run(links, parcels, None, None, "demo")[0].count() == 0
 
 
 def test_probe_covers_rejects_and_finds(spark, vertices):
@@ -151,19 +151,19 @@ def test_probe_covers_rejects_and_finds(spark, vertices):
         return frame, vertices({name: [[ring]]})
 
     frame, points = parcel("A", 0.1)
-    _, counts = pipelines.probe_area(spark, BBox(16.01, 50.01, 16.02, 50.02), 1000, frame, points)
+    _, counts = analyses.probe_area(spark, BBox(16.01, 50.01, 16.02, 50.02), 1000, frame, points)
     row = counts.first()
     assert row.uncovered == 0 and row.skipped_existing >= 1 and row.found_parcels == 1
     frame, points = parcel("B", 0.2)
     area = BBox(16.01, 50.01, 16.19, 50.19)
-    samples, counts = pipelines.probe_area(spark, area, 1000, frame, points, gates={"max_area_m2": 12_000.0})
+    samples, counts = analyses.probe_area(spark, area, 1000, frame, points, gates={"max_area_m2": 12_000.0})
     row = counts.first()
     assert row.uncovered == 0 and row.rejected == 1 and row.skipped_rejected_polygon >= 1 and row.found_parcels == 0
     assert {r.reason for r in samples.collect()} == {"too_large"}
-    _, counts = pipelines.probe_area(spark, area, 1000, frame, points, expected_commune="Gluszyca")
+    _, counts = analyses.probe_area(spark, area, 1000, frame, points, expected_commune="Gluszyca")
     assert counts.first().found_parcels == 0 and counts.first().out_of_scope > 0
     # a budget of uncovered points ends the walk
-    used, _ = pipelines.probe_area(spark, BBox(20.0, 50.0, 20.1, 50.1), 1000, frame, points, max_requests=5)
+    used, _ = analyses.probe_area(spark, BBox(20.0, 50.0, 20.1, 50.1), 1000, frame, points, max_requests=5)
     assert used.count() == 5
 
 
