@@ -67,6 +67,8 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
         F.when(F.col("in_scope"), F.col("reason")).alias("reason"),
     )
     missed = F.when(F.col("outcome") == "uncovered", 1).otherwise(0)
+    # located once; the running count and all that follows read the verdicts
+    judged = cut_lineage(judged)
     return sums_before(judged, [key], "row", [F.col("ordinal")], missed, "uncovered_before")
 
 

@@ -41,7 +41,10 @@ def exact_median(frame: DataFrame, keys: list[str], value: str, name: str, accur
     slack = min(0.5, 4.0 / accuracy)
     cut = F.percentile_approx(value, [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy)
     bracket = known.groupBy(*keys).agg(cut.alias("_cut"), F.count("*").alias("_n"))
-    joined = known.join(bracket, keys) if keys else known.join(F.broadcast(bracket))  # one row
+    if keys:
+        joined = known.join(bracket, keys)
+    else:
+        joined = known.withColumn("_b", bracket.select(F.struct("_cut", "_n")).scalar()).select(value, "_b.*")
     lo, hi = F.col("_cut")[0], F.col("_cut")[1]
     position = F.when(F.col(value) < lo, F.lit(None)).otherwise(F.col(value))
     counted = (

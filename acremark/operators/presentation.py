@@ -11,6 +11,7 @@ from acremark.functions.text import clean_part
 from acremark.operators.filters import BOUNDS, area_between, match_tags, overlaps_bbox
 from acremark.operators.geometry import nested_geometry
 from acremark.operators.ordering import first_per_key
+from acremark.session import cut_lineage
 
 LEVELS = ["precinct", "commune", "county", "voivodeship"]
 
@@ -107,7 +108,7 @@ def viewport_matches(parcels: DataFrame, box: BBox, min_area: float | None = Non
     """All parcels that overlap the view and pass the area range and the id list."""
     hit = parcels.where(overlaps_bbox(box) & area_between(F.col("area_m2"), min_area, max_area))
     # no hint: whether the id list is small enough to broadcast is Spark's own size check
-    return hit if ids is None else hit.join(ids.select("parcel_id").distinct(), "parcel_id", "left_semi")
+    return hit if ids is None else hit.join(ids.select("parcel_id"), "parcel_id", "left_semi")
 
 
 def viewport(parcels: DataFrame, points: DataFrame | None, box: BBox, limit: int = 500,
@@ -123,7 +124,8 @@ def viewport(parcels: DataFrame, points: DataFrame | None, box: BBox, limit: int
     )
     if points is None:
         return nearest
-    # at most MAX_ROWS ids: a bounded broadcast
+    # at most MAX_ROWS rows: found once, and a bounded broadcast
+    nearest = cut_lineage(nearest)
     wanted = points.join(F.broadcast(nearest.select("parcel_id")), "parcel_id", "left_semi")
     return nearest.join(nested_geometry(wanted, min_points=3, lat_first=True), "parcel_id", "left")
 
@@ -239,7 +241,7 @@ def points_of_runs(cells: DataFrame, features: DataFrame, box: BBox, types: list
 
 
 def parcels_of_runs(parcels: DataFrame, links: DataFrame, runs: list[str]) -> DataFrame:
-    return parcels.join(links.where(F.col("run_id").isin(list(runs))).select("parcel_id").distinct(), "parcel_id", "left_semi")
+    return parcels.join(links.where(F.col("run_id").isin(list(runs))).select("parcel_id"), "parcel_id", "left_semi")
 
 
 def map_parcels(parcels: DataFrame, points: DataFrame, links: DataFrame, runs: list[str], prices: DataFrame | None,

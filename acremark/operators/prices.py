@@ -9,6 +9,7 @@ from acremark.functions.geo import margin_degrees
 from acremark.functions.text import area_m2_from_text, nonzero, price_from_text, record_key, unit_price
 from acremark.operators.filters import BOUNDS
 from acremark.operators.ordering import exact_median
+from acremark.session import cut_lineage
 
 SOURCE = "gugik_rcn_wfs"  # fixed value: name of the price register in stored rows
 
@@ -148,14 +149,14 @@ def price_summary(prices: DataFrame) -> DataFrame:
 
 def candidate_price_summary(prices: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row over the records of the candidate parcels; the adjusted price wins unless zero."""
-    of_candidates = prices.join(candidates.select("parcel_id").distinct(), "parcel_id", "left_semi")
+    of_candidates = prices.join(candidates.select("parcel_id"), "parcel_id", "left_semi")
     value = F.coalesce(nonzero(F.col("inflation_adjusted_price_per_m2")), F.col("price_per_m2"))
-    values = of_candidates.select(value.alias("v"), F.lit(1).alias("one"))
-    totals = values.groupBy("one").agg(
+    values = of_candidates.select(value.alias("v"))
+    totals = values.agg(
         F.count("*").alias("observation_count"), F.count("v").alias("price_count"),
         F.min("v").alias("price_min"), F.max("v").alias("price_max"), F.avg("v").alias("price_avg"),
     )
-    return totals.join(exact_median(values, ["one"], "v", "price_median"), "one", "left").drop("one")
+    return totals.withColumn("price_median", exact_median(values, [], "v", "m").scalar())
 
 
 def map_price_stats(prices: DataFrame, runs: list[str]) -> DataFrame:
@@ -187,11 +188,12 @@ def scan_tiles(parcels: DataFrame, tile_km: float = 2.0, margin_m: float = 50.0)
     placed = parcels.withColumn("y", F.floor((F.col("centroid_lat") - lat0) / lat_step)).withColumn(
         "x", F.floor((F.col("centroid_lon") - lon0) / lon_step)
     )
-    tiles = placed.groupBy("y", "x").agg(
+    # the tile table is bounded by the area covered; it is counted once
+    tiles = cut_lineage(placed.groupBy("y", "x").agg(
         F.count("*").alias("parcels"), F.avg("centroid_lat").alias("lat"),
         F.min("bbox_min_lon").alias("w"), F.min("bbox_min_lat").alias("s"),
         F.max("bbox_max_lon").alias("e"), F.max("bbox_max_lat").alias("n"),
-    )
+    ))
     rows = tiles.groupBy("y").agg(F.count("*").alias("c"))
     before = Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.select("y", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
@@ -228,15 +230,17 @@ def run_bbox(parcels: DataFrame, links: DataFrame, margin_m: float = 0.0) -> Dat
 
 def scan_totals(tiles: DataFrame, checks: DataFrame) -> DataFrame:
     """One row of totals over a scan: tiles by status, parcels checked and priced, overall status."""
-    per_tile = tiles.groupBy().agg(
+    per_tile = tiles.agg(
         F.count("*").alias("tiles"),
         F.count_if(F.col("status") == "ok").alias("ok_tiles"),
         F.count_if(F.col("status") != "ok").alias("error_tiles"),
     )
-    per_parcel = checks.groupBy().agg(
-        F.count_if(F.col("status") == "ok").alias("checked_parcels"),
-        F.count_if((F.col("status") == "ok") & (F.col("priced_records") > 0)).alias("priced_parcels"),
+    ok = F.col("status") == "ok"
+    per_parcel = checks.agg(
+        F.struct(
+            F.count_if(ok).alias("checked_parcels"), F.count_if(ok & (F.col("priced_records") > 0)).alias("priced_parcels")
+        ).alias("n")
+    )
+    return per_tile.withColumn("_n", per_parcel.scalar()).select("*", "_n.*").drop("_n").withColumn(
+        "status", F.when(F.col("error_tiles") == 0, "ok").otherwise("partial_error")
     )
-    # two one-row frames side by side
-    joined = per_tile.withColumn("_k", F.lit(1)).join(per_parcel.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return joined.withColumn("status", F.when(F.col("error_tiles") == 0, "ok").otherwise("partial_error"))

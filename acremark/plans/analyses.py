@@ -96,10 +96,10 @@ def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run
     reaches it are left out (1 stops at the first hit).
     """
     candidates = ranking.ranked_candidates(cells, run_id, max_candidates, excluded)
-    # probed once, read three times below
-    samples = cut_lineage(coverage.judged_samples(
+    candidates = cut_lineage(candidates)  # at most ``max_candidates`` rows
+    samples = coverage.judged_samples(
         candidates, "candidate_index", step_m, parcels, points, expected_commune if strict_commune else None, gates
-    ))
+    )
     first_look = F.col("uncovered_before") < 1
     in_budget = first_look if max_requests <= 1 else F.col("uncovered_before") < max_requests
 
@@ -174,7 +174,8 @@ def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataF
         status = status.join(known, "tile_id", "left").withColumn(
             "status", F.when(F.col("error_message").isNull(), "ok").otherwise("error")
         )
-    checked = status.withColumn("run_id", F.lit(run_id))
+    # the rows to store; the totals are counted from the same copy
+    checked = cut_lineage(status.withColumn("run_id", F.lit(run_id)))
     tile_status = checked.groupBy("tile_id").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise("error")).alias("status"))
     return {
         "observations": observations, "tiles": tiles, "checks": checked,
@@ -188,7 +189,7 @@ def merge_checks(stored: DataFrame, checks: DataFrame) -> DataFrame:
 
 def geometry_features(points: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Moments of all parcels, or of those named, with the geometry digest they were made from."""
-    chosen = points if ids is None else points.join(ids.select("parcel_id").distinct(), "parcel_id", "left_semi")
+    chosen = points if ids is None else points.join(ids.select("parcel_id"), "parcel_id", "left_semi")
     digests = geometry.geometry_hash(chosen).withColumnRenamed("geometry_hash", "source_geometry_hash")
     return geometry.polygon_moments(chosen).join(digests, "parcel_id")
 

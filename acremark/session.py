@@ -26,10 +26,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, set to a fresh one only when unset."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    """The folder named by ``spark.checkpoint.dir``; a fresh one is set only where none is named."""
+    configured = (
+        spark.conf.get(CHECKPOINT_KEY, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+        or spark.sparkContext.getCheckpointDir()
+    )
     if not configured:
         configured = tempfile.mkdtemp(prefix="acremark-")
         spark.conf.set(CHECKPOINT_KEY, configured)
