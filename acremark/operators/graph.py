@@ -106,23 +106,22 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     path has edges; each touches only the frontier's edges and the reached nodes.
     """
     links = cut_lineage(simple_edges(edges))
-    reached = cut_lineage(start.select("node", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("prev")))
-    frontier = reached
+    none = F.lit(None).cast("long")
+    state = cut_lineage(start.select("node", F.lit(0.0).alias("distance"), none.alias("prev"), F.lit(True).alias("fresh")))
     while True:
-        tried = (
-            frontier.select(F.col("node").alias("src"), F.col("distance").alias("so_far"))
-            .join(links, "src")
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min(F.struct((F.col("so_far") + F.col("distance")).alias("distance"), F.col("src").alias("prev"))).alias("best"))
-            .select("node", F.col("best.distance").alias("new_distance"), F.col("best.prev").alias("new_prev"))
+        tried = state.where("fresh").select(F.col("node").alias("src"), F.col("distance").alias("so_far")).join(links, "src").select(
+            F.col("dst").alias("node"), (F.col("so_far") + F.col("distance")).alias("distance"), F.col("src").alias("prev"),
+            F.lit(False).alias("known"),
         )
-        better = tried.join(reached, "node", "left").where(
-            F.col("distance").isNull() | (F.col("new_distance") < F.col("distance"))
+        # old and tried distances meet in one aggregation; what got shorter is the next frontier
+        met = state.select("node", "distance", "prev", F.lit(True).alias("known")).unionByName(tried)
+        best = met.groupBy("node").agg(
+            F.min(F.struct("distance", "prev")).alias("b"), F.min(F.when(F.col("known"), F.col("distance"))).alias("was")
         )
-        frontier = cut_lineage(better.select("node", F.col("new_distance").alias("distance"), F.col("new_prev").alias("prev")))
-        if frontier.isEmpty():
-            return reached
-        reached = cut_lineage(reached.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+        shorter = F.col("was").isNull() | (F.col("b.distance") < F.col("was"))
+        state = cut_lineage(best.select("node", "b.distance", "b.prev", shorter.alias("fresh")))
+        if state.where("fresh").isEmpty():
+            return state.drop("fresh")
 
 
 def farthest(paths: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def long_path(edges: DataFrame) -> DataFrame:
     first = component.select(F.min("node").alias("node"))
     one_end = farthest(shortest_paths(inner, first))
     second = shortest_paths(inner, one_end)
-    return path_back(second, farthest(second))
+    return cut_lineage(path_back(second, farthest(second)))
 
 
 def running_distance(path: DataFrame, group: list[str], order: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
