@@ -57,24 +57,22 @@ def fingerprints(analyses: DataFrame, terms: DataFrame, key: list[str], texts: d
     set of lexicon terms (equal texts above all) have equal fingerprints. Null texts are empty ones.
     """
     kept = [c for c in analyses.columns if c not in texts]
-    keys = [f"_k{i}" for i in range(len(key))]
     worded = analyses.select(*[F.col(f"`{c}`") for c in kept],
                              *[F.array_distinct(words(F.col(f"`{t}`"))).alias(f"_terms{i}") for i, t in enumerate(texts)])
     whole = [_digest(F.sort_array(f"_terms{i}")) for i in range(len(texts))]
     # one marker row per text row carries the other columns through the grouping
     sides = F.array(F.struct(F.lit(-1).alias("side"), F.array(F.lit("")).alias("terms")),
                     *[F.struct(F.lit(i).alias("side"), F.col(f"_terms{i}").alias("terms")) for i in range(len(texts))])
-    keyed = worded.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(keys, key)],
-                          F.struct(*[F.col(f"`{c}`") for c in kept], F.array(*whole).alias("_whole")).alias("_row"),
+    keyed = worded.select(*key, F.struct(*[F.col(f"`{c}`") for c in kept], F.array(*whole).alias("_whole")).alias("_row"),
                           sides.alias("_sides"))
-    keyed = keyed.select(*keys, "_row", F.explode("_sides").alias("_s"))
-    exploded = keyed.select(*keys, F.when(F.col("_s.side") == -1, F.col("_row")).alias("_row"),
+    keyed = keyed.select(*key, "_row", F.explode("_sides").alias("_s"))
+    exploded = keyed.select(*key, F.when(F.col("_s.side") == -1, F.col("_row")).alias("_row"),
                             F.col("_s.side").alias("_side"), F.explode("_s.terms").alias("term"))
     known = terms.unionByName(terms.sparkSession.createDataFrame([("", 0)], "term string, code long"))
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
     own = [F.sort_array(F.collect_list(F.when(F.col("_side") == i, F.col("code")))).alias(f"_own{i}") for i in range(len(texts))]
-    found = exploded.join(known, "term").groupBy(*keys).agg(F.first("_row", ignorenulls=True).alias("_row"), *own)
+    found = exploded.join(known, "term").groupBy(*key).agg(F.first("_row", ignorenulls=True).alias("_row"), *own)
     prints = []
     for i, name in enumerate(texts.values()):
         mine = F.col(f"_own{i}")
@@ -108,12 +106,13 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def beside_next(analyses: DataFrame, row_id: str = "analysis_number", text: str = "description",
-                block: int = 256) -> DataFrame:
+                block: int = 256) -> tuple[DataFrame, DataFrame]:
     """Every row with the text of the next one in descending id order; after the last comes the first.
 
     Adds ``_block``/``_place`` (unique), ``_next_block``/``_next_place`` and ``_next_text``. Rows are
     sorted within blocks of ids; only the lowest row of each block looks into another one, so no task
-    sees more than a block. Rows with equal ids follow in the order of their text's hash, null ids come
+    sees more than a block. The lowest rows of the blocks come as a second frame: the first one then stays
+    partitioned by block and can be grouped by row without moving. Rows with equal ids follow in the order of their text's hash, null ids come
     last.
     """
     numbered = analyses.withColumn("_block", F.coalesce(F.floor(F.col(row_id) / block), F.lit(-(1 << 62))).cast("long"))
@@ -127,9 +126,7 @@ def beside_next(analyses: DataFrame, row_id: str = "analysis_number", text: str
     heads = placed.where("_place = 1").select(F.col("_block").alias("_next_block"),
                                               F.coalesce(F.col(text), F.lit("")).alias("_next_text"))
     ends = placed.where("_next_text is null").drop("_next_text").join(_following(numbered), "_block")
-    return inner.unionByName(
-        ends.join(heads, "_next_block").withColumn("_next_place", F.lit(1)).select(*inner.columns)
-    )
+    return inner, ends.join(heads, "_next_block").withColumn("_next_place", F.lit(1)).select(*inner.columns)
 
 
 def _following(numbered: DataFrame, block: int = 4096) -> DataFrame:

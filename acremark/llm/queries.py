@@ -35,14 +35,14 @@ def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.length("description"), F.col("description")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - cut), F.substring("_next_text", F.lit(1), cut))
-    rows = imatch.beside_next(given.withColumn("description", F.coalesce("description", F.lit(""))))
-    rows = rows.select("*", n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn(
-        "edited_sha256", F.sha2("edited", 256)).drop("_next_text")
-    printed = stored(
-        imatch.fingerprints(rows, terms, ["_block", "_place"],
-                            {"description": "fingerprint", "edited": "edited_fingerprint"}),
-        "fingerprints",
-    )
+
+    def prints(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", n.cast("long").alias("n_chars"), edited.alias("edited"))
+        return imatch.fingerprints(rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("_next_text"), terms,
+                                   ["_block", "_place"], {"description": "fingerprint", "edited": "edited_fingerprint"})
+
+    inner, ends = imatch.beside_next(given.withColumn("description", F.coalesce("description", F.lit(""))))
+    printed = stored(prints(inner).unionByName(prints(ends)), "fingerprints")
     following = printed.select(F.col("_block").alias("_next_block"), F.col("_place").alias("_next_place"),
                                F.col("fingerprint").alias("_following"))
     return printed.join(following, ["_next_block", "_next_place"]).select(
