@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acremark.llm import decontaminate, imatch, sharding, simhash
-from acremark.llm.common import stored
+from acremark.llm import decontaminate, imatch, ppm, sharding, simhash
+from acremark.llm.common import remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+@registered
+def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("analysis_number"), 7) == 2
+    scored = ppm.score(analyses(spark, sf_dir), ~held)
+    return scored.withColumn("held_out", held).withColumnRenamed("analysis_number", "doc_id")
