@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -43,35 +42,18 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def bounded_sample(labelled: DataFrame, row_id: str, label: str, per_class: int, seed: int) -> DataFrame:
-    """At most ``per_class`` rows of each of the label's values 0 and 1, by a seeded hash of the id.
+def bounded_sample(labelled: DataFrame, row_id: str, label: str, most: int, seed: int, each: bool = False) -> DataFrame:
+    """At most ``most`` labelled rows by a seeded hash of the id, or that many of each label with ``each``.
 
     Works on ids and labels only; the texts are joined to the few chosen rows afterwards.
     """
     order = [F.xxhash64(F.col(row_id).cast("string"), F.lit(seed)), F.col(row_id)]
-    known = labelled.select(row_id, F.col(label).cast("int").alias(label)).where(F.col(row_id).isNotNull())
-    parts = [known.where(F.col(label) == v).orderBy(*order).limit(per_class) for v in (0, 1)]
-    return parts[0].unionByName(parts[1]).dropDuplicates([row_id])
-
-
-def list_column(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and row offsets of an Arrow list column without nulls, as numpy arrays."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(whole, pa.ChunkedArray):
-        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], whole.type)
-    offsets = whole.offsets.to_numpy()
-    values = whole.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(offsets) else np.array([])
-    return values, offsets - (offsets[0] if len(offsets) else 0)
-
-
-def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (rows of a vector or matrix) between consecutive offsets, zero for empty ones."""
-    shape = (len(offsets) - 1, *values.shape[1:])
-    out = np.zeros(shape, dtype=values.dtype)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
-    return out
+    known = labelled.select(row_id, F.col(label).cast("int").alias(label)).where(F.col(row_id).isNotNull() & F.col(label).isin(0, 1))
+    known = known.dropDuplicates([row_id])
+    if not each:
+        return known.orderBy(*order).limit(most)
+    first, second = [known.where(F.col(label) == v).orderBy(*order).limit(most) for v in (0, 1)]
+    return first.unionByName(second)
 
 
 #: Translation of A-Z to a-z over bytes; the blanks of bytes.split() are those of BLANKS.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acremark.llm import decontaminate, imatch, ppm, sharding, simhash
+from acremark.llm import decontaminate, imatch, ppm, quality, sharding, simhash, toxicity
 from acremark.llm.common import remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,26 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder(F.col("analysis_number"), 7) == 2
     scored = ppm.score(analyses(spark, sf_dir), ~held)
     return scored.withColumn("held_out", held).withColumnRenamed("analysis_number", "doc_id")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("analysis_number"), F.col("quality").alias("usable"), F.col("toxic").alias("offensive"))
+
+
+@registered
+def op4_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("analysis_number"), 4) == 2
+    given = analyses(spark, sf_dir)
+    machine = toxicity.train(given, labels(spark, sf_dir), ~held)
+    return toxicity.score(given, machine).select(
+        F.col("analysis_number").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@registered
+def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("analysis_number"), 4) == 2
+    given = analyses(spark, sf_dir)
+    space = quality.train(given, labels(spark, sf_dir), ~held)
+    return quality.score(given, space).select(
+        F.col("analysis_number").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
