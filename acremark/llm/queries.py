@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acremark.llm import decontaminate, imatch, ppm, quality, sharding, simhash, toxicity
+from acremark.llm import decontaminate, imatch, language, licences, mixing, ppm, quality, sharding, simhash, toxicity
 from acremark.llm.common import remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,69 @@ def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = quality.train(given, labels(spark, sf_dir), ~held)
     return quality.score(given, space).select(
         F.col("analysis_number").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@registered
+def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("osm_id"), 5) == 0
+    given = documents(spark, sf_dir).select(F.col("doc_id").alias("osm_id"), F.col("text").alias("description"), F.col("lang").alias("language"))
+    recogniser = language.train(given, ~held)
+    return language.recognise(given.drop("language"), recogniser).select(
+        F.col("osm_id").alias("doc_id"), held.alias("held_out"), F.col("language_pred").alias("lang_pred"), "score")
+
+
+#: Short forms of well-known licence notices.
+NOTICES = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "mit": "Released under the MIT License.",
+    "odbl-1.0": "This database is made available under the Open Database License.",
+}
+
+
+@registered
+def op9_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.notices(analyses(spark, sf_dir), NOTICES).withColumnRenamed("analysis_number", "doc_id")
+
+
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+@registered
+def op7_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("artifact_id"), F.col("text").alias("payload_json"), F.substring("source", 1, 4).alias("producer_skill"),
+        F.col("lang").alias("artifact_type"), F.col("source").alias("artifact_key"))
+    chosen = mixing.mix(given, 0.5, {"artifact_type": LANGUAGE_WEIGHTS})
+    return chosen.select(F.col("artifact_id").alias("doc_id"), F.col("producer_skill").alias("domain"), F.col("artifact_type").alias("lang"),
+                         F.col("artifact_key").alias("source"), "n_tokens", "copies")
+
+
+ORACLE["op7_hierarchical_mixture"] = r"""
+WITH d AS (
+  SELECT doc_id, substr(source, 1, 4) AS domain, lang, source, coalesce(substr(source, 1, 4), '') AS a, coalesce(lang, '') AS b, coalesce(source, '') AS c,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_tokens FROM documents),
+leaf AS (SELECT a, b, c, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY a, b, c),
+n1 AS (SELECT a, CAST(sum(tokens) * 2 AS DOUBLE) AS cap, CAST(1 AS DOUBLE) AS w FROM leaf GROUP BY a),
+f1 AS (SELECT *, (CAST((SELECT floor(sum(tokens) * CAST(0.5 AS DOUBLE) + 1e-6) FROM leaf) AS DOUBLE)
+    - coalesce(sum(cap) OVER (ORDER BY cap / w, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fill FROM n1),
+b1 AS (SELECT a, least(cap, greatest(0, max(fill) OVER () * w)) AS budget FROM f1),
+n2 AS (SELECT leaf.a, b, CAST(sum(tokens) * 2 AS DOUBLE) AS cap, CAST(CASE b WHEN 'en' THEN 0.4 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.2 ELSE 1 END AS DOUBLE) AS w
+  FROM leaf GROUP BY leaf.a, b),
+f2 AS (SELECT n2.*, (budget - coalesce(sum(cap) OVER (PARTITION BY n2.a ORDER BY cap / w, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (PARTITION BY n2.a ORDER BY cap / w, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fill FROM n2 JOIN b1 ON n2.a = b1.a),
+b2 AS (SELECT a, b, least(cap, greatest(0, max(fill) OVER (PARTITION BY a) * w)) AS budget FROM f2),
+n3 AS (SELECT a, b, c, tokens, CAST(tokens * 2 AS DOUBLE) AS cap, CAST(1 AS DOUBLE) AS w FROM leaf),
+f3 AS (SELECT n3.*, (budget - coalesce(sum(cap) OVER (PARTITION BY n3.a, n3.b ORDER BY cap / w, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (PARTITION BY n3.a, n3.b ORDER BY cap / w, c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fill
+  FROM n3 JOIN b2 ON n3.a = b2.a AND n3.b = b2.b),
+b3 AS (SELECT a, b, c, tokens, CAST(floor(least(cap, greatest(0, max(fill) OVER (PARTITION BY a, b) * w)) + 1e-6) AS BIGINT) AS budget FROM f3),
+e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM b3),
+o AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('17:' || whole || ':' || doc_id) AS h FROM d JOIN e ON d.a = e.a AND d.b = e.b AND d.c = e.c),
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY a, b, c ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o),
+r AS (SELECT doc_id, domain, lang, source, n_tokens, least(whole, 2) + CASE WHEN upto <= rest AND whole < 2 THEN 1 ELSE 0 END AS copies FROM s)
+SELECT * FROM r WHERE copies > 0
+"""

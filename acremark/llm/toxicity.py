@@ -83,8 +83,8 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 12, batch: int = 32, rate: float = 0.15,
-        decay: float = 1e-3, telling: float = 15.0, most: int = 1000, seed: int = 7) -> Machine:
+def fit(sets: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 40, batch: int = 32, rate: float = 0.2,
+        decay: float = 1e-4, telling: float = 12.0, most: int = 1000, seed: int = 7) -> Machine:
     """Logistic factorization machine by adaptive gradient steps.
 
     Keeps up to ``most`` buckets whose presence and label depend on each other by a corrected chi-square
