@@ -108,10 +108,12 @@ def repair_tags(tags: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def slug(text: Column) -> Column:
+def slug(text: Column, length: int | None = None) -> Column:
+    """Letters, digits, ``_`` and ``-`` only; cut to ``length`` where one is given."""
     plain = F.regexp_replace(F.trim(text), r"[^a-zA-Z0-9_-]+", "_")
     plain = F.btrim(F.regexp_replace(plain, "_+", "_"), F.lit("_"))
-    return F.coalesce(F.nullif(F.substring(plain, 1, 80), F.lit("")), F.lit("unknown"))
+    plain = plain if length is None else F.substring(plain, 1, length)
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("unknown"))
 
 
 def clean_part(text: Column, fallback: str = "unknown") -> Column:

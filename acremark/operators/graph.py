@@ -202,11 +202,12 @@ def path_boxes(segments: DataFrame, count: int = 20, size_km: float = 20.0, step
     )
 
 
-def path_samples(segments: DataFrame) -> DataFrame:
-    """Evenly spaced points along the path, one per 250 m, between 2 and 700."""
+def path_samples(segments: DataFrame, max_samples: int | None = None) -> DataFrame:
+    """Evenly spaced points along the path, one per 250 m, at least 2; ``max_samples`` bounds them."""
     spark = segments.sparkSession
     length = segments.agg(F.max("end_m").alias("m")).scalar()
-    count = F.least(F.lit(700), F.greatest(F.lit(2), F.floor(length / 250))).cast("int")
+    count = F.greatest(F.lit(2), F.floor(length / 250)).cast("int")
+    count = count if max_samples is None else F.least(F.lit(max_samples), count)
     spots = spark.range(1).select(F.posexplode(F.sequence(F.lit(1), count)).alias("i", "_n")).select(
         "i", (length * F.col("i") / (count - 1)).alias("metre")
     )

@@ -15,12 +15,9 @@ from acremark.session import cut_lineage
 
 LEVELS = ["precinct", "commune", "county", "voivodeship"]
 
-# Limits of a viewport request.
-MIN_ROWS, MAX_ROWS = 5, 8000
 
-
-def admin_manifest(parcels: DataFrame, per_level: int = 250) -> DataFrame:
-    """For each of the four admin levels, its labels with parcel count and box, largest first."""
+def admin_manifest(parcels: DataFrame, per_level: int | None = None) -> DataFrame:
+    """For each of the four admin levels, its labels with parcel count and box, largest first; all or ``per_level``."""
     levels = F.explode(F.array(*[
         F.struct(F.lit(level).alias("level"), F.coalesce(F.col(level), F.lit("brak")).alias("label")) for level in LEVELS
     ]))
@@ -32,7 +29,8 @@ def admin_manifest(parcels: DataFrame, per_level: int = 250) -> DataFrame:
         .where("min_lat IS NOT NULL")
     )
     rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("count"), "label"))
-    return groups.withColumn("position", rank).where(F.col("position") <= per_level)
+    placed = groups.withColumn("position", rank)
+    return placed if per_level is None else placed.where(F.col("position") <= per_level)
 
 
 def manifest_totals(parcels: DataFrame) -> DataFrame:
@@ -81,6 +79,7 @@ def hierarchy_groups(viewer: DataFrame) -> DataFrame:
     return grouped.select(
         level.alias("level"),
         F.concat_ws("|", *names).alias("key"),
+        *names,
         F.when(F.col("_gid") == 3, F.concat_ws(" / ", "voivodeship", "county"))
         .when(F.col("_gid") == 1, F.concat_ws(" / ", "county", "commune"))
         .otherwise(F.concat_ws(" / ", "commune", "precinct")).alias("label"),
@@ -90,17 +89,15 @@ def hierarchy_groups(viewer: DataFrame) -> DataFrame:
     )
 
 
-def densest_groups(groups: DataFrame, min_count: int = 2, limit: int = 20) -> DataFrame:
-    """Groups by parcels per square kilometre of their box."""
+def densest_groups(groups: DataFrame, min_count: int = 2, limit: int | None = None) -> DataFrame:
+    """Groups by parcels per square kilometre of their box: all, or the ``limit`` densest in order."""
     km = 111.32  # fixed value: kilometres per degree
     middle = (F.col("min_lat") + F.col("max_lat")) / 2
     height = F.abs(F.col("max_lat") - F.col("min_lat")) * km
     width = F.abs(F.col("max_lon") - F.col("min_lon")) * km * F.cos(F.radians(middle))
     density = F.col("count") / F.greatest(F.lit(0.000001), width * height)
-    return (
-        groups.where(F.col("count") >= min_count).withColumn("density", density)
-        .orderBy(F.desc("density"), "label").limit(limit)
-    )
+    found = groups.where(F.col("count") >= min_count).withColumn("density", density)
+    return found if limit is None else found.orderBy(F.desc("density"), "label").limit(limit)
 
 
 def viewport_matches(parcels: DataFrame, box: BBox, min_area: float | None = None, max_area: float | None = None,
@@ -111,27 +108,26 @@ def viewport_matches(parcels: DataFrame, box: BBox, min_area: float | None = Non
     return hit if ids is None else hit.join(ids.select("parcel_id"), "parcel_id", "left_semi")
 
 
-def viewport(parcels: DataFrame, points: DataFrame | None, box: BBox, limit: int = 500,
+def viewport(parcels: DataFrame, points: DataFrame | None, box: BBox, limit: int | None = None,
              min_area: float | None = None, max_area: float | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """The matches nearest the middle of the view. Geometry is fetched for those only."""
-    limit = max(MIN_ROWS, min(MAX_ROWS, limit))
+    """All matches, or the ``limit`` nearest the middle of the view. Geometry is fetched for those only."""
     d_lat = F.coalesce("centroid_lat", F.lit(0.0)) - box.mid_lat
     d_lon = F.coalesce("centroid_lon", F.lit(0.0)) - box.mid_lon
     nearest = (
         viewport_matches(parcels, box, min_area, max_area, ids)
         .withColumn("distance2", d_lat * d_lat + d_lon * d_lon)
-        .orderBy("distance2", "parcel_id").limit(limit)
     )
+    if limit is not None:
+        nearest = nearest.orderBy("distance2", "parcel_id").limit(limit)
     if points is None:
         return nearest
-    # at most MAX_ROWS rows: found once, and a bounded broadcast
     nearest = cut_lineage(nearest)
-    wanted = points.join(F.broadcast(nearest.select("parcel_id")), "parcel_id", "left_semi")
+    wanted = points.join(nearest.select("parcel_id"), "parcel_id", "left_semi")
     return nearest.join(nested_geometry(wanted, min_points=3, lat_first=True), "parcel_id", "left")
 
 
-def two_stage_viewport(groups: DataFrame, viewer: DataFrame, box: BBox, max_groups: int = 80, limit: int = 120) -> DataFrame:
-    """Nearest precinct groups in view first, then their parcels in view by distance.
+def two_stage_viewport(groups: DataFrame, viewer: DataFrame, box: BBox, max_groups: int | None = None, limit: int | None = None) -> DataFrame:
+    """Nearest precinct groups in view first, then their parcels in view by distance; all where no number is given.
 
     With the viewer table partitioned by its admin columns, the group keys prune its partitions.
     """
@@ -143,14 +139,11 @@ def two_stage_viewport(groups: DataFrame, viewer: DataFrame, box: BBox, max_grou
     keys = ["voivodeship", "county", "commune", "precinct"]
     chosen = (
         groups.where((F.col("level") == "precinct") & overlaps_bbox(box, bounds))
-        .withColumn("_d", away()).orderBy("_d", "key").limit(max_groups)
-        .select(*[F.split("key", r"\|")[i].alias(k) for i, k in enumerate(keys)])
-    )
-    # at most ``max_groups`` rows
-    return (
-        viewer.join(F.broadcast(chosen), keys, "left_semi").where(overlaps_bbox(box))
-        .withColumn("distance_m", away()).orderBy("distance_m", "parcel_id").limit(limit)
+        .withColumn("_d", away())
     )
+    chosen = (chosen if max_groups is None else chosen.orderBy("_d", "key").limit(max_groups)).select(*keys)
+    found = viewer.join(chosen, keys, "left_semi").where(overlaps_bbox(box)).withColumn("distance_m", away())
+    return found if limit is None else found.orderBy("distance_m", "parcel_id").limit(limit)
 
 
 def run_metrics(features: DataFrame, cells: DataFrame, links: DataFrame | None, prices: DataFrame | None,

@@ -228,8 +228,9 @@ def run_bbox(parcels: DataFrame, links: DataFrame, margin_m: float = 0.0) -> Dat
     )
 
 
-def scan_totals(tiles: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row of totals over a scan: tiles by status, parcels checked and priced, overall status."""
+def scan_totals(tiles: DataFrame, checks: DataFrame, landed: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row of totals over a scan: tiles by status, parcels selected, checked and priced, records as
+    they landed and after the merge, overall status."""
     per_tile = tiles.agg(
         F.count("*").alias("tiles"),
         F.count_if(F.col("status") == "ok").alias("ok_tiles"),
@@ -238,9 +239,10 @@ def scan_totals(tiles: DataFrame, checks: DataFrame) -> DataFrame:
     ok = F.col("status") == "ok"
     per_parcel = checks.agg(
         F.struct(
-            F.count_if(ok).alias("checked_parcels"), F.count_if(ok & (F.col("priced_records") > 0)).alias("priced_parcels")
+            F.count("*").alias("selected_parcels"), F.count_if(ok).alias("checked_parcels"), F.count_if(ok & (F.col("priced_records") > 0)).alias("priced_parcels")
         ).alias("n")
     )
-    return per_tile.withColumn("_n", per_parcel.scalar()).select("*", "_n.*").drop("_n").withColumn(
+    records = {"fetched_records": landed.agg(F.count("*")).scalar(), "stored_records": merged.agg(F.count("*")).scalar()}
+    return per_tile.withColumn("_n", per_parcel.scalar()).select("*", "_n.*").drop("_n").withColumns(records).withColumn(
         "status", F.when(F.col("error_tiles") == 0, "ok").otherwise("partial_error")
     )

@@ -40,11 +40,14 @@ def ranked_candidates(cells: DataFrame, run_id: str, limit: int, excluded: list[
     return top.withColumn("candidate_index", F.row_number().over(Window.orderBy(F.desc("score"), "cell_id")))
 
 
-def top_distinct_boxes(cells: DataFrame, runs: list[str], scan: int = 50, keep: int = 10) -> DataFrame:
-    """Among the ``scan`` best cells, the first cell of each box, at most ``keep``."""
+def top_distinct_boxes(cells: DataFrame, runs: list[str], scan: int | None = None,
+                       keep: int | None = None) -> DataFrame:
+    """The first cell of each box; among the ``scan`` best cells and at most ``keep`` where given."""
     order = [F.desc("score"), F.col("run_id"), F.col("cell_id")]
-    best = cells.where(F.col("run_id").isin(list(runs))).orderBy(*order).limit(scan)
-    return first_per_key(best, list(BOUNDS), order).orderBy(*order).limit(keep)
+    best = cells.where(F.col("run_id").isin(list(runs)))
+    best = best if scan is None else best.orderBy(*order).limit(scan)
+    first = first_per_key(best, list(BOUNDS), order)
+    return first if keep is None else first.orderBy(*order).limit(keep)
 
 
 def top_rows(cells: DataFrame, runs: list[str], limit: int) -> DataFrame:

@@ -9,6 +9,7 @@ from acremark.bbox import BBox
 from acremark.functions.scoring import Weights
 from acremark.operators import coverage, filters, geometry, graph, hotspots, imagery, presentation, prices, ranking
 from acremark.operators.filters import BOUNDS
+from acremark.operators.ordering import first_per_key
 from acremark.operators.upsert import insert_if_absent, upsert
 from acremark.session import cut_lineage
 
@@ -154,9 +155,13 @@ def store_links(stored: DataFrame, links: DataFrame) -> DataFrame:
 
 def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataFrame | None = None,
                checks: DataFrame | None = None, tile_km: float = 2.0, margin_m: float = 50.0,
-               failed_tiles: DataFrame | None = None) -> dict[str, DataFrame]:
+               failed_tiles: DataFrame | None = None, reference_year: str | None = None,
+               newest_by: tuple[str, ...] = ("transaction_date", "parcel_id", "price_per_m2", "raw_json")) -> dict[str, DataFrame]:
     """Scan landed price records for all parcels not yet checked.
 
+    Records are merged on (source, source_record_id, run_id) before any figure is taken; of repeated
+    ones the last by ``newest_by`` counts. Parcels of failed tiles have zero counts and no figures.
+
     Returns the observations, the tiles to fetch, the checks of this scan and its totals. Tiles in
     ``failed_tiles`` (tile_id, error) mark their parcels as failed, to be taken up by the next scan.
     """
@@ -164,22 +169,27 @@ def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataF
     if checks is not None:
         pending = pending.join(checks.where("status = 'ok'").select("parcel_id"), "parcel_id", "left_anti")
     tiles, members = prices.scan_tiles(pending, tile_km, margin_m)
-    observations = prices.price_observations(records, run_id, index)
+    landed = prices.price_observations(records, run_id, index, reference_year)
+    observations = first_per_key(landed, ["source", "source_record_id", "run_id"], [F.desc(c) for c in newest_by])
     stats = prices.stats_per_parcel(members, observations)
     status = members.join(stats, "parcel_id")
     if failed_tiles is None:
         status = status.withColumn("status", F.lit("ok")).withColumn("error_message", F.lit(None).cast("string"))
     else:
-        known = failed_tiles.select("tile_id", F.substring("error", 1, 500).alias("error_message"))
+        known = failed_tiles.select("tile_id", F.col("error").alias("error_message"))
         status = status.join(known, "tile_id", "left").withColumn(
             "status", F.when(F.col("error_message").isNull(), "ok").otherwise("error")
         )
+        done = F.col("status") == "ok"
+        counts = {"rcn_records", "priced_records"}
+        status = status.withColumns({c: F.when(done, F.col(c)).otherwise(F.lit(0) if c in counts else F.lit(None))
+                                     for c in stats.columns if c != "parcel_id"})
     # the rows to store; the totals are counted from the same copy
     checked = cut_lineage(status.withColumn("run_id", F.lit(run_id)))
     tile_status = checked.groupBy("tile_id").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise("error")).alias("status"))
     return {
         "observations": observations, "tiles": tiles, "checks": checked,
-        "totals": prices.scan_totals(tile_status, checked),
+        "totals": prices.scan_totals(tile_status, checked, landed, observations),
     }
 
 
@@ -231,7 +241,7 @@ def presentation_bundle(runs: list[str], cells: DataFrame, features: DataFrame,
         "points": spots,
         "parcels": presentation.map_parcels(parcels, points, links, runs, prices_table, geometry_table, visual_table),
         "categories": presentation.categories_union(shown, spots),
-        "top_candidates": ranking.top_distinct_boxes(cells, runs),
+        "top_candidates": ranking.top_distinct_boxes(cells, runs, 50, 10),
     }
 
 

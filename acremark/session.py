@@ -25,17 +25,29 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a local session gets a fresh one for itself; on a cluster that is an error,
+    as executors would not see one another's files.
+    """
     configured = (
         spark.conf.get(CHECKPOINT_KEY, None)
         or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
         or spark.sparkContext.getCheckpointDir()
     )
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="acremark-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    return configured
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="acremark-")
+    return _local_folders[application]
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:

@@ -47,13 +47,15 @@ def scan_tiles(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInPandas(to_lines, STRIPS)
 
 
-def scan_analysis(spark: SparkSession, path: str) -> DataFrame:
+def scan_analysis(spark: SparkSession, path: str, title_length: int | None = None,
+                  description_length: int | None = None) -> DataFrame:
     """Analysis lists, one JSON object a file, as parsed by ``parse_analysis``."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return parse_analysis(files.select("value", F.input_file_name().alias("source")))
+    return parse_analysis(files.select("value", F.input_file_name().alias("source")), title_length, description_length)
 
 
-def parse_analysis(documents: DataFrame) -> DataFrame:
+def parse_analysis(documents: DataFrame, title_length: int | None = None,
+                   description_length: int | None = None) -> DataFrame:
     """(source, key, title, description, count, ids) from JSON texts.
 
     Ids come from ``parcel_ids``, else ``parcels``, else ``ids``; an item is the id itself or an
@@ -83,11 +85,14 @@ def parse_analysis(documents: DataFrame) -> DataFrame:
     shaped = doc.select(
         "source", F.array_distinct(cleaned).alias("ids"), title.alias("title"), description.alias("description")
     )
+
+    def cut(name: str, length: int | None):
+        return F.col(name) if length is None else F.substring(name, 1, length).alias(name)
+
     return shaped.select(
         "source",
         list_key(F.col("source"), F.col("ids"), F.col("description")).alias("key"),
-        F.substring("title", 1, 200).alias("title"),
-        F.substring("description", 1, 8000).alias("description"),
+        cut("title", title_length), cut("description", description_length),
         F.size("ids").alias("count"),
         "ids",
     )

@@ -204,7 +204,7 @@ def _(t):
     d AS (SELECT *, row_number() OVER (PARTITION BY bbox_min_lat, bbox_min_lon, bbox_max_lat, bbox_max_lon ORDER BY score DESC, run_id, cell_id) AS rn FROM best)
     SELECT cell_id, run_id, category, score FROM d WHERE rn = 1 ORDER BY score DESC, run_id, cell_id LIMIT 10""")
 def _(t):
-    return ranking.top_distinct_boxes(t("fx_cells"), ["r0", "r1"]).select("cell_id", "run_id", "category", "score")
+    return ranking.top_distinct_boxes(t("fx_cells"), ["r0", "r1"], 50, 10).select("cell_id", "run_id", "category", "score")
 
 
 @query("multi_run_top_rows", ["fx_cells"], "SELECT cell_id, run_id, score FROM fx_cells WHERE run_id IN ('r1', 'r2') ORDER BY score DESC, run_id, cell_id LIMIT 40")

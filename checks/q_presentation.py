@@ -35,7 +35,7 @@ GROUPS = f"""WITH {VIEWER},
     g AS (SELECT level, label, count(*) AS count, min(bbox_min_lat) AS min_lat, min(bbox_min_lon) AS min_lon, max(bbox_max_lat) AS max_lat, max(bbox_max_lon) AS max_lon FROM lv GROUP BY level, label)
     SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY level ORDER BY count DESC, label) AS INT) AS position FROM g) q WHERE position <= 250""")
 def _(t):
-    return presentation.admin_manifest(t("fx_parcels"))
+    return presentation.admin_manifest(t("fx_parcels"), 250)
 
 
 @query("manifest_totals", ["fx_parcels"], """
@@ -52,7 +52,7 @@ def _(t):
 @query("hierarchy_groups", ["fx_parcels"], GROUPS + """
     SELECT level, key, label, count, round(area, 2) AS area_m2, min_lat, min_lon, max_lat, max_lon, round(CASE WHEN area > 0 THEN alat / area ELSE clat END, 7) AS center_lat, round(CASE WHEN area > 0 THEN alon / area ELSE clon END, 7) AS center_lon FROM groups""")
 def _(t):
-    return presentation.hierarchy_groups(presentation.viewer_parcels(t("fx_parcels")))
+    return presentation.hierarchy_groups(presentation.viewer_parcels(t("fx_parcels"))).drop("voivodeship", "county", "commune", "precinct")
 
 
 @query("densest_groups", ["fx_parcels"], GROUPS + """
@@ -60,7 +60,7 @@ def _(t):
     FROM groups WHERE level = 'precinct' AND count >= 2 ORDER BY density DESC, label LIMIT 20""")
 def _(t):
     groups = presentation.hierarchy_groups(presentation.viewer_parcels(t("fx_parcels"))).where("level = 'precinct'")
-    return presentation.densest_groups(groups).select("label", "count", F.round("density", 8).alias("density"))
+    return presentation.densest_groups(groups, limit=20).select("label", "count", F.round("density", 8).alias("density"))
 
 
 @query("viewport_match_count", ["fx_parcels"], f"SELECT count(*) AS matched FROM fx_parcels WHERE {PARCEL_IN_VIEW} AND area_m2 >= 2000 AND area_m2 <= 8000")
@@ -89,7 +89,7 @@ AWAY = "sqrt(power((CAST(16.15 AS DOUBLE) - center_lon) * CAST(111320 AS DOUBLE)
     SELECT parcel_id, round({AWAY}, 3) AS distance_m FROM viewer WHERE {PARCEL_IN_VIEW} AND voivodeship || '|' || county || '|' || commune || '|' || precinct IN (SELECT key FROM chosen) ORDER BY distance_m, parcel_id LIMIT 120""")
 def _(t):
     viewer = presentation.viewer_parcels(t("fx_parcels"))
-    return presentation.two_stage_viewport(presentation.hierarchy_groups(viewer), viewer, VIEW).select("parcel_id", F.round("distance_m", 3).alias("distance_m"))
+    return presentation.two_stage_viewport(presentation.hierarchy_groups(viewer), viewer, VIEW, 80, 120).select("parcel_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query("run_summary_metrics", ["fx_osm", "fx_cells", "fx_links", "fx_prices", "fx_shape"], """

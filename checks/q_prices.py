@@ -143,8 +143,10 @@ def _scan(t):
 SCAN = TILES.replace("WITH located AS (SELECT * FROM fx_parcels WHERE centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL)",
                      """WITH located AS (SELECT * FROM fx_parcels WHERE centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL
                        AND NOT (substr(parcel_id, 9, 1) < '7' AND CAST(parcel_number AS BIGINT) % 4 <> 0))""") + """,
-    stats AS (SELECT parcel_id, count(*) AS c, count(*) FILTER (WHERE price_per_m2 > 0) AS priced FROM fx_prices GROUP BY parcel_id),
-    checked AS (SELECT p.parcel_id, n.tile_id, CASE WHEN n.x % 3 = 0 THEN 'error' ELSE 'ok' END AS status, coalesce(s.c, 0) AS rcn_records, coalesce(s.priced, 0) AS priced_records
+    merged AS (SELECT * FROM fx_prices QUALIFY row_number() OVER (PARTITION BY source_record_id ORDER BY transaction_date DESC, parcel_id DESC, price_per_m2 DESC NULLS LAST) = 1),
+    stats AS (SELECT parcel_id, count(*) AS c, count(*) FILTER (WHERE price_per_m2 > 0) AS priced FROM merged GROUP BY parcel_id),
+    checked AS (SELECT p.parcel_id, n.tile_id, CASE WHEN n.x % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n.x % 3 = 0 THEN 0 ELSE coalesce(s.c, 0) END AS rcn_records,
+        CASE WHEN n.x % 3 = 0 THEN 0 ELSE coalesce(s.priced, 0) END AS priced_records
       FROM placed p JOIN named n ON n.y = p.y AND n.x = p.x LEFT JOIN stats s ON s.parcel_id = p.parcel_id)
 """
 
@@ -156,6 +158,7 @@ def _(t):
 
 @query("price_scan_totals", ["fx_parcels", "fx_prices"], SCAN + """
     SELECT (SELECT count(DISTINCT tile_id) FROM checked) AS tiles, (SELECT count(DISTINCT tile_id) FROM checked WHERE status = 'ok') AS ok_tiles, (SELECT count(DISTINCT tile_id) FROM checked WHERE status <> 'ok') AS error_tiles,
+      count(*) AS selected_parcels, (SELECT count(*) FROM fx_prices) AS fetched_records, (SELECT count(*) FROM merged) AS stored_records,
       count(*) FILTER (WHERE status = 'ok') AS checked_parcels, count(*) FILTER (WHERE status = 'ok' AND priced_records > 0) AS priced_parcels, CASE WHEN count(*) FILTER (WHERE status <> 'ok') = 0 THEN 'ok' ELSE 'partial_error' END AS status FROM checked""")
 def _(t):
     return _scan(t)[1]["totals"]
