@@ -119,48 +119,48 @@ def test_overlap_suppression_equals_loop(spark):
 
 def test_ranking_funnel_and_top(spark):
     parcels = spark.createDataFrame(
-        [(p, p, "Gmina", "Powiat", "Dolnoslaskie", a, 50.0, 16.0, 50.0, 16.0, 50.01, 16.01)
-         for p, a in (("P1", 5000.0), ("P2", 50000.0), ("P3", 3000.0))],
+        [(p, p, "Zawada", "Koninski", "Wielkopolskie", a, 51.3, 17.4, 51.29, 17.38, 51.31, 17.42)
+         for p, a in (("olsza", 4200.0), ("brzoza", 61000.0), ("wierzba", 2750.0))],
         "parcel_id string, parcel_number string, commune string, county string, voivodeship string, area_m2 double, centroid_lat double, "
         "centroid_lon double, bbox_min_lat double, bbox_min_lon double, bbox_max_lat double, bbox_max_lon double")
-    links = spark.createDataFrame([("demo", f"P{i}", i, "bbox") for i in (1, 2, 3)],
+    links = spark.createDataFrame([("demo", p, i, "bbox") for i, p in enumerate(("olsza", "brzoza", "wierzba"))],
                                   "run_id string, parcel_id string, candidate_index int, source_bbox string")
-    shape = spark.createDataFrame([("P1", 5000.0, 0.5, 2.0, 1.0, 2.0), ("P2", 50000.0, 0.5, 2.0, 1.0, 2.0), ("P3", 3000.0, 0.2, 12.0, 1.0, 2.0)],
+    shape = spark.createDataFrame([("olsza", 4200.0, 0.55, 1.7, 3.0, 8.0), ("brzoza", 61000.0, 0.6, 1.4, 3.0, 5.0), ("wierzba", 2750.0, 0.18, 3.0, 1.0, 9.0)],
                                   "parcel_id string, area_m2 double, compactness double, elongation_ratio double, "
                                   "principal_moment_min_m4 double, principal_moment_max_m4 double")
-    look = spark.createDataFrame([("P1", 0.6, 0.3, 0.1, 0.2, 100.0), ("P2", 0.9, 0.3, 0.1, 0.2, 100.0), ("P3", 0.2, 0.3, 0.1, 0.2, 100.0)],
+    look = spark.createDataFrame([("olsza", 0.71, 0.12, 0.18, 0.33, 118.0), ("brzoza", 0.8, 0.2, 0.05, 0.1, 96.0), ("wierzba", 0.44, 0.1, 0.02, 0.15, 131.0)],
                                  "parcel_id string, green_pixel_ratio double, dark_pixel_ratio double, bright_pixel_ratio double, "
                                  "low_saturation_ratio double, brightness_mean double")
-    gates = ranking.Gates(1500, 12000, 0.25, 8, True, 0.5, 0.2, 0.4, 140)
+    gates = ranking.Gates(1800, 9000, 0.3, 6, True, 0.4, 0.25, 0.5, 150)
     top, funnel = analyses.rank_run(links, parcels, shape, look, "demo", gates, limit=10)
     steps = [(r.step, r["count"]) for r in funnel.orderBy("position").collect()]
-    assert steps == [("layer2_parcels", 3), ("deduped_parcels", 3), ("with_geometry_features", 3), ("area_1500_12000", 2),
+    assert steps == [("layer2_parcels", 3), ("deduped_parcels", 3), ("with_geometry_features", 3), ("area_1800_9000", 2),
                      ("geometry_shape_filter", 1), ("with_visual_features", 1), ("visual_land_filter", 1), ("top_10", 1)]
     rows = top.collect()
-    assert [r.parcel_id for r in rows] == ["P1"]
-    assert rows[0].map_link.endswith("query=50.0000000,16.0000000")
+    assert [r.parcel_id for r in rows] == ["olsza"]
+    assert rows[0].map_link.endswith("query=51.3000000,17.4000000")
     # without feature tables nothing has geometry
     assert analyses.rank_run(links, parcels, None, None, "demo")[0].count() == 0
 
 
 def test_probe_covers_rejects_and_finds(spark, vertices):
     def parcel(name, size):
-        ring = [(16.0, 50.0), (16.0 + size, 50.0), (16.0 + size, 50.0 + size), (16.0, 50.0 + size), (16.0, 50.0)]
-        frame = spark.createDataFrame([(name, "Walim", 2e8 * size, 50.0, 16.0, 50.0 + size, 16.0 + size)],
+        ring = [(17.2, 51.4), (17.2 + size, 51.4), (17.2 + size, 51.4 + size), (17.2, 51.4 + size), (17.2, 51.4)]
+        frame = spark.createDataFrame([(name, "Zawada", 3e8 * size, 51.4, 17.2, 51.4 + size, 17.2 + size)],
                                       "parcel_id string, commune string, area_m2 double, bbox_min_lat double, bbox_min_lon double, bbox_max_lat double, bbox_max_lon double")
         return frame, vertices({name: [[ring]]})
 
-    frame, points = parcel("A", 0.1)
-    _, counts = analyses.probe_area(spark, BBox(16.01, 50.01, 16.02, 50.02), 1000, frame, points)
+    frame, points = parcel("A", 0.07)
+    _, counts = analyses.probe_area(spark, BBox(17.22, 51.42, 17.24, 51.44), 1000, frame, points)
     row = counts.first()
     assert row.uncovered == 0 and row.skipped_existing >= 1 and row.found_parcels == 1
-    frame, points = parcel("B", 0.2)
-    area = BBox(16.01, 50.01, 16.19, 50.19)
-    samples, counts = analyses.probe_area(spark, area, 1000, frame, points, gates={"max_area_m2": 12_000.0})
+    frame, points = parcel("B", 0.18)
+    area = BBox(17.21, 51.41, 17.36, 51.56)
+    samples, counts = analyses.probe_area(spark, area, 1000, frame, points, gates={"max_area_m2": 30_000.0})
     row = counts.first()
     assert row.uncovered == 0 and row.rejected == 1 and row.skipped_rejected_polygon >= 1 and row.found_parcels == 0
     assert {r.reason for r in samples.collect()} == {"too_large"}
-    _, counts = analyses.probe_area(spark, area, 1000, frame, points, expected_commune="Gluszyca")
+    _, counts = analyses.probe_area(spark, area, 1000, frame, points, expected_commune="Lipowiec")
     assert counts.first().found_parcels == 0 and counts.first().out_of_scope > 0
     # a budget of uncovered points ends the walk
     used, _ = analyses.probe_area(spark, BBox(20.0, 50.0, 20.1, 50.1), 1000, frame, points, max_requests=5)
