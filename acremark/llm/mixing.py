@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acremark.llm.common import words
+from acremark.llm.common import stored, words
 from acremark.operators.ordering import sums_before
 
+#: Budgets of up to this many leaves are broadcast; more are joined by a shuffle.
+BROADCAST_LEAVES = 200_000
 LEVELS = ("producer_skill", "artifact_type", "artifact_key")
 
 
@@ -59,13 +61,15 @@ def mix(artifacts: DataFrame, share: float, weights: dict[str, dict[str, float]]
     keys = [f"_l{i}" for i in range(len(levels))]
     rows = clean.select("*", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for k, c in zip(keys, levels)],
                         F.size(words(F.col(payload))).cast("long").alias("n_tokens"))
-    leaves = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = stored(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * share + 1e-6).alias("b")).select("b").scalar()
     named = {k: weights.get(c, {}) for k, c in zip(keys, levels)}
     budgets = leaf_budgets(leaves, total, keys, named, epochs)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
     budgets = budgets.withColumn("_full", full).withColumn("_rest", F.col("budget") - F.col("_full") * F.col("tokens"))
-    drawn = rows.join(budgets.drop("tokens", "budget"), keys)
+    budgets = budgets.drop("tokens", "budget")
+    # a join that deals rows by leaf would put a hot leaf into one task
+    drawn = rows.join(F.broadcast(budgets) if leaves.count() <= BROADCAST_LEAVES else budgets, keys)
     key = F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col(artifact_id).cast("string"), F.lit("")))
     drawn = drawn.withColumn("_order", F.md5(key.cast("binary"))).withColumn("_block", F.substring("_order", 1, 2))
     upto = sums_before(drawn, keys, "_block", [F.col("_order"), F.col(artifact_id)], F.col("n_tokens"), "_before")
