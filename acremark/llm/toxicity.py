@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, row_slices
+from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, row_slices, stored
 
 BUCKETS, FACTORS = 1 << 20, 4
 #: Labelled rows of each kind that a model is trained on, at most.
@@ -50,18 +50,19 @@ def hashed_words(text: bytes, buckets: dict[bytes, tuple[int, ...]]) -> np.ndarr
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
-def _telling(sets: list[np.ndarray], labels: np.ndarray, least: float, most: int) -> np.ndarray:
-    """Buckets (sorted) by the chi-square of presence against label, with the continuity correction."""
-    if not sets:
-        return np.array([], np.int64)
-    seen, where = np.unique(np.concatenate(sets), return_inverse=True)
-    label = np.repeat(labels, [len(s) for s in sets])
-    n, n1 = float(len(sets)), float(labels.sum())
-    both, has = np.bincount(where, label, len(seen)), np.bincount(where, minlength=len(seen)).astype(float)
-    gap = np.maximum(np.abs(both * n - has * n1) - n / 2, 0.0)
-    value = n * gap**2 / np.maximum(has * (n - has) * n1 * (n - n1), 1.0)
-    best = np.argsort(-value, kind="stable")[:most]
-    return np.sort(seen[best[value[best] >= least]])
+def telling_buckets(rows: DataFrame, least: float = 12.0, most: int = 1000) -> DataFrame:
+    """Up to ``most`` buckets whose presence and label depend on each other, from rows of (items, label).
+
+    Measured by the chi-square with the continuity correction, ``least`` at least; most words of a
+    language say nothing and would only be learned by heart.
+    """
+    n, n1 = (rows.agg(f.cast("double").alias("n")).select("n").scalar() for f in (F.count("*"), F.sum("label")))
+    seen = rows.select(F.explode("items").alias("item"), "label").groupBy("item").agg(
+        F.count("*").cast("double").alias("has"), F.sum("label").cast("double").alias("both"))
+    gap = F.greatest(F.abs(F.col("both") * n - F.col("has") * n1) - n / 2, F.lit(0.0))
+    value = n * gap * gap / F.greatest(F.col("has") * (n - F.col("has")) * n1 * (n - n1), F.lit(1.0))
+    found = seen.select("item", value.alias("value")).where(F.col("value") >= least)
+    return found.orderBy(F.desc("value"), "item").limit(most).select("item")
 
 
 @dataclass
@@ -83,20 +84,15 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 40, batch: int = 32, rate: float = 0.2,
-        decay: float = 1e-4, telling: float = 12.0, most: int = 1000, seed: int = 7) -> Machine:
-    """Logistic factorization machine by adaptive gradient steps.
-
-    Keeps up to ``most`` buckets whose presence and label depend on each other by a corrected chi-square
-    of at least ``telling``; most words of a language say nothing and would only be learned by heart.
-    """
-    kept = _telling(sets, labels, telling, most)
+def fit(sets: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, factors: int = FACTORS, epochs: int = 40, batch: int = 32,
+        rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Logistic factorization machine over the ``kept`` buckets (sorted) by adaptive gradient steps."""
     rng = np.random.default_rng(seed)
     share = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
     model = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors)))
     if not len(kept):
         return model
-    places = [np.searchsorted(kept, s[np.isin(s, kept)]) for s in sets]
+    places = [np.searchsorted(kept, s) for s in sets]
     grad_w, grad_v, grad_b = np.full(len(kept), 1e-6), np.full(model.vectors.shape, 1e-6), 1e-6
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(places)), max(1, len(places) // batch)):
@@ -134,8 +130,11 @@ def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: st
 
     rows = analyses.select(analysis_id, text).join(F.broadcast(chosen), analysis_id).select(
         text, F.col(label).alias("label"), F.xxhash64(F.col(analysis_id).cast("string"), F.lit(seed)).alias("place"))
-    got = rows.mapInArrow(run, "items array<bigint>, label int, place bigint").toPandas().sort_values("place", kind="stable")
-    return fit([np.asarray(s, dtype=np.int64) for s in got["items"]], got["label"].to_numpy(np.float64), seed=seed)
+    rows = stored(rows.mapInArrow(run, "items array<bigint>, label int, place bigint"), "hashed")
+    kept = np.sort(np.array([r["item"] for r in telling_buckets(rows).collect()], dtype=np.int64))
+    few = F.array(*[F.lit(int(k)) for k in kept]).cast("array<bigint>")
+    got = rows.select(F.array_intersect("items", few).alias("items"), "label", "place").toPandas().sort_values("place", kind="stable")
+    return fit([np.sort(np.asarray(s, dtype=np.int64)) for s in got["items"]], got["label"].to_numpy(np.float64), kept, seed=seed)
 
 
 def score(analyses: DataFrame, machine: Machine, text: str = "description") -> DataFrame:
