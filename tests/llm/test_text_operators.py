@@ -363,12 +363,27 @@ def test_partial_matching_equals_its_definition(spark):
     counts = Counter(w for i, ws in enumerate(tokens) if i % 3 != 1 for w in ws)
     n, v = sum(counts.values()), len(counts)
     known = sum(10 ** plain_trie(counts, 4, t) for t in counts)
+    kept = Counter(p for i, ws in enumerate(tokens) if i % 3 != 1 for p in zip([b"", *ws], ws))
+    kept = {p: c for p, c in kept.items() if c >= 2}
+    assert kept and len({a for a, _ in kept}) < len(counts)
+
+    def after(a: bytes, w: bytes, alone: float) -> float:
+        """Word ``w`` after ``a``: kept pairs of ``a`` by count, others by escape and exclusion."""
+        own = {s: c for (f, s), c in kept.items() if f == a}
+        if not own:
+            return alone
+        if w in own:
+            return math.log10(own[w] / (counts[a] + len(own)))
+        rest = 1 - sum(counts[s] / (n + v) for s in own)
+        return math.log10((counts[a] - sum(own.values()) + len(own)) / (counts[a] + len(own)) / rest) + alone
+
     got = {r.analysis_number: r for r in ppm.score(frame, learn).collect()}
     assert len(got) == len(values)
     for i, ws in enumerate(tokens):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
-        model = sum(math.log10(counts[w] / (n + v)) if counts[w] else
-                    math.log10(v / (n + v) / (1 - known)) + plain_trie(counts, 4, w) for w in ws)
+        alone = [math.log10(counts[w] / (n + v)) if counts[w] else
+                 math.log10(v / (n + v) / (1 - known)) + plain_trie(counts, 4, w) for w in ws]
+        model = sum(after(a, w, x) for a, w, x in zip([b"", *ws], ws, alone))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in counts for w in ws), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(model)
