@@ -67,16 +67,14 @@ def list_key(source: Column, ids: Column, description: Column) -> Column:
     )
 
 
+def folded(name: str) -> str:
+    letters = (ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch))
+    return " ".join("".join(letters).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def _folded(names: pd.Series) -> pd.Series:
-    def fold(name):
-        if not name:
-            return ""
-        letters = (ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch))
-        return " ".join("".join(letters).casefold().split())
-
-    distinct = {name: fold(name) for name in names.dropna().unique()}
-    return names.map(distinct).fillna("")
+    return names.map({name: folded(name) for name in names.dropna().unique()}).fillna("")
 
 
 def normalized_name(name: Column) -> Column:
@@ -87,7 +85,7 @@ def normalized_name(name: Column) -> Column:
 def commune_matches(actual: Column, expected: str | None) -> Column:
     if not expected:
         return F.lit(True)
-    return normalized_name(actual) == normalized_name(F.lit(expected))
+    return normalized_name(actual) == F.lit(folded(expected))
 
 
 def repair_mojibake(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acremark.bbox import BBox
 from acremark.functions.geo import haversine_m, interpolate, square_box
 from acremark.operators.filters import inside_margin
+from acremark.operators.ordering import beside, in_blocks, sums_before
 from acremark.operators.spatial import interval_locate
 from acremark.session import cut_lineage
 
@@ -157,20 +158,28 @@ def long_path(edges: DataFrame) -> DataFrame:
 
 
 def running_distance(path: DataFrame, group: list[str], order: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Cumulative haversine length along an ordered path per group."""
-    w = Window.partitionBy(*group).orderBy(order)
-    leg = haversine_m(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
-    return path.withColumn("_leg", F.coalesce(leg, F.lit(0.0))).withColumn("metres", F.sum("_leg").over(w)).drop("_leg")
+    """Cumulative haversine length along an ordered path per group.
+
+    Paths are cut into blocks of consecutive points; block lengths are added up first, on one row per block.
+    """
+    placed = beside(in_blocks(path, group, order), group, order, [F.col(lat), F.col(lon)], "_from")
+    leg = haversine_m(F.col(f"_from.{lat}"), F.col(f"_from.{lon}"), F.col(lat), F.col(lon))
+    legs = placed.withColumn("_leg", F.coalesce(leg, F.lit(0.0)))
+    summed = sums_before(legs, group, "_block", [F.col(order)], F.col("_leg"), "_before")
+    return summed.withColumn("metres", F.col("_before") + F.col("_leg")).drop("_before", "_leg", "_from", "_block")
+
+
+def line_segments(points: DataFrame, group: list[str], order: str, metres: str) -> DataFrame:
+    """Consecutive points of each group as segments: ``start_m``, ``end_m``, ``lat``, ``lon``, ``lat2``, ``lon2``."""
+    following = [F.col(metres).alias("end_m"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")]
+    placed = beside(in_blocks(points, group, order), group, order, following, "_next", ahead=True)
+    return placed.where("_next IS NOT NULL").select(*group, F.col(metres).alias("start_m"), "lat", "lon", "_next.*")
 
 
 def path_segments(path: DataFrame) -> DataFrame:
     """Consecutive path nodes as segments with start and end distance. One path, in order of distance."""
-    w = Window.orderBy("distance")
-    ahead = path.select(
-        F.col("distance").alias("start_m"), F.lead("distance").over(w).alias("end_m"),
-        node_lat(F.col("node")).alias("lat"), node_lon(F.col("node")).alias("lon"),
-        F.lead(node_lat(F.col("node"))).over(w).alias("lat2"), F.lead(node_lon(F.col("node"))).over(w).alias("lon2"),
-    ).where("end_m IS NOT NULL")
+    spots = path.select("distance", node_lat(F.col("node")).alias("lat"), node_lon(F.col("node")).alias("lon"))
+    ahead = line_segments(spots, [], "distance", "distance")
     # position zero belongs to the first segment
     return ahead.withColumn("after_m", F.when(F.col("start_m") == 0, F.lit(-1.0)).otherwise(F.col("start_m")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acremark.session import cut_lineage
+
 
 def first_per_key(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key. Spark cuts every partition down to one row per key before the shuffle."""
@@ -31,11 +33,35 @@ def sums_before(frame: DataFrame, group: list[str], block: str, order: list[Colu
     )
 
 
+def in_blocks(frame: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The frame with ``_block``: numbered ranges of (group, order), as many as there are shuffle partitions.
+
+    The rows are stored as dealt, so losing an executor cannot deal them differently.
+    """
+    ranged = frame.repartitionByRange(*[F.col(c) for c in [*group, order]])
+    return cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
+
+
+def beside(blocks: DataFrame, group: list[str], order: str, values: list[Column], name: str, ahead: bool = False) -> DataFrame:
+    """Adds ``name``: a struct of ``values`` of the row before in its group, or of the row after with ``ahead``; null at the ends.
+
+    ``blocks`` comes from :func:`in_blocks`. A directory of one row per group and block carries the values
+    over the borders of blocks, so no task holds a long group whole.
+    """
+    shift, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    seen = blocks.withColumn("_own", F.struct(*values))
+    ends = seen.groupBy(*group, "_block").agg((edge("_own", order)).alias("_end"))
+    ends = ends.withColumn("_end", shift("_end").over(Window.partitionBy(*group).orderBy("_block")))
+    inside = Window.partitionBy(*group, "_block").orderBy(order)
+    near = F.coalesce(shift("_own").over(inside), F.col("_end"))
+    return seen.join(ends, [*group, "_block"]).withColumn(name, near).drop("_own", "_end")
+
+
 def exact_median(frame: DataFrame, keys: list[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
     """Exact median per key, nulls left out, without holding a key's values in one place.
 
     A quantile sketch brackets the middle; values below the bracket are only counted, and the few
-    inside it are counted per distinct value and ranked.
+    inside it are counted per distinct value and ranked. Should the sketch have missed the middle, an error is raised.
     """
     known = frame.where(F.col(value).isNotNull()).select(*keys, value)
     slack = min(0.5, 4.0 / accuracy)
@@ -63,4 +89,6 @@ def exact_median(frame: DataFrame, keys: list[str], value: str, name: str, accur
     middle = (
         F.max(F.when(holds(low_rank), F.col("_value"))) + F.max(F.when(holds(high_rank), F.col("_value")))
     ) / 2.0
-    return upto.groupBy(*keys).agg(middle.alias(name))
+    missed = F.raise_error(F.lit(f"the bracket of {value} misses the median"))
+    found = upto.groupBy(*keys).agg(middle.alias(name), F.count("*").alias("_rows"))
+    return found.withColumn(name, F.when((F.col("_rows") > 0) & F.col(name).isNull(), missed).otherwise(F.col(name))).drop("_rows")

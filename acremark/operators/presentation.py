@@ -239,21 +239,25 @@ def parcels_of_runs(parcels: DataFrame, links: DataFrame, runs: list[str]) -> Da
 
 def map_parcels(parcels: DataFrame, points: DataFrame, links: DataFrame, runs: list[str], prices: DataFrame | None,
                 geometry: DataFrame | None, visual: DataFrame | None) -> DataFrame:
-    """Every parcel of the runs with price, shape and imagery figures and its nested geometry."""
+    """Every parcel of the runs with price, shape and imagery figures and its nested geometry.
+
+    An absent table gives no records and null figures.
+    """
     from acremark.operators.prices import map_price_stats
+    from acremark.operators.ranking import optional_columns
 
     chosen = parcels_of_runs(parcels, links, runs).withColumn(
         "lat", (F.col("bbox_min_lat") + F.col("bbox_max_lat")) / 2.0
     ).withColumn("lon", (F.col("bbox_min_lon") + F.col("bbox_max_lon")) / 2.0)
-    if prices is not None:
-        chosen = chosen.join(map_price_stats(prices, runs), "parcel_id", "left").fillna(0, subset=["rcn_records"])
-    if geometry is not None:
-        shape = ["compactness", "elongation_ratio", "principal_moment_min_m4", "principal_moment_max_m4"]
-        chosen = chosen.join(geometry.select("parcel_id", F.col("area_m2").alias("shape_area_m2"), *shape), "parcel_id", "left")
-    if visual is not None:
-        look = ["green_pixel_ratio", "dark_pixel_ratio", "bright_pixel_ratio", "low_saturation_ratio", "brightness_mean",
-                "masked_pixel_count"]
-        chosen = chosen.join(visual.select("parcel_id", *look), "parcel_id", "left")
+    paid = {c: c for c in ("avg_price_per_m2", "avg_inflation_adjusted_price_per_m2", "inflation_reference_year")}
+    stats = None if prices is None else map_price_stats(prices, runs)
+    chosen = optional_columns(chosen, stats, {"rcn_records": "rcn_records", **paid})
+    chosen = chosen.withColumn("rcn_records", F.coalesce(F.col("rcn_records").cast("long"), F.lit(0).cast("long")))
+    shape = ["compactness", "elongation_ratio", "principal_moment_min_m4", "principal_moment_max_m4"]
+    chosen = optional_columns(chosen, geometry, {"area_m2": "shape_area_m2", **{c: c for c in shape}})
+    look = ["green_pixel_ratio", "dark_pixel_ratio", "bright_pixel_ratio", "low_saturation_ratio", "brightness_mean",
+            "masked_pixel_count"]
+    chosen = optional_columns(chosen, visual, {c: c for c in look})
     wanted = points.join(chosen.select("parcel_id"), "parcel_id", "left_semi")
     return chosen.join(nested_geometry(wanted), "parcel_id")
 

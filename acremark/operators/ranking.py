@@ -56,7 +56,7 @@ def top_rows(cells: DataFrame, runs: list[str], limit: int) -> DataFrame:
     return ordered.limit(limit) if limit > 0 else ordered
 
 
-def _optional(frame: DataFrame, other: DataFrame | None, columns: dict[str, str]) -> DataFrame:
+def optional_columns(frame: DataFrame, other: DataFrame | None, columns: dict[str, str]) -> DataFrame:
     """Left join on parcel_id; an absent table gives null columns."""
     if other is None:
         return frame.select("*", *[F.lit(None).cast("double").alias(name) for name in columns.values()])
@@ -71,8 +71,8 @@ def linked_parcels(links: DataFrame, parcels: DataFrame, run_id: str) -> DataFra
 def ranking_rows(links: DataFrame, parcels: DataFrame, geometry: DataFrame | None, visual: DataFrame | None,
                  run_id: str) -> DataFrame:
     base = linked_parcels(links, parcels.withColumnRenamed("area_m2", "parcel_area_m2"), run_id)
-    shaped = _optional(base, geometry, {"area_m2": "geometry_area_m2", **{c: c for c in GEOMETRY_COLUMNS}})
-    return _optional(shaped, visual, {c: c for c in VISUAL_COLUMNS})
+    shaped = optional_columns(base, geometry, {"area_m2": "geometry_area_m2", **{c: c for c in GEOMETRY_COLUMNS}})
+    return optional_columns(shaped, visual, {c: c for c in VISUAL_COLUMNS})
 
 
 def _steps(gates: Gates) -> list[tuple[str, Column]]:
@@ -98,8 +98,8 @@ def _last_link(rows: DataFrame) -> DataFrame:
     return first_per_key(rows, ["parcel_id"], [F.desc("candidate_index")])
 
 
-def rank_parcels(rows: DataFrame, gates: Gates = Gates(), weights: Weights = Weights(), limit: int = 20) -> DataFrame:
-    """Parcels that pass all gates, by weighted score."""
+def rank_parcels(rows: DataFrame, gates: Gates = Gates(), weights: Weights = Weights(), limit: int | None = None) -> DataFrame:
+    """Parcels that pass all gates with their weighted score: all, or the ``limit`` best in order."""
     passed = _last_link(rows)
     for _, test in _steps(gates):
         passed = passed.where(test)
@@ -109,7 +109,7 @@ def rank_parcels(rows: DataFrame, gates: Gates = Gates(), weights: Weights = Wei
     four = ["compactness", "elongation_ratio", "green_pixel_ratio", "dark_pixel_ratio", "bright_pixel_ratio",
             "low_saturation_ratio"]
     box = {n: F.col(b) for n, b in zip(("min_lat", "min_lon", "max_lat", "max_lon"), BOUNDS)}
-    return (
+    ranked = (
         sized.select(
             "parcel_id",
             F.round(score, 4).alias("score"),
@@ -118,12 +118,11 @@ def rank_parcels(rows: DataFrame, gates: Gates = Gates(), weights: Weights = Wei
             *[F.round(c, 4).alias(c) for c in four],
             map_link(F.col("centroid_lat"), F.col("centroid_lon"), box).alias("map_link"),
         )
-        .orderBy(F.desc("score"), "parcel_id")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.orderBy(F.desc("score"), "parcel_id").limit(limit)
 
 
-def funnel(rows: DataFrame, gates: Gates = Gates(), limit: int = 20) -> DataFrame:
+def funnel(rows: DataFrame, gates: Gates = Gates(), limit: int | None = None) -> DataFrame:
     """Survivors after each step, all counted in one pass: (position, step, count)."""
     total = rows.agg(F.count("*").alias("n"))
     steps = _steps(gates)
@@ -141,8 +140,8 @@ def funnel(rows: DataFrame, gates: Gates = Gates(), limit: int = 20) -> DataFram
     ]
     first = F.struct(F.lit(0).alias("position"), F.lit("layer2_parcels").alias("step"), total.scalar().alias("count"))
     final = F.struct(
-        F.lit(len(names) + 1).alias("position"), F.lit(f"top_{limit}").alias("step"),
-        F.least(F.lit(limit).cast("long"), F.col(last)).alias("count"),
+        F.lit(len(names) + 1).alias("position"), F.lit("all" if limit is None else f"top_{limit}").alias("step"),
+        (F.col(last) if limit is None else F.least(F.lit(limit).cast("long"), F.col(last))).alias("count"),
     )
     return one.select(F.inline(F.array(first, *labelled, final)))
 

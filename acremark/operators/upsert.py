@@ -9,14 +9,18 @@ from acremark.operators.ordering import first_per_key
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], newest_by: list[str],
-           keep: list[str] = ()) -> DataFrame:
+           keep: list[str] = (), newest_wins: bool = False) -> DataFrame:
     """The target with the batch merged in: the last row of a key replaces the stored row whole.
 
     ``newest_by`` names columns whose largest values mark the last row of a key; together they must
-    be total. Columns in ``keep`` hold on to the value a key was first stored with. Only the keys of the batch meet the target, in an
-    anti-join that Spark broadcasts when the batch is small.
+    be total. Columns in ``keep`` hold on to the value a key was first stored with.
+    With ``newest_wins`` the stored row takes part by the same columns, so that an older row that lands later
+    does not replace a newer one. Only the keys of the batch meet the target.
     """
-    latest = first_per_key(batch, keys, [F.desc(c) for c in newest_by])
+    rows = batch
+    if newest_wins:
+        rows = batch.unionByName(target.join(batch.select(*keys).distinct(), keys, "left_semi"), allowMissingColumns=True)
+    latest = first_per_key(rows, keys, [F.desc(c) for c in newest_by])
     for column in keep:
         first_seen = first_per_key(batch, keys, [F.asc(c) for c in newest_by]).select(*keys, F.col(column).alias("_first"))
         stored = target.select(*keys, F.col(column).alias("_stored"))

@@ -223,8 +223,8 @@ def visual_features(points: DataFrame, strips: DataFrame, zoom: int, image_sourc
 
 def rank_run(links: DataFrame, parcels: DataFrame, geometry_table: DataFrame | None, visual_table: DataFrame | None,
              run_id: str, gates: ranking.Gates = ranking.Gates(), weights: Weights = Weights(),
-             limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(top parcels of a run, funnel)."""
+             limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranked parcels of a run, or the ``limit`` best in order; funnel)."""
     rows = ranking.ranking_rows(links, parcels, geometry_table, visual_table, run_id)
     return ranking.rank_parcels(rows, gates, weights, limit), ranking.funnel(rows, gates, limit)
 

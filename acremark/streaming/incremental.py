@@ -25,23 +25,23 @@ def read_bucketed(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def merge_into(batch: DataFrame, path: str, keys: list[str], newest_by: list[str], buckets: int = 64,
-               keep: list[str] = ()) -> None:
+               keep: list[str] = (), newest_wins: bool = False) -> None:
     """Merge a batch into a stored table laid out in hash buckets of its key.
 
     Only the buckets that the batch touches are read and rewritten. The merged rows go to the shared
-    checkpoint folder first, because the files they come from are then replaced; repeating a batch
-    after a failure gives the same table.
+    checkpoint folder first, because the files they come from are then replaced; repeating a batch that
+    ended gives the same table. A crash while the files of buckets are swapped can lose those buckets.
+    ``newest_wins`` is that of :func:`upsert`. A bucket is written by as many tasks as its size asks for.
     """
     spark = batch.sparkSession
     landed = cut_lineage(batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
     stored = read_bucketed(spark, path)
     if stored is None:
         stored = landed.limit(0)
-    touched = landed.select(BUCKET).distinct()  # at most ``buckets`` rows, a bounded broadcast
-    affected = stored.join(F.broadcast(touched), BUCKET, "left_semi")
-    merged = cut_lineage(upsert(affected, landed, keys, newest_by, keep))
+    affected = stored.join(landed.select(BUCKET).distinct(), BUCKET, "left_semi")
+    merged = cut_lineage(upsert(affected, landed, keys, newest_by, keep, newest_wins))
     (
-        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET).parquet(path)
     )
 
@@ -85,10 +85,10 @@ def replace_children(rows: DataFrame, parents: DataFrame, path: str, keys: list[
     if stored is None:
         merged = cut_lineage(fresh)
     else:
-        affected = stored.join(F.broadcast(owners.select(BUCKET).distinct()), BUCKET, "left_semi")
+        affected = stored.join(owners.select(BUCKET).distinct(), BUCKET, "left_semi")
         merged = cut_lineage(affected.join(owners.select(*keys), keys, "left_anti").unionByName(fresh))
     (
-        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET).parquet(path)
     )
 

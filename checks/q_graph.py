@@ -97,16 +97,11 @@ def _(t):
     FROM pos p JOIN seg s ON p.metre > s.start_m AND p.metre <= s.end_m""")
 def _(t):
     """One line through all way points in key order; features give positions along it."""
-    from pyspark.sql import Window
-
     from acremark.functions.geo import interpolate
     from acremark.operators.spatial import interval_locate
 
     one = t("fx_ways").select(F.lit(1).alias("line"), "k", "lat", "lon")
-    walked = graph.running_distance(one, ["line"], "k")
-    w = Window.partitionBy("line").orderBy("k")
-    segments = walked.select(F.col("metres").alias("start_m"), F.lead("metres").over(w).alias("end_m"), "lat", "lon",
-                             F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2")).where("end_m IS NOT NULL")
+    segments = graph.line_segments(graph.running_distance(one, ["line"], "k"), ["line"], "k", "metres")
     spots = t("fx_osm").select("osm_id", (F.col("osm_id").cast("double") * 997.3 + 1).alias("metre"))
     hit = interval_locate(spots, segments, "metre", "start_m", "end_m", 5000.0)
 

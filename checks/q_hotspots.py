@@ -333,8 +333,7 @@ def _(t):
     SELECT p.parcel_id, 'https://www.google.com/maps/search/?api=1&query=' || printf('%.7f', coalesce(nullif(p.centroid_lat, 0), (p.bbox_min_lat + p.bbox_max_lat) / 2)) || ',' || printf('%.7f', coalesce(nullif(p.centroid_lon, 0), (p.bbox_min_lon + p.bbox_max_lon) / 2)) AS map_link
     FROM fx_parcels p JOIN (SELECT parcel_id, max(candidate_index) AS c FROM fx_links WHERE run_id = 'r1' GROUP BY parcel_id) l ON l.parcel_id = p.parcel_id JOIN fx_shape g ON g.parcel_id = p.parcel_id""")
 def _(t):
-    everything = 2**31 - 1
-    top, _ = analyses.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1", limit=everything)
+    top, _ = analyses.rank_run(t("fx_links"), t("fx_parcels"), t("fx_shape"), None, "r1")
     return top.select("parcel_id", "map_link")
 
 

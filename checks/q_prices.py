@@ -357,10 +357,11 @@ def _(t):
 @query("artifact_stream_upsert", ["fx_artifacts"], """
     SELECT run_id, artifact_type, artifact_key, max(id) AS id, arg_max(payload_json, id) AS payload_json FROM fx_artifacts GROUP BY 1, 2, 3""")
 def _(t):
-    """Batches of published artifacts merged as they land."""
+    """Batches of published artifacts merged as they land, several files per type and not in order of age."""
     landed, out, marks = (scratch_path(t.spark, n) for n in ("landed", "artifacts", "marks"))
     source = t("fx_artifacts")
-    source.write.partitionBy("artifact_type").parquet(landed)
+    source.repartition(6, "id").write.partitionBy("artifact_type").parquet(landed)
     stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(landed)
-    incremental.stream_upsert(stream, out, ["run_id", "artifact_type", "artifact_key"], ["updated_at", "id"], marks, buckets=4).awaitTermination()
+    incremental.stream_upsert(stream, out, ["run_id", "artifact_type", "artifact_key"], ["updated_at", "id"], marks, buckets=4,
+                              newest_wins=True).awaitTermination()
     return t.spark.read.parquet(out).select("run_id", "artifact_type", "artifact_key", "id", "payload_json")

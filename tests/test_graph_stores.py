@@ -148,3 +148,26 @@ def test_page_log(spark):
     assert {r.county_code: (r.pages, r.status) for r in rollup.collect()} == {"c1": (2, "error"), "c2": (1, "ok")}
     total = incremental.page_totals(rollup).first()
     assert (total.counties, total.ok_counties, total.fetched_total, total.errors_total) == (2, 1, 16, 1)
+
+
+def test_an_older_row_that_lands_later_does_not_replace_a_newer_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([("a", 9), ("b", 1)], [("a", 1), ("b", 2), ("c", 5)]):
+        incremental.merge_into(spark.createDataFrame(rows, "k string, n int"), path, ["k"], ["n"], buckets=4, newest_wins=True)
+    assert {r.k: r.n for r in spark.read.parquet(path).collect()} == {"a": 9, "b": 2, "c": 5}
+
+
+def test_running_distance_and_segments_over_many_blocks(spark):
+    rows = [(g, k, 50.0 + 0.001 * ((k * 7) % 11), 16.0 + 0.001 * k) for g in ("a", "b") for k in range(200)]
+    frame = spark.createDataFrame(rows + [("c", 0, 50.0, 16.0)], "g string, k int, lat double, lon double").repartition(5)
+    walked = graph.running_distance(frame, ["g"], "k")
+    got = {(r.g, r.k): r.metres for r in walked.collect()}
+    total, last = 0.0, None
+    for g, k, lat, lon in rows[:200]:
+        total += 0.0 if last is None else hav(last, (lat, lon))
+        last = (lat, lon)
+        assert abs(got["a", k] - total) < 1e-6 and abs(got["b", k] - total) < 1e-6
+    assert got["c", 0] == 0.0 and len(got) == 401
+    parts = graph.line_segments(walked, ["g"], "k", "metres").collect()
+    assert len(parts) == 398
+    assert all(abs(hav((p.lat, p.lon), (p.lat2, p.lon2)) - (p.end_m - p.start_m)) < 1e-6 for p in parts)
