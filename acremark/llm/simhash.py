@@ -208,6 +208,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct(),
             "links",
         )
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root"))
 
 
