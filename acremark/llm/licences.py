@@ -3,7 +3,9 @@
 A notice and a stretch of text are anchored on the words that occur once in both, the longest increasing
 run of anchors is kept, and the gaps between them are aligned the same way. Coverage is the share of the
 notice's words that are matched. Stretches are proposed around the notice's words that are rarest in the
-text: as many of them as could all be missing below the wanted coverage, plus one, so none is overlooked.
+text: as many of them as could all be missing below the wanted coverage, plus one. The same is done with the
+words foreign to the notice left out, and the free parts of the text are aligned as a whole, so foreign
+words inside a notice do not hide it; how far a passage reaches is in its ``n_words``.
 """
 
 from __future__ import annotations
@@ -66,7 +68,11 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list[tuple[int, int, int]]:
     """(first word, word after the last, matched words) of stretches that cover ``least`` of the notice,
-    best first and not overlapping."""
+    best first and not overlapping.
+
+    Stretches of about the notice's length come first. Parts of the text that none of them takes are
+    then aligned as a whole, split where the notice begins anew, so foreign words inside cost nothing.
+    """
     counts = Counter(w for w in words if w in set(notice))
     n = len(notice)
     if not n or sum(w in counts for w in notice) < least * n:
@@ -77,17 +83,59 @@ def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list
     for j in seeds:
         wanted.setdefault(notice[j], []).append(j)
     starts = sorted({i - j for i, w in enumerate(words) if w in wanted for j in wanted[w]})
-    found = []
-    for start in starts:
-        low, high = max(0, start - n // 2), min(len(words), start + n + n // 2)
-        matched = align(words[low:high], notice)
-        if len(matched) >= least * n:
-            found.append((low + matched[0][0], low + matched[-1][0] + 1, len(matched)))
     out: list[tuple[int, int, int]] = []
-    for first, after, matched in sorted(set(found), key=lambda f: (-f[2], f[1] - f[0], f[0])):
-        if all(after <= a or first >= b for a, b, _ in out):
-            out.append((first, after, matched))
-    return out
+
+    def take(found: set[tuple[int, int, int]]) -> None:
+        for first, after, matched in sorted(found, key=lambda f: (-f[2], f[1] - f[0], f[0])):
+            if all(after <= a or first >= b for a, b, _ in out):
+                out.append((first, after, matched))
+
+    near = {_passage(words, notice, max(0, s - n // 2), min(len(words), s + n + n // 2)) for s in starts}
+    take({p for p in near if p[2] == n})
+    before = -1
+    while before < len(out):  # what a passage leaves free may hold the notice again
+        before = len(out)
+        wide = set().union(*(_chained(words, notice, low, high, least) for low, high in _free(out, len(words))))
+        take({p for p in near | wide if p[2] >= least * n})
+    return sorted(out, key=lambda f: (-f[2], f[1] - f[0], f[0]))
+
+
+def _passage(words: list[bytes], notice: list[bytes], low: int, high: int) -> tuple[int, int, int]:
+    matched = align(words[low:high], notice)
+    return (low + matched[0][0], low + matched[-1][0] + 1, len(matched)) if matched else (low, low, 0)
+
+
+def _free(taken: list[tuple[int, int, int]], end: int) -> list[tuple[int, int]]:
+    """The stretches between passages that are taken."""
+    edges = [(0, 0), *sorted((a, b) for a, b, _ in taken), (end, end)]
+    return [(b, a) for (_, b), (a, _) in zip(edges, edges[1:]) if b < a]
+
+
+def _chained(words: list[bytes], notice: list[bytes], low: int, high: int, least: float) -> set[tuple[int, int, int]]:
+    """Passages of the text from ``low`` to ``high``, read with the words foreign to the notice left out.
+
+    What remains is aligned in stretches of about the notice's length, and the whole text from ``low`` to ``high`` once.
+    """
+    known = set(notice)
+    own = [i for i in range(low, high) if words[i] in known]
+    n, found = len(notice), set()
+    need = least * n
+    if len(own) < need:
+        return found
+    kept = [words[i] for i in own]
+    counts = Counter(kept)
+    spare = int((1 - least) * n + 1e-9) + 1
+    wanted: dict[bytes, list[int]] = {}
+    for j in sorted(range(n), key=lambda j: (counts[notice[j]], j))[:spare]:
+        wanted.setdefault(notice[j], []).append(j)
+    for start in sorted({i - j for i, w in enumerate(kept) for j in wanted.get(w, ())}):
+        first, after, matched = _passage(kept, notice, max(0, start - n // 2), min(len(kept), start + n + n // 2))
+        if matched >= need:
+            found.add((own[first], own[after - 1] + 1, matched))
+    first, after, matched = _passage(words, notice, low, high)
+    if matched >= need:
+        found.add((first, after, matched))
+    return found
 
 
 def _outdone(passage: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
@@ -118,7 +166,7 @@ def notices(analyses: DataFrame, templates: dict[str, str], analysis_id: str = "
                     seen = vocabulary.intersection(words)
                     found = {}
                     for name, notice in worded.items():
-                        if notice and sum(w in seen for w in notice) >= least * len(notice):
+                        if notice and len(words) >= least * len(notice) and sum(w in seen for w in notice) >= least * len(notice):
                             found[name] = best_passages(words, notice, least)
                     for name, own in found.items():
                         own = [p for p in own if not _outdone(p, [q for n, more in found.items() if n != name for q in more])]
