@@ -23,6 +23,10 @@ from acremark.llm.common import LOWER_BYTES, byte_texts, row_slices
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
 
+#: Notices of more words are aligned with the whole text first, and stretches of them are taken in steps.
+LONG = 100
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Words of letters and digits, A-Z lower-cased."""
     return text.translate(_PLAIN).split()
@@ -73,9 +77,9 @@ def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list
     Stretches of about the notice's length come first. Parts of the text that none of them takes are
     then aligned as a whole, split where the notice begins anew, so foreign words inside cost nothing.
     """
-    counts = Counter(w for w in words if w in set(notice))
-    n = len(notice)
-    if not n or sum(w in counts for w in notice) < least * n:
+    known, n = Counter(notice), len(notice)
+    counts = Counter(w for w in words if w in known)
+    if not n or sum((counts & known).values()) < least * n:
         return []
     spare = int((1 - least) * n + 1e-9) + 1
     seeds = sorted(range(n), key=lambda j: (counts[notice[j]], j))[:spare]
@@ -90,7 +94,11 @@ def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list
             if all(after <= a or first >= b for a, b, _ in out):
                 out.append((first, after, matched))
 
-    near = {_passage(words, notice, max(0, s - n // 2), min(len(words), s + n + n // 2)) for s in starts}
+    if n > LONG:
+        whole = _passage(words, notice, 0, len(words))
+        take({whole} if whole[2] >= least * n else set())
+    near = {_passage(words, notice, low, high) for low, high in _windows(starts, n, len(words))
+            if not any(a < high and low < b for a, b, _ in out) or n <= LONG}
     take({p for p in near if p[2] == n})
     before = -1
     while before < len(out):  # what a passage leaves free may hold the notice again
@@ -100,6 +108,13 @@ def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list
     return sorted(out, key=lambda f: (-f[2], f[1] - f[0], f[0]))
 
 
+def _windows(starts: list[int], n: int, end: int) -> list[tuple[int, int]]:
+    """The stretch of each start of a notice, n/2 words wider on both sides; for long ones a quarter more, for starts side by side."""
+    step = n // 4 if n > LONG else 1
+    blocks = sorted({s // step * step for s in starts})
+    return [(a, b) for s in blocks if (a := max(0, s - n // 2)) < (b := min(end, s + step - 1 + n + n // 2))]
+
+
 def _passage(words: list[bytes], notice: list[bytes], low: int, high: int) -> tuple[int, int, int]:
     matched = align(words[low:high], notice)
     return (low + matched[0][0], low + matched[-1][0] + 1, len(matched)) if matched else (low, low, 0)
@@ -128,8 +143,10 @@ def _chained(words: list[bytes], notice: list[bytes], low: int, high: int, least
     wanted: dict[bytes, list[int]] = {}
     for j in sorted(range(n), key=lambda j: (counts[notice[j]], j))[:spare]:
         wanted.setdefault(notice[j], []).append(j)
-    for start in sorted({i - j for i, w in enumerate(kept) for j in wanted.get(w, ())}):
-        first, after, matched = _passage(kept, notice, max(0, start - n // 2), min(len(kept), start + n + n // 2))
+    for a, b in _windows(sorted({i - j for i, w in enumerate(kept) for j in wanted.get(w, ())}), n, len(kept)):
+        if sum((Counter(kept[a:b]) & Counter(notice)).values()) < need:
+            continue
+        first, after, matched = _passage(kept, notice, a, b)
         if matched >= need:
             found.add((own[first], own[after - 1] + 1, matched))
     first, after, matched = _passage(words, notice, low, high)

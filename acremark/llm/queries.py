@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("osm_id").alias("doc_id"), held.alias("held_out"), F.col("language_pred").alias("lang_pred"), "score")
 
 
-#: Short forms of well-known licence notices.
+#: Short forms, usual headers and lines of well-known licences.
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
@@ -152,12 +153,33 @@ NOTICES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Released under the MIT License.",
     "odbl-1.0": "This database is made available under the Open Database License.",
+    "all-rights-reserved": "All rights reserved.",
+    "spdx": "SPDX-License-Identifier:",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+    "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
+    'to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+    "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    **{f"{name}-{version}-header": f"{kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {family}General Public "
+       f"License as published by the Free Software Foundation; either version {version.removesuffix('.0')} of the License, or (at your option) any "
+       f"later version. {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+       f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {family}General Public License for more details."
+       for name, version, family, kind in (("gpl", "2.0", "", "This program"), ("gpl", "3.0", "", "This program"),
+                                           ("lgpl", "2.1", "Lesser ", "This library"), ("lgpl", "3.0", "Lesser ", "This library"))},
 }
 
 
+def licence_templates() -> dict[str, str]:
+    """:data:`NOTICES` and the whole texts of ``licence_texts``, named by their file with ``-text``."""
+    whole = resources.files(__package__) / "licence_texts"
+    return NOTICES | {f"{f.name.removesuffix('.txt').lower()}-text": f.read_text("utf-8") for f in sorted(whole.iterdir(), key=lambda f: f.name)}
+
+
 @registered
 def op9_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.notices(analyses(spark, sf_dir), NOTICES).withColumnRenamed("analysis_number", "doc_id")
+    return licences.notices(analyses(spark, sf_dir), licence_templates()).withColumnRenamed("analysis_number", "doc_id")
 
 
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}

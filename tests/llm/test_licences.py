@@ -16,3 +16,18 @@ def test_foreign_words_inside_a_notice():
     assert found("Released " + "x " * 40 + "under the MIT License") == [(0, 45, 5)]
     assert found("Released under the MIT License and released under the MIT License") == [(0, 5, 5), (6, 11, 5)]
     assert found("under the road") == []
+
+
+def test_query_finds_whole_licences_with_small_changes(spark, tmp_path):
+    templates = queries.licence_templates()
+    texts = []
+    for name in sorted(templates):
+        words = templates[name].split()
+        if len(words) > 30:
+            words[5:5] = ["indeed", "so"]
+            words[15] = "changed"
+        texts.append((name, "before it " + " ".join(words) + " after it"))
+    spark.createDataFrame(texts, "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.notice): r.coverage for r in queries.op9_licence_notices(spark, str(tmp_path)).collect()}
+    assert all(got[name, name] > 0.95 for name in templates)
+    assert {n for d, n in got if d == "mit-text"} == {"mit-text"}
