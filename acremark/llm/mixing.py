@@ -20,8 +20,9 @@ LEVELS = ("producer_skill", "artifact_type", "artifact_key")
 
 
 def _weight(level: str, weights: dict[str, dict[str, float]], value: Column) -> Column:
-    out = F.lit(1.0)
-    for name, w in (weights.get(level) or {}).items():
+    given = weights.get(level) or {}
+    out = F.lit(float(given.get(None, 1.0)))
+    for name, w in ((k, w) for k, w in given.items() if k is not None):
         out = F.when(value == name, F.lit(float(w))).otherwise(out)
     return out
 
@@ -52,8 +53,8 @@ def mix(artifacts: DataFrame, share: float, weights: dict[str, dict[str, float]]
         artifact_id: str = "artifact_id", payload: str = "payload_json", epochs: int = 2, seed: int = 17) -> DataFrame:
     """The chosen rows with ``n_tokens`` (words between blanks) and ``copies`` (1 to ``epochs``).
 
-    ``share`` of all tokens is the budget; ``weights`` gives positive weights by level and value, 1 where
-    none is given. Null values of a level count as the empty name. Rows without words cost nothing and
+    ``share`` of all tokens is the budget; ``weights`` gives positive weights by level and value; others
+    have that of None, or 1. Null values of a level count as the empty name. Rows without words cost nothing and
     are kept as long as their leaf's run lasts. Rows with equal ids are drawn one after the other. An
     empty table gives no rows; columns named like the new ones are replaced.
     """
