@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, row_slices, stored
+from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, row_slices
 
 BUCKETS, FACTORS = 1 << 20, 4
 #: Labelled rows of each kind that a model is trained on, at most.
 SAMPLE = 4000
+#: The least chi-square of a bucket and the label; below it most words would only be learned by heart.
+LEAST = 12.0
 #: Letters lower-cased, other ASCII but digits to blanks; bytes of other scripts stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
@@ -50,19 +52,47 @@ def hashed_words(text: bytes, buckets: dict[bytes, tuple[int, ...]]) -> np.ndarr
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
-def telling_buckets(rows: DataFrame, least: float = 12.0, most: int = 1000) -> DataFrame:
-    """Up to ``most`` buckets whose presence and label depend on each other, from rows of (items, label).
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """``item``, ``n`` and ``n1``: how many rows, and of label 1, have the bucket, over all rows of (text, label)."""
 
-    Measured by the chi-square with the continuity correction, ``least`` at least; most words of a
-    language say nothing and would only be learned by heart.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, counts = _Buckets(), np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for piece in row_slices(batch, 0, 16 << 20):
+                for t, v in zip(byte_texts(piece.column(0)), piece.column(1).to_pylist()):
+                    counts[v, hashed_words(t, buckets)] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[:, at].sum(axis=0)), pa.array(counts[1, at])], ["item", "n", "n1"])
+
+    return rows.mapInArrow(run, "item bigint, n bigint, n1 bigint").groupBy("item").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+
+def _dependence(n, n1, has, both):
+    """The chi-square with the continuity correction of a presence and a label."""
+    gap = np.maximum(np.abs(both * n - has * n1) - n / 2, 0.0)
+    return n * gap * gap / np.maximum(has * (n - has) * n1 * (n - n1), 1.0)
+
+
+def pair_buckets(sets: list[np.ndarray], labels: np.ndarray, least: float = 40.0, most: int = 2000) -> np.ndarray:
+    """Buckets of pairs of which one depends on the label among the rows that have the other, by ``least`` at least.
+
+    The pairs are those of the ``most`` most frequent buckets of the sample that not all rows have.
     """
-    n, n1 = (rows.agg(f.cast("double").alias("n")).select("n").scalar() for f in (F.count("*"), F.sum("label")))
-    seen = rows.select(F.explode("items").alias("item"), "label").groupBy("item").agg(
-        F.count("*").cast("double").alias("has"), F.sum("label").cast("double").alias("both"))
-    gap = F.greatest(F.abs(F.col("both") * n - F.col("has") * n1) - n / 2, F.lit(0.0))
-    value = n * gap * gap / F.greatest(F.col("has") * (n - F.col("has")) * n1 * (n - n1), F.lit(1.0))
-    found = seen.select("item", value.alias("value")).where(F.col("value") >= least)
-    return found.orderBy(F.desc("value"), "item").limit(most).select("item")
+    items, n = np.unique(np.concatenate(sets), return_counts=True) if len(sets) else (np.zeros(0, np.int64),) * 2
+    items, n = items[n < len(sets)], n[n < len(sets)]
+    items = np.sort(items[np.lexsort((items, -n))[:most]])
+    if not len(items):
+        return items
+    has = np.zeros((len(sets), len(items)), np.float32)
+    for row, s in enumerate(sets):
+        has[row, np.flatnonzero(np.isin(items, s, assume_unique=True))] = 1
+    both, toxic = has.T @ has, has[labels == 1].T @ has[labels == 1]
+    told = np.zeros(len(items), bool)
+    for a in range(len(items)):
+        hit = _dependence(float(both[a, a]), float(toxic[a, a]), both[a].astype(np.float64), toxic[a].astype(np.float64)) >= least
+        told |= hit
+        told[a] |= hit.any()
+    return items[told]
 
 
 @dataclass
@@ -119,7 +149,14 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, factors: i
 
 def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: str = "analysis_number", text: str = "description",
           label: str = "offensive", most: int = SAMPLE, seed: int = 7) -> Machine:
-    """A machine from at most ``most`` rows of each label among those of ``labels`` where ``learn`` holds."""
+    """A machine from at most ``most`` rows of each label among those of ``labels`` where ``learn`` holds.
+
+    Its buckets are those whose presence and label depend on each other over all such rows, and of the sample
+    those that tell beside another, as :func:`pair_buckets` finds them. The bias is that of the share of labels among all such rows, not of the sample. Without
+    labels all scores are near 0.
+    """
+    known = labels.where(learn).select(analysis_id, F.col(label).cast("int").alias(label))
+    known = known.where(F.col(analysis_id).isNotNull() & F.col(label).isin(0, 1)).dropDuplicates([analysis_id])
     chosen = bounded_sample(labels.where(learn), analysis_id, label, most, seed, each=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +165,23 @@ def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: st
             sets = [hashed_words(t, buckets) for t in byte_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64())), batch.column(1), batch.column(2)], ["items", "label", "place"])
 
+    n = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
+    counted = bucket_counts(analyses.select(analysis_id, text).join(known, analysis_id).select(text, label)).where("n > 2").toPandas()
+    value = _dependence(float(sum(n.values())), float(n.get(1, 0)), counted["n"].to_numpy(np.float64), counted["n1"].to_numpy(np.float64))
+    telling = counted["item"].to_numpy(np.int64)[value >= LEAST]
     rows = analyses.select(analysis_id, text).join(F.broadcast(chosen), analysis_id).select(
         text, F.col(label).alias("label"), F.xxhash64(F.col(analysis_id).cast("string"), F.lit(seed)).alias("place"))
-    rows = stored(rows.mapInArrow(run, "items array<bigint>, label int, place bigint"), "hashed")
-    kept = np.sort(np.array([r["item"] for r in telling_buckets(rows).collect()], dtype=np.int64))
-    few = F.array(*[F.lit(int(k)) for k in kept]).cast("array<bigint>")
-    got = rows.select(F.array_intersect("items", few).alias("items"), "label", "place").toPandas().sort_values("place", kind="stable")
-    return fit([np.sort(np.asarray(s, dtype=np.int64)) for s in got["items"]], got["label"].to_numpy(np.float64), kept, seed=seed)
+    got = rows.mapInArrow(run, "items array<bigint>, label int, place bigint").toPandas().sort_values("place", kind="stable")
+    sets, is_one = [np.asarray(s, dtype=np.int64) for s in got["items"]], got["label"].to_numpy(np.float64)
+    kept = np.union1d(telling, pair_buckets(sets, is_one))
+    sets = [s[np.isin(s, kept, assume_unique=True)] for s in sets]
+    machine = fit(sets, is_one, kept, seed=seed)
+    if not len(got):
+        machine.bias = -40.0
+        return machine
+    if len(n) == 2:  # what the sample took of each label
+        machine.bias -= np.log(min(n[1], most) / n[1]) - np.log(min(n[0], most) / n[0])
+    return machine
 
 
 def score(analyses: DataFrame, machine: Machine, text: str = "description") -> DataFrame:
