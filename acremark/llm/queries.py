@@ -8,7 +8,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acremark.llm import decontaminate, imatch, language, licences, mixing, ppm, quality, sharding, simhash, toxicity
+from acremark.llm import decontaminate, imatch, language, licences, mixing, phrases, ppm, quality, search, sharding, simhash, toxicity, urls
 from acremark.llm.common import remainder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,72 @@ s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY a, b, c ORDER BY h, doc_id ROWS
 r AS (SELECT doc_id, domain, lang, source, n_tokens, least(whole, 2) + CASE WHEN upto <= rest AND whole < 2 THEN 1 ELSE 0 END AS copies FROM s)
 SELECT * FROM r WHERE copies > 0
 """
+
+
+@registered
+def op11_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("payload_json"))
+    lists = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("key"), F.col("text").alias("description"))
+    return search.search(artifacts, lists, 10).select(F.col("key").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLE["op11_automaton_search"] = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM doc),
+term AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM doc) GROUP BY doc_id, n, term),
+item AS (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term FROM benchmark),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM term GROUP BY term), size),
+part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS v FROM term JOIN weight USING (term), size),
+total AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM item JOIN part USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM total WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@registered
+def op12_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artifacts = documents(spark, sf_dir).select(F.col("lang").alias("artifact_type"), F.col("text").alias("payload_json"))
+    return phrases.collocations(artifacts).withColumnRenamed("artifact_type", "lang").withColumn("rank", F.col("rank").cast("long"))
+
+
+ORACLE["op12_tiled_collocations"] = r"""
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS id, w FROM (
+    SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS p FROM documents)) WHERE len(w) > 0),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS words FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, words, count(*) AS a FROM gram GROUP BY lang, k, words HAVING count(*) >= 30),
+cut AS (SELECT lang, k, words, a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+scored AS (
+  SELECT cut.lang, cut.k, cut.words, cut.a, c, l.a AS l, r.a AS r, CAST((CAST(2000000 AS HUGEINT) * cut.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.words = list_slice(cut.words, 1, c) JOIN f r ON r.lang = cut.lang AND r.words = list_slice(cut.words, c + 1, cut.k)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, c) AS o FROM scored) WHERE o = 1),
+sub AS (
+  SELECT lang, max(a) AS a, list_slice(words, i, i + m - 1) AS words FROM (
+    SELECT lang, words, k, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY lang, list_slice(words, i, i + m - 1)),
+kept AS (
+  SELECT best.*, list_aggregate(best.words, 'string_agg', ' ') AS phrase FROM best LEFT JOIN sub ON sub.lang = best.lang AND sub.words = best.words
+  WHERE sub.a IS NULL OR CAST(100 AS HUGEINT) * sub.a < 80 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+#: The rules as the contract states them.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@registered
+def op13_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("osm_id"), F.col("url").alias("website"))
+    return urls.judge(features, URL_RULES).select(F.col("osm_id").alias("page_id"), "host", "path", "rule", "verdict", "score")
