@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from acremark.llm.common import bounded_sample, byte_texts, row_slices
+from acremark.llm.common import bounded_sample, byte_texts, known_labels, row_slices
 
 #: Labelled rows that are kept as neighbours, at most, and what is taken of them.
 SAMPLE, DIRECTIONS, NEIGHBOURS = 6000, 48, 15
@@ -81,13 +81,16 @@ class Space:
         return _unit(_weights([form_terms(t) for t in texts], self.terms, self.idf) @ self.directions)
 
     def vote(self, texts: list[bytes], neighbours: int = NEIGHBOURS, block: int = 256) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine."""
+        """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine; equally near ones in their order."""
         out = np.full(len(texts), float(self.labels.mean()) if len(self.labels) else 0.5)
         k = min(neighbours, len(self.labels))
         for at in range(0, len(texts) if k else 0, block):
             placed = self.place(texts[at : at + block])
             cosine = placed @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            last = np.partition(cosine, -k, axis=1)[:, -k, None]  # of equally near rows at the end the first count
+            tied = cosine == last
+            above = cosine > last
+            near = np.nonzero(above | tied & (tied.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))[1].reshape(-1, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6) ** 8
             known = (placed != 0).any(axis=1)
             got = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
@@ -111,7 +114,7 @@ def _weights(found: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, idf:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, directions: int = DIRECTIONS, least: int = 3, most_terms: int = 2500) -> Space:
-    """The latent space of labelled texts; terms in fewer than ``least`` of them are left out."""
+    """The latent space of labelled texts, of the ``most_terms`` most frequent terms that ``least`` of them have."""
     found = [form_terms(t) for t in texts]
     seen, df = np.unique(np.concatenate([t for t, _ in found]) if found else np.array([], np.int64), return_counts=True)
     strong = np.sort(np.argsort(-df, kind="stable")[:most_terms])
@@ -125,8 +128,8 @@ def fit(texts: list[bytes], labels: np.ndarray, directions: int = DIRECTIONS, le
 
 def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: str = "analysis_number", text: str = "description",
           label: str = "usable", most: int = SAMPLE, seed: int = 11) -> Space:
-    """A space from at most ``most`` labelled rows among those of ``labels`` where ``learn`` holds."""
-    chosen = bounded_sample(labels.where(learn), analysis_id, label, most, seed)
+    """A space from at most ``most`` labelled ids among those of ``labels`` where ``learn`` holds; of two labels of one id the larger counts."""
+    chosen = bounded_sample(known_labels(labels.where(learn), analysis_id, label), analysis_id, label, most, seed)
     rows = analyses.select(analysis_id, text).join(F.broadcast(chosen), analysis_id).select(
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(label).alias("label"),
         F.xxhash64(F.col(analysis_id).cast("string"), F.lit(seed)).alias("place"))

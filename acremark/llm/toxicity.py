@@ -13,17 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, row_slices
+from acremark.llm.common import LOWER_BYTES, bounded_sample, byte_texts, known_labels, row_slices
 
 BUCKETS, FACTORS = 1 << 20, 4
 #: Labelled rows of each kind that a model is trained on, at most.
 SAMPLE = 4000
-#: The least chi-square of a bucket and the label; below it most words would only be learned by heart.
-LEAST = 12.0
+#: Rows of the sample that a bucket must have to be learned, and to be looked at for partners.
+LEAST_ROWS, PAIR_ROWS = 3, 50
+_EXPANDED = 1 << 22
 #: Letters lower-cased, other ASCII but digits to blanks; bytes of other scripts stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
@@ -52,47 +54,96 @@ def hashed_words(text: bytes, buckets: dict[bytes, tuple[int, ...]]) -> np.ndarr
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
-def bucket_counts(rows: DataFrame) -> DataFrame:
-    """``item``, ``n`` and ``n1``: how many rows, and of label 1, have the bucket, over all rows of (text, label)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, counts = _Buckets(), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for piece in row_slices(batch, 0, 16 << 20):
-                for t, v in zip(byte_texts(piece.column(0)), piece.column(1).to_pylist()):
-                    counts[v, hashed_words(t, buckets)] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[:, at].sum(axis=0)), pa.array(counts[1, at])], ["item", "n", "n1"])
-
-    return rows.mapInArrow(run, "item bigint, n bigint, n1 bigint").groupBy("item").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-
-
 def _dependence(n, n1, has, both):
     """The chi-square with the continuity correction of a presence and a label."""
     gap = np.maximum(np.abs(both * n - has * n1) - n / 2, 0.0)
     return n * gap * gap / np.maximum(has * (n - has) * n1 * (n - n1), 1.0)
 
 
-def pair_buckets(sets: list[np.ndarray], labels: np.ndarray, least: float = 40.0, most: int = 2000) -> np.ndarray:
-    """Buckets of pairs of which one depends on the label among the rows that have the other, by ``least`` at least.
+@dataclass
+class Sample:
+    """Rows as one array of places of their buckets in ``kept``, row after row, and their labels.
+
+    ``kept`` (sorted) are the buckets that ``LEAST_ROWS`` rows or more have; ``start[r]`` is where row r begins in ``flat``.
+    """
+
+    kept: np.ndarray
+    flat: np.ndarray
+    start: np.ndarray
+    labels: np.ndarray
+
+    @staticmethod
+    def of(items: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Sample:
+        """From the buckets of all rows, one row after the other, and their number in each row."""
+        known, place, n = np.unique(items, return_inverse=True, return_counts=True)
+        kept = n >= LEAST_ROWS
+        place = np.where(kept, np.cumsum(kept) - 1, -1)[place]
+        row = np.repeat(np.arange(len(sizes)), sizes)[place >= 0]
+        return Sample(known[kept], place[place >= 0].astype(np.int32), np.searchsorted(row, np.arange(len(sizes) + 1)), labels)
+
+    def dependence(self) -> np.ndarray:
+        """Chi-square of each kept bucket and the label."""
+        n = np.bincount(self.flat, minlength=len(self.kept))
+        n1 = np.bincount(self.flat, np.repeat(self.labels, np.diff(self.start)), len(self.kept))
+        return _dependence(float(len(self.labels)), float(self.labels.sum()), n.astype(np.float64), n1)
 
-    The pairs are those of the ``most`` most frequent buckets of the sample that not all rows have.
+
+def _interaction(n, n1, a, a1, b, b1, both, both1) -> np.ndarray:
+    """Squared z of how much the log odds ratio of b and the label differs between rows with and without a."""
+
+    def ratio(rows, rows1, has, has1):
+        cells = [np.maximum(x, 0) + 0.5 for x in (has1, has - has1, rows1 - has1, rows - has - rows1 + has1)]
+        return np.log(cells[0] * cells[3] / (cells[1] * cells[2])), sum(1 / x for x in cells)
+
+    one, other = ratio(a, a1, both, both1), ratio(n - a, n1 - a1, b - both, b1 - both1)
+    return (one[0] - other[0]) ** 2 / (one[1] + other[1])
+
+
+def pair_buckets(spark: SparkSession, sample: Sample, least: float = 25.0) -> np.ndarray:
+    """Places in ``sample.kept`` of buckets with a partner: the label depends on both together otherwise than on each alone.
+
+    All pairs of buckets with ``PAIR_ROWS`` rows each are counted; with fewer rows no pair reaches ``least``. The buckets are
+    dealt to tasks, which count the pairs of theirs with all later ones.
     """
-    items, n = np.unique(np.concatenate(sets), return_counts=True) if len(sets) else (np.zeros(0, np.int64),) * 2
-    items, n = items[n < len(sets)], n[n < len(sets)]
-    items = np.sort(items[np.lexsort((items, -n))[:most]])
-    if not len(items):
-        return items
-    has = np.zeros((len(sets), len(items)), np.float32)
-    for row, s in enumerate(sets):
-        has[row, np.flatnonzero(np.isin(items, s, assume_unique=True))] = 1
-    both, toxic = has.T @ has, has[labels == 1].T @ has[labels == 1]
-    told = np.zeros(len(items), bool)
-    for a in range(len(items)):
-        hit = _dependence(float(both[a, a]), float(toxic[a, a]), both[a].astype(np.float64), toxic[a].astype(np.float64)) >= least
-        told |= hit
-        told[a] |= hit.any()
-    return items[told]
+    n, rows = np.bincount(sample.flat, minlength=len(sample.kept)), len(sample.labels)
+    some = np.flatnonzero((n >= PAIR_ROWS) & (n < rows))
+    if len(some) < 2:
+        return some[:0]
+    place = np.full(len(n), -1)
+    place[some] = np.arange(len(some))
+    flat = place[sample.flat]
+    row = np.repeat(np.arange(rows), np.diff(sample.start))[flat >= 0].astype(np.int32)
+    shared = spark.sparkContext.broadcast((flat[flat >= 0].astype(np.int32), row, sample.labels.astype(np.int8)))
+    blocks = -(-len(some) // 64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, row, labels = shared.value
+        end = np.searchsorted(row, np.arange(len(labels)), side="right")
+        order, m = np.argsort(flat, kind="stable"), len(some)
+        first = np.searchsorted(flat[order], np.arange(m + 1))
+        own, own1 = np.bincount(flat, minlength=m), np.bincount(flat, labels[row], m)
+        told = np.zeros(m, bool)
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                mine = np.arange(block, m, blocks)
+                both = np.zeros((2, len(mine) * m))
+                at = np.concatenate([order[first[i]:first[i + 1]] for i in mine])
+                local = np.repeat(np.arange(len(mine)), first[mine + 1] - first[mine])
+                later = end[row[at]] - at - 1
+                for part in np.array_split(np.arange(len(at)), 1 + int(later.sum()) // _EXPANDED):
+                    k = later[part]
+                    cell = np.repeat(local[part] * m, k) + flat[np.arange(k.sum()) + np.repeat(at[part] + 1 - np.cumsum(k) + k, k)]
+                    both[0] += np.bincount(cell, minlength=both.shape[1])
+                    both[1] += np.bincount(cell, np.repeat(labels[row[at[part]]], k), both.shape[1])
+                for i, a in enumerate(mine):
+                    pair, pair1 = both[:, i * m:(i + 1) * m]
+                    hit = (_interaction(len(labels), labels.sum(dtype=np.int64), own[a], own1[a], own, own1, pair, pair1) >= least) & (np.arange(m) > a)
+                    told |= hit
+                    told[a] |= hit.any()
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(told), pa.int64())], ["place"])
+
+    told = spark.range(0, blocks, 1, min(blocks, 64)).mapInArrow(run, "place bigint").distinct().toPandas()["place"]
+    return np.sort(some[told.to_numpy(np.int64)])
 
 
 @dataclass
@@ -114,69 +165,72 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, factors: int = FACTORS, epochs: int = 40, batch: int = 32,
-        rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Logistic factorization machine over the ``kept`` buckets (sorted) by adaptive gradient steps."""
+def fit(sample: Sample, paired: np.ndarray, factors: int = FACTORS, epochs: int = 20, batch: int = 256, rate: float = 0.2, seed: int = 7) -> Machine:
+    """Logistic factorization machine over all buckets of the sample, by adaptive gradient steps.
+
+    Every bucket has a weight and a vector. The less a bucket and the label depend on each other, the more both decay, so that
+    few words are learned by heart; vectors of ``paired`` places hardly decay.
+    """
     rng = np.random.default_rng(seed)
+    kept, labels = sample.kept, sample.labels
     share = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
-    model = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors)))
+    model = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors)))
     if not len(kept):
         return model
-    places = [np.searchsorted(kept, s) for s in sets]
+    decay_w = 1e-4 + 0.1 / (1 + sample.dependence() ** 2)
+    decay_v = decay_w.copy()
+    decay_v[paired] = 1e-4
+    model.vectors[paired] *= 2
     grad_w, grad_v, grad_b = np.full(len(kept), 1e-6), np.full(model.vectors.shape, 1e-6), 1e-6
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(places)), max(1, len(places) // batch)):
-            flat = np.concatenate([places[r] for r in rows])
-            row = np.repeat(np.arange(len(rows)), [len(places[r]) for r in rows])
-            v = model.vectors[flat]
-            total = np.zeros((len(rows), factors))
-            np.add.at(total, row, v)
-            raw = model.bias + np.bincount(row, model.weights[flat], len(rows)) + 0.5 * (
+        for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch, min(len(labels) // 32, 8))):
+            n = sample.start[rows + 1] - sample.start[rows]
+            row = np.repeat(np.arange(len(rows)), n)
+            at = sample.flat[np.arange(n.sum()) + np.repeat(sample.start[rows] - np.cumsum(n) + n, n)]
+            v = model.vectors[at]
+            total = np.stack([np.bincount(row, v[:, f], len(rows)) for f in range(factors)], axis=1)
+            raw = model.bias + np.bincount(row, model.weights[at], len(rows)) + 0.5 * (
                 (total**2).sum(axis=1) - np.bincount(row, (v**2).sum(axis=1), len(rows)))
             off = 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - labels[rows]
-            used, where = np.unique(flat, return_inverse=True)
-            dw = np.bincount(where, off[row], len(used)) / len(rows) + decay * model.weights[used]
+            dw = np.bincount(at, off[row], len(kept)) / len(rows) + decay_w * model.weights
             step = off[row][:, None] * (total[row] - v) / len(rows)
-            dv = np.stack([np.bincount(where, step[:, f], len(used)) for f in range(factors)], axis=1) + decay * model.vectors[used]
-            grad_w[used] += dw**2
-            grad_v[used] += dv**2
+            dv = np.stack([np.bincount(at, step[:, f], len(kept)) for f in range(factors)], axis=1) + decay_v[:, None] * model.vectors
+            grad_w += dw**2
+            grad_v += dv**2
             grad_b += off.mean() ** 2
-            model.weights[used] -= rate * dw / np.sqrt(grad_w[used])
-            model.vectors[used] -= 0.2 * rate * dv / np.sqrt(grad_v[used])
+            model.weights -= rate * dw / np.sqrt(grad_w)
+            model.vectors -= 0.2 * rate * dv / np.sqrt(grad_v)
             model.bias -= rate * off.mean() / np.sqrt(grad_b)
     return model
 
 
 def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: str = "analysis_number", text: str = "description",
           label: str = "offensive", most: int = SAMPLE, seed: int = 7) -> Machine:
-    """A machine from at most ``most`` rows of each label among those of ``labels`` where ``learn`` holds.
+    """A machine from at most ``most`` ids of each label among those of ``labels`` where ``learn`` holds.
 
-    Its buckets are those whose presence and label depend on each other over all such rows, and of the sample
-    those that tell beside another, as :func:`pair_buckets` finds them. The bias is that of the share of labels among all such rows, not of the sample. Without
-    labels all scores are near 0.
+    Of two labels of one id the larger counts. The machine has every bucket that ``LEAST_ROWS`` rows of the sample have. The
+    bias is that of the share of labels among all such ids, not of the sample. Without labels all scores are near 0.
+    Only the sample's buckets come to the driver; no text is shuffled.
     """
-    known = labels.where(learn).select(analysis_id, F.col(label).cast("int").alias(label))
-    known = known.where(F.col(analysis_id).isNotNull() & F.col(label).isin(0, 1)).dropDuplicates([analysis_id])
-    chosen = bounded_sample(labels.where(learn), analysis_id, label, most, seed, each=True)
+    known = known_labels(labels.where(learn), analysis_id, label)
+    n = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
+    chosen = bounded_sample(known, analysis_id, label, most, seed, each=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
             sets = [hashed_words(t, buckets) for t in byte_texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64())), batch.column(1), batch.column(2)], ["items", "label", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["items", "label", "place"])
 
-    n = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
-    counted = bucket_counts(analyses.select(analysis_id, text).join(known, analysis_id).select(text, label)).where("n > 2").toPandas()
-    value = _dependence(float(sum(n.values())), float(n.get(1, 0)), counted["n"].to_numpy(np.float64), counted["n1"].to_numpy(np.float64))
-    telling = counted["item"].to_numpy(np.int64)[value >= LEAST]
     rows = analyses.select(analysis_id, text).join(F.broadcast(chosen), analysis_id).select(
         text, F.col(label).alias("label"), F.xxhash64(F.col(analysis_id).cast("string"), F.lit(seed)).alias("place"))
-    got = rows.mapInArrow(run, "items array<bigint>, label int, place bigint").toPandas().sort_values("place", kind="stable")
-    sets, is_one = [np.asarray(s, dtype=np.int64) for s in got["items"]], got["label"].to_numpy(np.float64)
-    kept = np.union1d(telling, pair_buckets(sets, is_one))
-    sets = [s[np.isin(s, kept, assume_unique=True)] for s in sets]
-    machine = fit(sets, is_one, kept, seed=seed)
-    if not len(got):
+    got = rows.mapInArrow(run, "items array<int>, label int, place bigint").toArrow()
+    order = np.argsort(got["place"].to_numpy(), kind="stable")
+    got = got.take(pa.array(order)).combine_chunks()
+    sizes = pc.list_value_length(got["items"]).to_numpy().astype(np.int64)
+    sample = Sample.of(pc.list_flatten(got["items"]).to_numpy(), sizes, got["label"].to_numpy().astype(np.float64))
+    machine = fit(sample, pair_buckets(analyses.sparkSession, sample), seed=seed)
+    if not len(sizes):
         machine.bias = -40.0
         return machine
     if len(n) == 2:  # what the sample took of each label

@@ -232,7 +232,7 @@ def test_exact_neighbours(spark):
         cosine = space.vectors @ p
         near = np.argsort(-cosine, kind="stable")[:3]
         weight = np.maximum(cosine[near], 1e-6) ** 8
-        assert abs(v - (weight * space.labels[near]).sum() / weight.sum()) < 0.2
+        assert abs(v - (weight * space.labels[near]).sum() / weight.sum()) < 1e-5
 
 
 def test_machine_adds_pairs_of_words():
