@@ -39,7 +39,17 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(frame.sparkSession, label)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables of frames that :func:`stored` gave; nothing that reads them may be run afterwards."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def known_labels(labelled: DataFrame, row_id: str, label: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from acremark.llm.common import byte_texts, byte_words, row_slices, stored
+from acremark.llm.common import byte_texts, byte_words, discard, row_slices, stored
 
 THRESHOLD = 3
 #: An anchor with more members is compared in pairs of parts of this size, in separate tasks.
@@ -202,12 +202,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("high > low").join(least, "low").select(F.col("least").alias("low"), "high").distinct()
         floor = large.groupBy("high").agg(F.min("low").alias("floor"))
         small = large.join(floor, "high")
-        pairs = stored(
+        last, pairs = pairs, stored(
             small.select(F.col("floor").alias("low"), "high")
             .unionByName(small.where("low > floor").select(F.col("floor").alias("low"), F.col("low").alias("high")))
             .distinct(),
             "links",
         )
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root"))
