@@ -22,14 +22,14 @@ from acremark.llm.common import row_slices
 UNDETERMINED = "und"
 #: Learned rows of each language and landmarks in all, at most.
 SAMPLE, LANDMARKS = 400, 192
-_WIDTH = 1 << 12
 _LENGTHS = (1, 2, 3)
+_POINT = np.uint64(21)
 
 
 def runs(text: str | None) -> list[np.ndarray] | None:
-    """Hashed runs of 1, 2 and 3 characters that occur, other characters than letters as one blank.
+    """The runs of 1, 2 and 3 characters that occur, sorted, other characters than letters as one blank.
 
-    None if there is no letter.
+    A run is the number that its code points of 21 bits make, so no two runs are taken for one. None if there is no letter.
     """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     known, where = np.unique(points, return_inverse=True)
@@ -38,42 +38,57 @@ def runs(text: str | None) -> list[np.ndarray] | None:
         return None
     points = np.where(letters[where], points, np.uint32(32)).astype(np.uint64)
     points = points[np.r_[True, (points[1:] != 32) | (points[:-1] != 32)]]
-    points = np.r_[np.uint64(32), points, np.uint64(32)]
-    out, code = [], np.zeros(len(points), np.uint64)
-    for n in _LENGTHS:
-        code = (code[: len(points) - n + 1] * np.uint64(1_000_003) + points[n - 1 :]) & np.uint64(0xFFFFFFFFFFFF)
-        mixed = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-        present = np.zeros(_WIDTH, bool)
-        present[mixed.astype(np.int64)] = True
-        out.append(np.flatnonzero(present))
-    return out
-
-
-def _presence(found: list[list[np.ndarray]]) -> np.ndarray:
-    """A row per text: presence of each run, scaled so that products of rows are the kernel."""
-    out = np.zeros((len(found), len(_LENGTHS) * _WIDTH), dtype=np.float32)
-    for row, parts in enumerate(found):
-        for i, at in enumerate(parts):
-            out[row, i * _WIDTH + at] = 1.0 / np.sqrt(max(1, len(at)) * len(_LENGTHS))
-    return out
+    points = np.r_[np.uint64(32), points[int(points[0] == 32) : len(points) - int(points[-1] == 32)], np.uint64(32)]
+    pairs = points[:-1] << _POINT | points[1:]
+    three = np.unique(pairs[:-1] << _POINT | points[2:])
+    two = np.unique(np.r_[three >> _POINT, pairs[-1]])
+    return [np.unique(np.r_[two >> _POINT, points[-1]]), two, three]
+
+
+@dataclass
+class Runs:
+    """The runs of some texts, numbered: of each length the sorted runs and the number of the first."""
+
+    known: list[np.ndarray]
+
+    @staticmethod
+    def of(found: list[list[np.ndarray]]) -> Runs:
+        return Runs([np.unique(np.concatenate([f[i] for f in found])) for i in range(len(_LENGTHS))])
+
+    def presence(self, found: list[list[np.ndarray]]) -> np.ndarray:
+        """A row per text: presence of each of these runs, over the square root of how many runs of its length the text has at all.
+
+        Products with rows of texts that have no other runs are the kernel.
+        """
+        first = np.cumsum([0, *map(len, self.known)])
+        out = np.zeros((len(found), first[-1]), dtype=np.float32)
+        for row, parts in enumerate(found):
+            for i, own in enumerate(parts):
+                at = np.minimum(np.searchsorted(self.known[i], own), len(self.known[i]) - 1)
+                out[row, first[i] + at[self.known[i][at] == own]] = 1.0 / np.sqrt(len(own) * len(_LENGTHS))
+        return out
 
 
 @dataclass
 class Recogniser:
-    """Landmark rows, the regression weights of each (landmark, language), and the languages."""
+    """The landmarks' runs, their rows, the regression weights of each (landmark, language), and the languages."""
 
+    runs: Runs
     landmarks: np.ndarray
     weights: np.ndarray
     languages: list[str]
 
     def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float]]:
-        """Language and score (0 to 1) of each text; undetermined with score 0 without letters or languages."""
+        """Language and score (0 to 1) of each text; undetermined with score 0 without letters or languages.
+
+        Of languages that fit equally well the first by name is given.
+        """
         out = [(UNDETERMINED, 0.0)] * len(texts)
         for at in range(0, len(texts) if self.languages else 0, block):
             found = [runs(t) for t in texts[at : at + block]]
             rows = [i for i, f in enumerate(found) if f is not None]
             if rows:
-                margin = _presence([found[i] for i in rows]) @ self.landmarks.T @ self.weights
+                margin = self.margins([found[i] for i in rows])
                 best = margin.argmax(axis=1)
                 odds = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
                 share = odds.max(axis=1) / odds.sum(axis=1)
@@ -81,33 +96,44 @@ class Recogniser:
                     out[at + i] = (self.languages[b], float(s))
         return out
 
+    def margins(self, found: list[list[np.ndarray]]) -> np.ndarray:
+        return self.runs.presence(found) @ self.landmarks.T @ self.weights
+
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Recogniser:
     """A recogniser from learned texts; texts without letters are left out."""
     found = [(f, lang) for f, lang in ((runs(t), lang) for t, lang in zip(texts, languages)) if f is not None]
     names = sorted({lang for _, lang in found})
     if not found:
-        return Recogniser(np.zeros((0, len(_LENGTHS) * _WIDTH), np.float32), np.zeros((0, 0)), [])
+        return Recogniser(Runs([]), np.zeros((0, 0), np.float32), np.zeros((0, 0)), [])
     by_language = {n: [i for i, (_, lang) in enumerate(found) if lang == n] for n in names}
     each = max(1, landmarks // len(names))
-    marks = _presence([found[i][0] for n in names for i in by_language[n][:each]])
+    chosen = [found[i][0] for n in names for i in by_language[n][:each]]
+    numbered = Runs.of(chosen)
+    marks = numbered.presence(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    near = np.concatenate([_presence([f for f, _ in found[at : at + 128]]) @ marks.T for at in range(0, len(found), 128)])
+    near = np.concatenate([numbered.presence([f for f, _ in found[at : at + 128]]) @ marks.T for at in range(0, len(found), 128)])
     features = near @ root
     wanted = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in found])
     solved = np.linalg.solve(features.T @ features + ridge * len(found) * np.eye(features.shape[1]), features.T @ wanted)
-    return Recogniser(marks, (root @ solved).astype(np.float32), names)
+    return Recogniser(numbered, marks, (root @ solved).astype(np.float32), names)
 
 
 def train(features: DataFrame, learn: Column, feature_id: str = "osm_id", text: str = "description", language: str = "language",
           most: int = SAMPLE, seed: int = 5) -> Recogniser:
-    """A recogniser from at most ``most`` rows of each non-null language among those where ``learn`` holds."""
+    """A recogniser from at most ``most`` ids of each non-null language among those where ``learn`` holds.
+
+    The rows of each language are counted first, so that tasks hand on little more than is taken, by a hash of the id.
+    """
     order = [F.xxhash64(F.col(feature_id).cast("string"), F.lit(seed)), F.col(feature_id)]
     w = Window.partitionBy("language").orderBy("_o", "_id")
     known = features.where(learn & F.col(language).isNotNull() & F.col(text).isNotNull() & F.col(feature_id).isNotNull())
     chosen = known.select(F.col(language).alias("language"), order[0].alias("_o"), F.col(feature_id).alias("_id"))
+    share = F.lit(1.2 * most + 200) / F.col("_n")
+    chosen = chosen.join(known.groupBy(F.col(language).alias("language")).agg(F.count("*").alias("_n")), "language")
+    chosen = chosen.where(F.shiftrightunsigned("_o", 11) / F.lit(2.0**53) <= share)
     chosen = chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("_id").distinct()
     rows = known.join(F.broadcast(chosen), known[feature_id] == chosen["_id"], "left_semi")
     got = rows.select(F.col(text).alias("text"), F.col(language).alias("language"), order[0].alias("o")).toPandas()
@@ -118,7 +144,7 @@ def train(features: DataFrame, learn: Column, feature_id: str = "osm_id", text:
 def recognise(features: DataFrame, recogniser: Recogniser, text: str = "description") -> DataFrame:
     """The rows with ``language_pred`` and ``score``, in place of columns of those names.
 
-    Null texts and texts without letters are ``und`` with score 0. Repeated rows get equal results; an
+    Null texts and texts without letters are ``und`` with score 0; whole texts count, however long. Repeated rows get equal results; an
     empty table gives no rows.
     """
 

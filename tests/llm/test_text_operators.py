@@ -256,7 +256,7 @@ def test_languages(spark):
     assert {r.language_pred for r in language.recognise(frame, none).collect()} == {"und"}
     a, b = language.runs("abc"), language.runs("abd")
     kernel = sum(len(set(x) & set(y)) / math.sqrt(len(x) * len(y)) for x, y in zip(a, b)) / 3
-    rows = language._presence([a, b])
+    rows = language.Runs.of([a, b]).presence([a, b])
     assert rows[0] @ rows[1] == pytest.approx(kernel, rel=1e-5)
 
 
