@@ -2,15 +2,16 @@
 
 A notice and a stretch of text are anchored on the words that occur once in both, the longest increasing
 run of anchors is kept, and the gaps between them are aligned the same way. Coverage is the share of the
-notice's words that are matched. Stretches are proposed around the notice's words that are rarest in the
-text: as many of them as could all be missing below the wanted coverage, plus one. The same is done with the
-words foreign to the notice left out, and the free parts of the text are aligned as a whole, so foreign
-words inside a notice do not hide it; how far a passage reaches is in its ``n_words``.
+notice's words that are matched, density the share of the passage's words that are matched: a passage must reach
+both, so a few foreign words do not hide a notice and words scattered over a text are none. Stretches are
+proposed around the notice's words that are rarest in the text, as many of them as could all be missing below the
+wanted coverage, plus one, in the text without the words foreign to the notice.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +24,8 @@ from acremark.llm.common import LOWER_BYTES, byte_texts, row_slices
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
 
-#: Notices of more words are aligned with the whole text first, and stretches of them are taken in steps.
-LONG = 100
+#: Shares of the notice's words, and of the passage's, that must be matched.
+COVERAGE, DENSITY = 0.8, 0.5
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -70,102 +71,88 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def best_passages(words: list[bytes], notice: list[bytes], least: float) -> list[tuple[int, int, int]]:
-    """(first word, word after the last, matched words) of stretches that cover ``least`` of the notice,
-    best first and not overlapping.
+def best_passages(words: list[bytes], notice: list[bytes], least: float = COVERAGE, dense: float = DENSITY) -> list[tuple[int, int, int]]:
+    """(first word, word after the last, matched words) of passages that reach both shares, best first and not overlapping.
 
-    Stretches of about the notice's length come first. Parts of the text that none of them takes are
-    then aligned as a whole, split where the notice begins anew, so foreign words inside cost nothing.
+    The text is read with the words foreign to the notice left out. Each place where the notice may begin there is aligned in a
+    stretch of the notice's length, in one of twice and in one of four times that length; of what an alignment matches, the
+    longest part that is dense enough in the whole text counts. Time grows with the places where rare words of the
+    notice stand, not with their square.
     """
     known, n = Counter(notice), len(notice)
-    counts = Counter(w for w in words if w in known)
-    if not n or sum((counts & known).values()) < least * n:
-        return []
-    spare = int((1 - least) * n + 1e-9) + 1
-    seeds = sorted(range(n), key=lambda j: (counts[notice[j]], j))[:spare]
-    wanted: dict[bytes, list[int]] = {}
-    for j in seeds:
-        wanted.setdefault(notice[j], []).append(j)
-    starts = sorted({i - j for i, w in enumerate(words) if w in wanted for j in wanted[w]})
-    out: list[tuple[int, int, int]] = []
-
-    def take(found: set[tuple[int, int, int]]) -> None:
-        for first, after, matched in sorted(found, key=lambda f: (-f[2], f[1] - f[0], f[0])):
-            if all(after <= a or first >= b for a, b, _ in out):
-                out.append((first, after, matched))
-
-    if n > LONG:
-        whole = _passage(words, notice, 0, len(words))
-        take({whole} if whole[2] >= least * n else set())
-    near = {_passage(words, notice, low, high) for low, high in _windows(starts, n, len(words))
-            if not any(a < high and low < b for a, b, _ in out) or n <= LONG}
-    take({p for p in near if p[2] == n})
-    before = -1
-    while before < len(out):  # what a passage leaves free may hold the notice again
-        before = len(out)
-        wide = set().union(*(_chained(words, notice, low, high, least) for low, high in _free(out, len(words))))
-        take({p for p in near | wide if p[2] >= least * n})
-    return sorted(out, key=lambda f: (-f[2], f[1] - f[0], f[0]))
-
-
-def _windows(starts: list[int], n: int, end: int) -> list[tuple[int, int]]:
-    """The stretch of each start of a notice, n/2 words wider on both sides; for long ones a quarter more, for starts side by side."""
-    step = n // 4 if n > LONG else 1
-    blocks = sorted({s // step * step for s in starts})
-    return [(a, b) for s in blocks if (a := max(0, s - n // 2)) < (b := min(end, s + step - 1 + n + n // 2))]
-
-
-def _passage(words: list[bytes], notice: list[bytes], low: int, high: int) -> tuple[int, int, int]:
-    matched = align(words[low:high], notice)
-    return (low + matched[0][0], low + matched[-1][0] + 1, len(matched)) if matched else (low, low, 0)
-
-
-def _free(taken: list[tuple[int, int, int]], end: int) -> list[tuple[int, int]]:
-    """The stretches between passages that are taken."""
-    edges = [(0, 0), *sorted((a, b) for a, b, _ in taken), (end, end)]
-    return [(b, a) for (_, b), (a, _) in zip(edges, edges[1:]) if b < a]
-
-
-def _chained(words: list[bytes], notice: list[bytes], low: int, high: int, least: float) -> set[tuple[int, int, int]]:
-    """Passages of the text from ``low`` to ``high``, read with the words foreign to the notice left out.
-
-    What remains is aligned in stretches of about the notice's length, and the whole text from ``low`` to ``high`` once.
-    """
-    known = set(notice)
-    own = [i for i in range(low, high) if words[i] in known]
-    n, found = len(notice), set()
-    need = least * n
-    if len(own) < need:
-        return found
+    own = [i for i, w in enumerate(words) if w in known]
     kept = [words[i] for i in own]
     counts = Counter(kept)
+    need = least * n - 1e-9
+    if not n or sum((counts & known).values()) < need:
+        return []
     spare = int((1 - least) * n + 1e-9) + 1
     wanted: dict[bytes, list[int]] = {}
     for j in sorted(range(n), key=lambda j: (counts[notice[j]], j))[:spare]:
         wanted.setdefault(notice[j], []).append(j)
-    for a, b in _windows(sorted({i - j for i, w in enumerate(kept) for j in wanted.get(w, ())}), n, len(kept)):
-        if sum((Counter(kept[a:b]) & Counter(notice)).values()) < need:
-            continue
-        first, after, matched = _passage(kept, notice, a, b)
-        if matched >= need:
-            found.add((own[first], own[after - 1] + 1, matched))
-    first, after, matched = _passage(words, notice, low, high)
-    if matched >= need:
-        found.add((first, after, matched))
-    return found
+    step = max(1, n // 8)
+    starts = sorted({(k - j) // step for k, w in enumerate(kept) if w in wanted for j in wanted[w]})
+    found = set()
+    for s in starts:
+        for wider in (0, n // 2, n + n // 2):
+            low, high = max(0, s * step - wider), min(len(kept), (s + 1) * step + n + wider)
+            if high - low < need or own[high - 1] - own[low] < need - 1:
+                continue
+            matched = align(kept[low:high], notice)
+            passage = _dense_part([own[low + i] for i, _ in matched], dense)
+            if passage[2] >= need:
+                found.add(passage)
+                if passage[2] == n:
+                    break
+    out: list[tuple[int, int, int]] = []  # by place, not overlapping
+    for passage in sorted(found, key=_better):
+        at = bisect.bisect(out, passage)
+        if (not at or out[at - 1][1] <= passage[0]) and (at == len(out) or passage[1] <= out[at][0]):
+            out.insert(at, passage)
+    return sorted(out, key=_better)
+
+
+def _better(passage: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Order of passages: more words matched, shorter, earlier."""
+    first, after, matched = passage
+    return -matched, after - first, first
+
+
+def _dense_part(places: list[int], dense: float) -> tuple[int, int, int]:
+    """(first, after, count) of the longest run of increasing places of which ``dense`` of all words between are such places."""
+    if not places:
+        return 0, 0, 0
+    # the run from a to b is dense enough if height[b] - height[a] >= dense - 1; the longest one ends at extremes
+    height = [k - dense * p for k, p in enumerate(places)]
+    lowest = list(itertools.accumulate(height, min))
+    highest = list(itertools.accumulate(reversed(height), max))[::-1]
+    best, a = (0, 0), 0
+    for b in range(len(places)):
+        while highest[b] - lowest[a] < dense - 1 - 1e-9:
+            a += 1
+        if b - a > best[1] - best[0]:
+            best = (a, b)
+    a, b = best
+    return places[a], places[b] + 1, b - a + 1
 
 
 def _outdone(passage: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
-    """Whether another notice matches more words in an overlapping passage."""
+    """Whether another notice matches more words in an overlapping passage; ``others`` are its passages by place."""
     first, after, matched = passage
-    return any(a < after and first < b and more > matched for a, b, more in others)
+    at = max(0, bisect.bisect(others, (first,)) - 1)
+    while at < len(others) and others[at][0] < after:
+        if first < others[at][1] and others[at][2] > matched:
+            return True
+        at += 1
+    return False
 
 
 def notices(analyses: DataFrame, templates: dict[str, str], analysis_id: str = "analysis_number", text: str = "description",
-            least: float = 0.8) -> DataFrame:
-    """One row per description and notice that it holds: id, ``notice``, ``coverage`` of the best passage,
-    its ``first_word`` and ``n_words`` in the text, and the number of ``passages``. Where
-    passages of two notices overlap, the one with more matched words counts.
+            least: float = COVERAGE, dense: float = DENSITY) -> DataFrame:
+    """One row per description and notice that it holds: id, ``notice``, ``coverage`` and ``density`` of the best passage,
+    its ``first_word`` and ``n_words`` in the text, and the number of ``passages``. A passage matches ``least`` of the notice's
+    words, and ``dense`` of its own words are matched. Where passages of two notices overlap, the one with more matched
+    words counts.
 
     Null and empty texts hold none; templates without words are never found; repeated rows are reported
     each. An empty table gives no rows.
@@ -184,18 +171,20 @@ def notices(analyses: DataFrame, templates: dict[str, str], analysis_id: str = "
                     found = {}
                     for name, notice in worded.items():
                         if notice and len(words) >= least * len(notice) and sum(w in seen for w in notice) >= least * len(notice):
-                            found[name] = best_passages(words, notice, least)
+                            if got := best_passages(words, notice, least, dense):
+                                found[name] = got
+                    placed = {name: sorted(got) for name, got in found.items()}
                     for name, own in found.items():
-                        own = [p for p in own if not _outdone(p, [q for n, more in found.items() if n != name for q in more])]
+                        own = [p for p in own if not any(_outdone(p, more) for n, more in placed.items() if n != name)]
                         if own:
                             first, after, matched = own[0]
-                            rows.append((row, name, matched / len(worded[name]), first, after - first, len(own)))
-                columns = list(zip(*rows)) or [()] * 6
+                            rows.append((row, name, matched / len(worded[name]), matched / (after - first), first, after - first, len(own)))
+                columns = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64()),
-                     *[pa.array(c, pa.int64()) for c in columns[3:]]],
-                    ["_id", "notice", "coverage", "first_word", "n_words", "passages"])
+                    [piece.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()),
+                     *[pa.array(c, pa.float64()) for c in columns[2:4]], *[pa.array(c, pa.int64()) for c in columns[4:]]],
+                    ["_id", "notice", "coverage", "density", "first_word", "n_words", "passages"])
 
     out = analyses.select(analysis_id, text).mapInArrow(
-        run, f"_id {kind}, notice string, coverage double, first_word bigint, n_words bigint, passages bigint")
-    return out.select(F.col("_id").alias(analysis_id), "notice", "coverage", "first_word", "n_words", "passages")
+        run, f"_id {kind}, notice string, coverage double, density double, first_word bigint, n_words bigint, passages bigint")
+    return out.select(F.col("_id").alias(analysis_id), "notice", "coverage", "density", "first_word", "n_words", "passages")

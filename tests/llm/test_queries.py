@@ -21,7 +21,7 @@ COLUMNS = {
     "op6_simhash_components": "doc_id fingerprint component_id",
     "op7_hierarchical_mixture": "doc_id domain lang source n_tokens copies",
     "op8_benchmark_passages": "doc_id n_words n_hit n_items items_sha256 contaminated",
-    "op9_licence_notices": "doc_id notice coverage first_word n_words passages",
+    "op9_licence_notices": "doc_id notice coverage density first_word n_words passages",
     "op10_partial_matching": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op11_automaton_search": "item_id rank doc_id score",
     "op12_tiled_collocations": "lang rank phrase a l r n score",
