@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acremark.llm.common import LOWER_BYTES, byte_texts, row_slices, stored
+from acremark.llm.common import LOWER_BYTES, byte_texts, most_frequent, row_slices, stored
 
 #: Ids of words, and of the phrases of one length, that a task holds; what is beyond is counted by its words.
 WORD_IDS, PHRASE_IDS = 1 << 19, 1 << 21
@@ -91,24 +91,6 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "grp string, word string, n bigint").groupBy("grp", "word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counted: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """Rows with ``n`` above a bound, ``most`` rows at most, and whether these are all.
-
-    The bound is sought in a histogram of 32 steps a power of two, so nothing is sorted and nothing more than
-    ``most`` rows has to be taken in.
-    """
-    step = F.floor(F.log2("n") * 32).cast("int")
-    steps = {r.step: r["count"] for r in counted.groupBy(step.alias("step")).count().collect()}
-    if sum(steps.values()) <= most:
-        return counted, True
-    kept, least = 0, max(steps) + 1
-    for s in sorted(steps, reverse=True):
-        if kept + steps[s] > most:
-            break
-        kept, least = kept + steps[s], s
-    return counted.where(step >= least), False
-
-
 @dataclass
 class Ids:
     """Ids of frequent words and of frequent phrases of 2, 3, ... words, as far as they are held.

@@ -355,7 +355,8 @@ def plain_trie(counts, order, token):
     return math.log10(out)
 
 
-def test_partial_matching_equals_its_definition(spark):
+@pytest.mark.parametrize("bounds", [{}, {"words": 8, "pairs": 3}, {"words": 1}, {"pairs": 0, "nodes": 0}])
+def test_partial_matching_equals_its_definition(spark, bounds):
     values = texts(30)[:-1] + ["zebra quartz"]
     frame = analyses(spark, values, extra=True)
     learn = F.col("analysis_number") % 3 != 1
@@ -377,7 +378,7 @@ def test_partial_matching_equals_its_definition(spark):
         rest = 1 - sum(counts[s] / (n + v) for s in own)
         return math.log10((counts[a] - sum(own.values()) + len(own)) / (counts[a] + len(own)) / rest) + alone
 
-    got = {r.analysis_number: r for r in ppm.score(frame, learn).collect()}
+    got = {r.analysis_number: r for r in ppm.score(frame, learn, least_pair=2, **bounds).collect()}
     assert len(got) == len(values)
     for i, ws in enumerate(tokens):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
@@ -392,6 +393,20 @@ def test_partial_matching_equals_its_definition(spark):
     assert ppm.score(frame.limit(0), learn).count() == 0
 
 
+def test_more_text_gives_more_contexts(spark):
+    """Pairs and byte contexts are kept by fixed counts, however large the rest of the corpus is."""
+    rare = [(i, f"quartz zebra {i}") for i in range(8)]
+    for fill in (100, 2000):
+        rows = rare + [(100 + i, f"plot by the road {i % 7}") for i in range(fill)]
+        counts = ppm.token_counts(spark.createDataFrame(rows, "id long, description string"), F.lit(True))
+        rated = counts.selectExpr("token", "0.0D AS base", "1L AS known", "-1.0D AS model", "n_train", "n_all")
+        texts = spark.createDataFrame([(t,) for _, t in rows], "description string")
+        pairs = {r.pair: r.n for r in ppm.pair_counts(texts, ppm.held_words(rated)).collect()}
+        assert pairs["quartz zebra"] == 8 and pairs[" quartz"] == 8 and "zebra 1" not in pairs
+        key = 4 << 48 | int.from_bytes(b"artz", "big")
+        assert ppm.train(counts).where(f"shiftright(key, 8) = {key}").count() == 1
+
+
 def test_stored_tables_keep_rows(spark):
     frame = analyses(spark, texts())
     assert sorted(map(repr, stored(frame, "t").collect())) == sorted(map(repr, frame.collect()))
