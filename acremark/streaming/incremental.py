@@ -4,93 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from acremark.operators.ordering import first_per_key
 from acremark.operators.upsert import upsert
 from acremark.session import cut_lineage
+from acremark.streaming import versions
+from acremark.streaming.versions import BUCKET, read_table  # noqa: F401
 
-BUCKET = "_bucket"
 
+def _landed(rows: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, list[int]]:
+    """The rows with their bucket, stored once, and the buckets that they touch."""
+    landed = cut_lineage(rows.withColumn(BUCKET, versions.bucket_of(keys, buckets)))
+    return landed, sorted(r[BUCKET] for r in landed.select(BUCKET).distinct().collect())
 
-def read_bucketed(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+
+def _merged(landed: DataFrame, touched: list[int], path: str, table: str, known: dict, keys: list[str], newest_by: list[str],
+            buckets: int, keep: list[str] = (), newest_wins: bool = False) -> dict[str, str | None]:
+    stored = versions.read_table(landed.sparkSession, path, table, touched, known)
+    stored = landed.limit(0) if stored is None else stored.withColumn(BUCKET, versions.bucket_of(keys, buckets))
+    return versions.write_buckets(upsert(stored, landed, keys, newest_by, keep, newest_wins), path, table, touched)
 
 
 def merge_into(batch: DataFrame, path: str, keys: list[str], newest_by: list[str], buckets: int = 64,
-               keep: list[str] = (), newest_wins: bool = False) -> None:
-    """Merge a batch into a stored table laid out in hash buckets of its key.
+               keep: list[str] = (), newest_wins: bool = False, source: tuple[str, int] | None = None) -> None:
+    """Merge a batch into the stored table ``rows`` of the store at ``path``, cut into hash buckets of its key.
 
-    Only the buckets that the batch touches are read and rewritten. The merged rows go to the shared
-    checkpoint folder first, because the files they come from are then replaced; repeating a batch that
-    ended gives the same table. A crash while the files of buckets are swapped can lose those buckets.
-    ``newest_wins`` is that of :func:`upsert`. A bucket is written by as many tasks as its size asks for.
+    Only the buckets that the batch touches are read and written, to new folders; the store's manifest is switched to them
+    at the end. A job that stops before leaves the version before readable, and repeating it gives the same
+    table. With ``source``, the stream's name and its batch, a batch that is in the store already is passed over.
+    ``newest_wins`` is that of :func:`upsert`.
     """
-    spark = batch.sparkSession
-    landed = cut_lineage(batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    stored = read_bucketed(spark, path)
-    if stored is None:
-        stored = landed.limit(0)
-    affected = stored.join(landed.select(BUCKET).distinct(), BUCKET, "left_semi")
-    merged = cut_lineage(upsert(affected, landed, keys, newest_by, keep, newest_wins))
-    (
-        merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET).parquet(path)
-    )
+    spark, known = batch.sparkSession, versions.manifest(batch.sparkSession, path)
+    if source and known["batches"].get(source[0], -1) >= source[1]:
+        return
+    landed, touched = _landed(batch, keys, buckets)
+    folders = _merged(landed, touched, path, "rows", known, keys, newest_by, buckets, keep, newest_wins)
+    versions.commit(spark, path, known, {"rows": folders}, source)
 
 
 def stream_upsert(stream: DataFrame, path: str, keys: list[str], newest_by: list[str], checkpoint: str,
                   transform: Callable[[DataFrame], DataFrame] = lambda batch: batch, **options) -> StreamingQuery:
     """Merge every micro-batch of a stream into the stored table, then stop when all is read."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: merge_into(transform(batch), path, keys, newest_by, **options))
+        stream.writeStream.foreachBatch(lambda batch, n: merge_into(transform(batch), path, keys, newest_by, source=(checkpoint, n), **options))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def stream_parcels(stream: DataFrame, parcels_path: str, points_path: str, checkpoint: str, version: str,
-                   to_points: Callable[[DataFrame], DataFrame], buckets: int = 64) -> StreamingQuery:
-    """Merge landed parcels and replace all vertices of each one that arrives.
+def stream_parcels(stream: DataFrame, path: str, checkpoint: str, version: str, to_points: Callable[[DataFrame], DataFrame],
+                   buckets: int = 64) -> StreamingQuery:
+    """Merge landed parcels into table ``parcels`` of the store and replace in ``points`` all vertices of each one that arrives.
 
-    ``to_points`` turns parcel rows into vertex rows. Vertices are stored as one list of rows per
-    parcel key: all rows of an arriving parcel leave and the new ones come in.
+    ``to_points`` turns parcel rows into vertex rows. Both tables change with one switch of the manifest, so no reader sees
+    a parcel with another version's vertices.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        from acremark.operators.ordering import first_per_key
-
-        latest = cut_lineage(first_per_key(batch, ["parcel_id"], [F.desc(version)]))
-        merge_into(latest.drop("polygons"), parcels_path, ["parcel_id"], [version], buckets)
-        replace_children(to_points(latest), latest.select("parcel_id"), points_path, ["parcel_id"], buckets)
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_parcels(batch, path, version, to_points, buckets, (checkpoint, number))
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def replace_children(rows: DataFrame, parents: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """Swap all stored rows of the given parents for the given rows."""
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = rows.withColumn(BUCKET, bucket)
-    owners = cut_lineage(parents.select(*keys).distinct().withColumn(BUCKET, bucket))
-    stored = read_bucketed(spark, path)
-    if stored is None:
-        merged = cut_lineage(fresh)
-    else:
-        affected = stored.join(owners.select(BUCKET).distinct(), BUCKET, "left_semi")
-        merged = cut_lineage(affected.join(owners.select(*keys), keys, "left_anti").unionByName(fresh))
-    (
-        merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET).parquet(path)
-    )
+def merge_parcels(batch: DataFrame, path: str, version: str, to_points: Callable[[DataFrame], DataFrame], buckets: int = 64,
+                  source: tuple[str, int] | None = None) -> None:
+    """One batch of :func:`stream_parcels`. Of rows of one parcel the last by ``version`` counts."""
+    spark, known, keys = batch.sparkSession, versions.manifest(batch.sparkSession, path), ["parcel_id"]
+    if source and known["batches"].get(source[0], -1) >= source[1]:
+        return
+    latest, touched = _landed(first_per_key(batch, keys, [F.desc(version)]), keys, buckets)
+    parcels = _merged(latest.drop("polygons"), touched, path, "parcels", known, keys, [version], buckets)
+    fresh = to_points(latest.drop(BUCKET)).withColumn(BUCKET, versions.bucket_of(keys, buckets))
+    stored = versions.read_table(spark, path, "points", touched, known)
+    if stored is not None:
+        others = stored.join(latest.select(*keys), keys, "left_anti").withColumn(BUCKET, versions.bucket_of(keys, buckets))
+        fresh = others.unionByName(fresh)
+    points = versions.write_buckets(fresh, path, "points", touched)
+    versions.commit(spark, path, known, {"parcels": parcels, "points": points}, source)
 
 
 def pending_parcels(parcels: DataFrame, checks: DataFrame) -> DataFrame:
@@ -141,3 +135,32 @@ def read_page_log(spark: SparkSession, path: str) -> DataFrame:
     schema = ("time timestamp, county_code string, stage string, page bigint, fetched bigint, inserted_or_updated bigint, "
               "skipped_unchanged bigint, errors bigint")
     return spark.readStream.schema(schema).json(path).where("stage IS NULL OR stage = 'fetch_page'")
+
+
+def page_windows(pages: DataFrame, window: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+    """Page figures per county and window of event time; works on a table and on a stream.
+
+    A stream keeps a window's state until its newest event is ``lateness`` past the window's end. Rows of windows that are closed
+    by then are late: they are not added, :func:`late_rows` counts them.
+    """
+    timed = pages.where("time IS NOT NULL").withWatermark("time", lateness)
+    found = timed.groupBy(F.window("time", window).alias("window"), "county_code").agg(
+        F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("fetched", "inserted_or_updated", "skipped_unchanged", "errors")])
+    return found.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "county_code", "pages",
+                        "fetched", "inserted_or_updated", "skipped_unchanged", "errors")
+
+
+def stream_page_windows(pages: DataFrame, path: str, checkpoint: str, window: str = "1 hour", lateness: str = "1 day",
+                        buckets: int = 16) -> StreamingQuery:
+    """Keeps :func:`page_windows` of a stream as a stored table: each changed window replaces what was stored of it."""
+    keys = ["window_start", "county_code"]
+    return (
+        page_windows(pages, window, lateness).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, n: merge_into(batch, path, keys, ["pages"], buckets, source=(checkpoint, n)))
+        .trigger(availableNow=True).start()
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query has left out so far because their window was closed, of the progress that Spark still has."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)

@@ -351,7 +351,7 @@ def _(t):
         .foreachBatch(lambda batch, n: incremental.merge_into(batch, out, ["county_code"], ["pages"], buckets=4)).start()
     )
     stream.awaitTermination()
-    return t.spark.read.parquet(out).drop(incremental.BUCKET)
+    return incremental.read_table(t.spark, out)
 
 
 @query("artifact_stream_upsert", ["fx_artifacts"], """
@@ -364,4 +364,38 @@ def _(t):
     stream = t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(landed)
     incremental.stream_upsert(stream, out, ["run_id", "artifact_type", "artifact_key"], ["updated_at", "id"], marks, buckets=4,
                               newest_wins=True).awaitTermination()
-    return t.spark.read.parquet(out).select("run_id", "artifact_type", "artifact_key", "id", "payload_json")
+    return incremental.read_table(t.spark, out).select("run_id", "artifact_type", "artifact_key", "id", "payload_json")
+
+
+@query("parcel_stream_replace", ["fx_points"], """
+    WITH again AS (SELECT DISTINCT parcel_id FROM fx_points WHERE CAST(substr(parcel_id, 9, 1) AS INT) % 2 = 0),
+    kept AS (SELECT p.*, a.parcel_id IS NOT NULL AS newer FROM fx_points p LEFT JOIN again a ON a.parcel_id = p.parcel_id
+      WHERE a.parcel_id IS NULL OR (polygon_index = 0 AND ring_index = 0))
+    SELECT parcel_id, max(CASE WHEN newer THEN 2 ELSE 1 END) AS seen, count(*) AS points, round(sum(lon), 6) AS lon_sum, round(sum(lat), 6) AS lat_sum
+    FROM kept GROUP BY parcel_id""")
+def _(t):
+    """Landed parcels as a stream, every second one twice with fewer rings: parcels and vertices of one version of the store."""
+    land, store, marks = (scratch_path(t.spark, n) for n in ("landed-parcels", "parcels", "marks"))
+    corner = F.struct("polygon_index", "ring_index", "point_index", "lon", "lat")
+    first = t("fx_points").groupBy("parcel_id").agg(F.sort_array(F.collect_list(corner)).alias("polygons")).withColumn("seen", F.lit(1))
+    again = first.where(F.substring("parcel_id", 9, 1).cast("int") % 2 == 0).select(
+        "parcel_id", F.filter("polygons", lambda c: (c["polygon_index"] == 0) & (c["ring_index"] == 0)).alias("polygons"), F.lit(2).alias("seen"))
+    for batch in (first, again):
+        batch.write.mode("append").parquet(land)
+    stream = t.spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 4).parquet(land)
+    incremental.stream_parcels(stream, store, marks, "seen", lambda rows: rows.select("parcel_id", F.inline("polygons")), buckets=8).awaitTermination()
+    counted = incremental.read_table(t.spark, store, "points").groupBy("parcel_id").agg(
+        F.count("*").alias("points"), F.round(F.sum("lon"), 6).alias("lon_sum"), F.round(F.sum("lat"), 6).alias("lat_sum"))
+    return incremental.read_table(t.spark, store, "parcels").join(counted, "parcel_id")
+
+
+@query("page_log_windows", ["fx_pages"], """
+    SELECT CAST(epoch(date_trunc('hour', time)) AS BIGINT) AS window_start, county_code, count(*) AS pages, CAST(sum(fetched) AS BIGINT) AS fetched,
+      CAST(sum(inserted_or_updated) AS BIGINT) AS inserted_or_updated, CAST(sum(skipped_unchanged) AS BIGINT) AS skipped_unchanged, CAST(sum(errors) AS BIGINT) AS errors
+    FROM fx_pages WHERE time IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    """The log as a stream in event time: hourly windows with a watermark, kept as a stored table."""
+    logs, store, marks = (scratch_path(t.spark, n) for n in ("page-log", "page-windows", "marks"))
+    t("fx_pages").write.json(logs)
+    incremental.stream_page_windows(incremental.read_page_log(t.spark, logs), store, marks, "1 hour", "1 day").awaitTermination()
+    return incremental.read_table(t.spark, store).drop("window_end").withColumn("window_start", F.unix_timestamp("window_start"))

@@ -2,6 +2,7 @@ import heapq
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from acremark.bbox import BBox
@@ -89,7 +90,7 @@ def test_merge_into_bucketed_table_is_repeatable(spark, tmp_path):
     incremental.merge_into(first, path, ["k"], ["n"], buckets=8)
     for _ in range(2):
         incremental.merge_into(second, path, ["k"], ["n"], buckets=8)
-    rows = {r.k: r.v for r in spark.read.parquet(path).collect()}
+    rows = {r.k: r.v for r in incremental.read_table(spark, path).collect()}
     assert len(rows) == 60 and rows[39] == "one" and rows[45] == "two"
 
 
@@ -98,7 +99,7 @@ def test_streamed_parcels_leave_no_stale_vertices(spark, tmp_path):
     from acremark.sources.parcels import ring_rows, wkt_to_rings
 
     schema = "parcel_id string, number string, wkt string, seen int"
-    land, par, pts, mark = (str(tmp_path / n) for n in ("land", "par", "pts", "mark"))
+    land, store, mark = (str(tmp_path / n) for n in ("land", "store", "mark"))
 
     def points(rows):
         return ring_rows(rows.withColumn("rings", wkt_to_rings(F.col("wkt"))))
@@ -106,13 +107,13 @@ def test_streamed_parcels_leave_no_stale_vertices(spark, tmp_path):
     def deliver(wkt, number, seen):
         spark.createDataFrame([("P1", number, wkt, seen), ("P" + number, number, wkt, seen)], schema).write.mode("append").json(land)
         stream = spark.readStream.schema(schema).json(land)
-        incremental.stream_parcels(stream, par, pts, mark, "seen", points, buckets=4).awaitTermination()
+        incremental.stream_parcels(stream, store, mark, "seen", points, buckets=4).awaitTermination()
 
     deliver("POLYGON((16 50,16.01 50,16.01 50.01,16 50.01,16 50))", "7", 1)
     deliver("POLYGON((16 50,16.02 50,16 50))", "8", 2)
-    rows = {r.parcel_id: r.number for r in spark.read.parquet(par).collect()}
+    rows = {r.parcel_id: r.number for r in incremental.read_table(spark, store, "parcels").collect()}
     assert rows == {"P1": "8", "P7": "7", "P8": "8"}
-    counts = {r.parcel_id: r["count"] for r in spark.read.parquet(pts).groupBy("parcel_id").count().collect()}
+    counts = {r.parcel_id: r["count"] for r in incremental.read_table(spark, store, "points").groupBy("parcel_id").count().collect()}
     assert counts == {"P1": 3, "P7": 5, "P8": 3}
 
 
@@ -154,7 +155,7 @@ def test_an_older_row_that_lands_later_does_not_replace_a_newer_one(spark, tmp_p
     path = str(tmp_path / "t")
     for rows in ([("a", 9), ("b", 1)], [("a", 1), ("b", 2), ("c", 5)]):
         incremental.merge_into(spark.createDataFrame(rows, "k string, n int"), path, ["k"], ["n"], buckets=4, newest_wins=True)
-    assert {r.k: r.n for r in spark.read.parquet(path).collect()} == {"a": 9, "b": 2, "c": 5}
+    assert {r.k: r.n for r in incremental.read_table(spark, path).collect()} == {"a": 9, "b": 2, "c": 5}
 
 
 def test_running_distance_and_segments_over_many_blocks(spark):
@@ -171,3 +172,76 @@ def test_running_distance_and_segments_over_many_blocks(spark):
     parts = graph.line_segments(walked, ["g"], "k", "metres").collect()
     assert len(parts) == 398
     assert all(abs(hav((p.lat, p.lon), (p.lat2, p.lon2)) - (p.end_m - p.start_m)) < 1e-6 for p in parts)
+
+
+def test_a_merge_that_stops_before_the_switch_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    from acremark.streaming import versions
+
+    path, schema = str(tmp_path / "store"), "parcel_id string, number string, corners int, seen int"
+    rows = [(f"P{i}", "one", 3 + i % 2, 1) for i in range(20)]
+
+    def corners(parcels):
+        return parcels.select("parcel_id", F.explode(F.sequence(F.lit(1), F.col("corners"))).alias("point_index"))
+
+    def state():
+        parcels = {r.parcel_id: (r.number, r.corners) for r in versions.read_table(spark, path, "parcels").collect()}
+        points = {r.parcel_id: r["count"] for r in versions.read_table(spark, path, "points").groupBy("parcel_id").count().collect()}
+        return parcels, points
+
+    incremental.merge_parcels(spark.createDataFrame(rows, schema), path, "seen", corners, 4, ("s", 0))
+    before = state()
+    batch = spark.createDataFrame([("P1", "two", 9, 2), ("P99", "new", 5, 2)], schema)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            incremental.merge_parcels(batch, path, "seen", corners, 4, ("s", 1))
+    assert state() == before
+    for _ in range(2):  # the second time the batch is known already
+        incremental.merge_parcels(batch, path, "seen", corners, 4, ("s", 1))
+        parcels, points = state()
+        assert parcels == before[0] | {"P1": ("two", 9), "P99": ("new", 5)} and points == {p: n for p, (_, n) in parcels.items()}
+    assert versions.manifest(spark, path)["number"] == 2
+    known = versions.manifest(spark, path)
+    versions.commit(spark, path, known, {})
+    with pytest.raises(RuntimeError, match="another writer"):
+        versions.commit(spark, path, known, {})
+
+
+def test_old_versions_go_and_emptied_buckets_stay_empty(spark, tmp_path):
+    import os
+
+    from acremark.streaming import versions
+
+    path = str(tmp_path / "store")
+    for n in range(6):
+        incremental.merge_into(spark.createDataFrame([("a", n)], "k string, n int"), path, ["k"], ["n"], buckets=2)
+    assert versions.manifests(spark, path) == [4, 5, 6] and len(os.listdir(f"{path}/rows")) == 3
+    assert [tuple(r) for r in versions.read_table(spark, path).select("k", "n").collect()] == [("a", 5)]
+    versions.commit(spark, path, versions.manifest(spark, path), {"rows": {b: None for b in "01"}})
+    assert versions.read_table(spark, path) is None
+    assert versions.read_table(spark, str(tmp_path / "nothing")) is None
+
+
+def test_event_time_windows_leave_late_rows_out_and_count_them(spark, tmp_path):
+    import json
+
+    land, store, mark = (str(tmp_path / n) for n in ("land", "store", "mark"))
+    (tmp_path / "land").mkdir()
+
+    def deliver(name, *rows):
+        lines = [json.dumps({"time": t, "county_code": c, "stage": "fetch_page", "page": 1, "fetched": n, "inserted_or_updated": n,
+                             "skipped_unchanged": 0, "errors": 0}) for t, c, n in rows]
+        (tmp_path / "land" / name).write_text("\n".join(lines) + "\n")
+        query = incremental.stream_page_windows(incremental.read_page_log(spark, land), store, mark, "1 hour", "2 hours", 2)
+        query.awaitTermination()
+        return incremental.late_rows(query)
+
+    assert deliver("1.json", ("2024-05-01T10:10:00Z", "c1", 3), ("2024-05-01T10:50:00Z", "c1", 4)) == 0
+    assert deliver("2.json", ("2024-05-01T10:20:00Z", "c1", 5), ("2024-05-01T14:00:00Z", "c2", 1)) == 0  # in time
+    assert deliver("3.json", ("2024-05-01T10:30:00Z", "c1", 100), ("2024-05-01T14:30:00Z", "c2", 1)) == 1  # the window of 10 h is closed
+    got = {(r.window_start.hour, r.county_code): (r.pages, r.fetched) for r in incremental.read_table(spark, store).collect()}
+    assert got == {(10, "c1"): (3, 12), (14, "c2"): (2, 2)}
