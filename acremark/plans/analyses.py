@@ -12,6 +12,7 @@ from acremark.operators.filters import BOUNDS
 from acremark.operators.ordering import first_per_key
 from acremark.operators.upsert import insert_if_absent, upsert
 from acremark.session import cut_lineage
+from acremark.streaming.incremental import missing_features
 
 
 def hotspot_mesh(features: DataFrame, box: BBox, types: list[tuple[str, str]], run_id: str, nx: int = 28,
@@ -204,23 +205,74 @@ def geometry_features(points: DataFrame, ids: DataFrame | None = None) -> DataFr
     return geometry.polygon_moments(chosen).join(digests, "parcel_id")
 
 
-def geometry_summary(features: DataFrame) -> DataFrame:
-    return features.agg(F.count_if(F.col("error").isNull()).alias("computed"), F.count("error").alias("errors"))
+def job_states(ids: DataFrame, points: DataFrame, features: DataFrame) -> DataFrame:
+    """(parcel_id, status, error, source_geometry_hash) of every id a feature job was asked for.
+
+    ``skipped`` has no vertices, ``error`` has a row with a message, ``computed`` has figures. The digest is that of the vertices
+    the job saw.
+    """
+    digests = geometry.geometry_hash(points.join(ids.select("parcel_id"), "parcel_id", "left_semi")).withColumnRenamed("geometry_hash", "source_geometry_hash")
+    made = features.select("parcel_id", "error", F.lit(True).alias("_made"))
+    found = ids.select("parcel_id").distinct().join(digests, "parcel_id", "left").join(made, "parcel_id", "left")
+    status = F.when(F.col("source_geometry_hash").isNull(), "skipped").when(F.col("error").isNotNull() | F.col("_made").isNull(), "error").otherwise("computed")
+    message = F.when(status == "error", F.coalesce("error", F.lit("no figures")))
+    return found.select("parcel_id", status.alias("status"), message.alias("error"), "source_geometry_hash")
+
+
+def job_counters(states: DataFrame) -> DataFrame:
+    """How many ids were requested, computed, skipped for want of vertices, and failed."""
+    return states.agg(F.count("*").alias("requested"), *[F.count_if(F.col("status") == s).alias(n) for s, n in
+                                                         (("computed", "computed"), ("skipped", "skipped"), ("error", "errors"))])
+
+
+def still_open(ids: DataFrame, points: DataFrame, states: DataFrame | None, retry_errors: bool = False) -> DataFrame:
+    """The ids whose state is not known, or was made from other vertices; failed ones again with ``retry_errors``."""
+    ids = ids.select("parcel_id").distinct()
+    if states is None:
+        return ids
+    done = states.where("status <> 'error'") if retry_errors else states
+    digests = geometry.geometry_hash(points.join(ids, "parcel_id", "left_semi")).withColumnRenamed("geometry_hash", "_now")
+    current = ids.join(digests, "parcel_id", "left")
+    same = (done["parcel_id"] == current["parcel_id"]) & done["source_geometry_hash"].eqNullSafe(current["_now"])
+    return current.join(done, same, "left_anti").select("parcel_id")
 
 
 ALGORITHM_VERSION = "deriv_parcel_visual_features_v1"  # fixed value, stored with the rows
+NO_PIXELS = "parcel mask has no pixels"  # fixed value, the message of parcels without pixels
 
 
 def visual_features(points: DataFrame, strips: DataFrame, zoom: int, image_source: str, tile_size: int = 256) -> DataFrame:
-    """Colour figures of every parcel with pixels, ready to store."""
-    figures = imagery.pixel_statistics(imagery.parcel_pixels(points, strips, zoom, tile_size))
+    """A row for every parcel with vertices: its colour figures, ready to store, or an ``error`` where it has no pixels."""
+    figures = imagery.zonal_statistics(points, strips, zoom, tile_size)
     tiles = imagery.parcel_tiles(points, zoom, tile_size).groupBy("parcel_id").agg(F.count("*").alias("tile_count"))
     digests = geometry.geometry_hash(points).withColumnRenamed("geometry_hash", "source_geometry_hash")
-    return figures.join(tiles, "parcel_id").join(digests, "parcel_id").withColumns({
+    return digests.join(tiles, "parcel_id").join(figures, "parcel_id", "left").select("parcel_id", *figures.columns[1:], "tile_count", "source_geometry_hash").withColumns({
         "zoom": F.lit(zoom), "image_source": F.lit(image_source), "algorithm_version": F.lit(ALGORITHM_VERSION),
+        "error": F.when(F.col("masked_pixel_count").isNull(), F.lit(NO_PIXELS)),
     })
 
 
+def fill_missing_visual(parcels: DataFrame, points: DataFrame, strips: DataFrame, stored: DataFrame, zoom: int, image_source: str,
+                        links: DataFrame | None = None, run_id: str | None = None, limit: int = 0, states: DataFrame | None = None,
+                        retry_errors: bool = False, tile_size: int = 256) -> dict[str, DataFrame]:
+    """Computes the visual features that are missing, of all parcels or of one run, and merges them into the stored ones.
+
+    With the ``states`` of earlier jobs, ids that were skipped or failed with the same vertices are passed over, so a job that is
+    run again goes on where the last one ended and computes nothing twice. Gives the merged ``features`` (rows without an
+    error), the ``states`` to store, and the ``report``: requested, computed, skipped, errors, and missing ids left.
+    """
+    missing = missing_features(parcels, stored, links, run_id)
+    wanted = still_open(missing, points, states, retry_errors)
+    wanted = cut_lineage(wanted.orderBy("parcel_id").limit(limit) if limit > 0 else wanted)
+    made = cut_lineage(visual_features(points.join(wanted, "parcel_id", "left_semi"), strips, zoom, image_source, tile_size))
+    fresh = cut_lineage(job_states(wanted, points, made))
+    features = upsert(stored, made.where("error IS NULL").select(*[c for c in made.columns if c in stored.columns]), ["parcel_id"], ["parcel_id"])
+    after = fresh if states is None else upsert(states, fresh, ["parcel_id"], ["parcel_id"])
+    left = missing.join(fresh.where("status = 'computed'"), "parcel_id", "left_anti")
+    report = job_counters(fresh).join(left.agg(F.count("*").alias("missing_after")), F.lit(True))
+    return {"features": features, "states": after, "report": report}
+
+
 def rank_run(links: DataFrame, parcels: DataFrame, geometry_table: DataFrame | None, visual_table: DataFrame | None,
              run_id: str, gates: ranking.Gates = ranking.Gates(), weights: Weights = Weights(),
              limit: int | None = None) -> tuple[DataFrame, DataFrame]:

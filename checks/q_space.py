@@ -399,7 +399,7 @@ def _(t):
       round(count(*) FILTER (WHERE greatest(r, g, b) - least(r, g, b) < 25) / CAST(count(*) AS DOUBLE), 6) AS low_saturation_ratio
     FROM inside GROUP BY parcel_id""")
 def _(t):
-    stats = imagery.pixel_statistics(imagery.parcel_pixels(t("fx_points"), _strips(t), 18, 8))
+    stats = imagery.zonal_statistics(t("fx_points"), _strips(t), 18, 8)
     return stats.select("parcel_id", "masked_pixel_count", *[F.round(c, 6).alias(c) for c in stats.columns[2:]])
 
 
@@ -413,20 +413,58 @@ def _(t):
     return imagery.parcel_tiles(t("fx_points"), 18).select("x", "y").distinct()
 
 
-@query("geometry_features_summary", ["fx_points"], MOMENTS + """
-    SELECT (SELECT count(*) FROM p) AS computed, (SELECT count(DISTINCT parcel_id) FROM fx_points) - (SELECT count(*) FROM p) AS errors""")
+@query("geometry_features_summary", ["fx_points", "fx_links"], MOMENTS + """,
+    ids AS (SELECT DISTINCT parcel_id FROM fx_links WHERE run_id = 'r1')
+    SELECT count(*) AS requested, count(p.parcel_id) AS computed, count(*) FILTER (WHERE v.parcel_id IS NULL) AS skipped,
+      count(*) FILTER (WHERE v.parcel_id IS NOT NULL AND p.parcel_id IS NULL) AS errors
+    FROM ids LEFT JOIN p ON p.parcel_id = ids.parcel_id LEFT JOIN (SELECT DISTINCT parcel_id FROM fx_points) v ON v.parcel_id = ids.parcel_id""")
 def _(t):
-    """How many parcels got stored features and how many came out as errors."""
+    """What became of the parcels of a run: requested, computed, skipped for want of vertices, failed."""
     from acremark.plans import analyses
+    from acremark.streaming.incremental import pinned_ids
 
-    return analyses.geometry_summary(analyses.geometry_features(t("fx_points")))
+    ids = pinned_ids(t("fx_parcels"), t("fx_links"), "r1")
+    return analyses.job_counters(analyses.job_states(ids, t("fx_points"), analyses.geometry_features(t("fx_points"), ids)))
 
 
-@query("visual_features_stored", ["fx_points", "fx_pixels"], PIXEL_HITS + """,
-    tiles AS (SELECT parcel_id, CAST((floor(max(x0) / 8) - floor(min(x0) / 8) + 1) * (floor(max(y0) / 8) - floor(min(y0) / 8) + 1) AS BIGINT) AS tile_count FROM wp GROUP BY parcel_id)
-    SELECT i.parcel_id, count(*) AS masked_pixel_count, any_value(t.tile_count) AS tile_count, CAST(18 AS INT) AS zoom, 'tiles' AS image_source, CAST(64 AS INT) AS digest_length FROM inside i JOIN tiles t ON t.parcel_id = i.parcel_id GROUP BY i.parcel_id""")
+STORED = PIXEL_HITS + """,
+    tiles AS (SELECT parcel_id, CAST((floor(max(x0) / 8) - floor(min(x0) / 8) + 1) * (floor(max(y0) / 8) - floor(min(y0) / 8) + 1) AS BIGINT) AS tile_count FROM wp GROUP BY parcel_id),
+    made AS (SELECT t.parcel_id, any_value(t.tile_count) AS tile_count, count(i.parcel_id) AS pixels, round(avg(i.g), 6) AS green FROM tiles t LEFT JOIN inside i ON t.parcel_id = i.parcel_id GROUP BY t.parcel_id)
+"""
+
+
+@query("visual_features_stored", ["fx_points", "fx_pixels"], STORED + """
+    SELECT parcel_id, CASE WHEN pixels > 0 THEN pixels END AS masked_pixel_count, tile_count, green AS rgb_g_mean, CAST(18 AS INT) AS zoom, 'tiles' AS image_source, CAST(64 AS INT) AS digest_length,
+      CASE WHEN pixels = 0 THEN 'parcel mask has no pixels' END AS error FROM made""")
 def _(t):
+    """A row of every parcel with vertices, with an error where no pixel lies inside."""
     from acremark.plans import analyses
 
     rows = analyses.visual_features(t("fx_points"), _strips(t), 18, "tiles", 8)
-    return rows.select("parcel_id", "masked_pixel_count", "tile_count", "zoom", "image_source", F.length("source_geometry_hash").alias("digest_length"))
+    return rows.select("parcel_id", "masked_pixel_count", "tile_count", F.round("rgb_g_mean", 6).alias("rgb_g_mean"), "zoom", "image_source",
+                       F.length("source_geometry_hash").alias("digest_length"), "error")
+
+
+@query("fill_missing_visual", ["fx_points", "fx_pixels", "fx_parcels", "fx_visual", "fx_links"], STORED + """,
+    wanted AS (SELECT DISTINCT l.parcel_id FROM fx_links l JOIN fx_parcels p ON p.parcel_id = l.parcel_id WHERE l.run_id = 'r0' AND l.parcel_id NOT IN (SELECT parcel_id FROM fx_visual)),
+    done AS (SELECT w.parcel_id, made.pixels, CASE WHEN made.parcel_id IS NULL THEN 'skipped' WHEN made.pixels = 0 THEN 'error' ELSE 'computed' END AS status FROM wanted w LEFT JOIN made ON made.parcel_id = w.parcel_id),
+    sums AS (SELECT count(*) AS requested, count(*) FILTER (WHERE status = 'computed') AS computed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors,
+      CAST(coalesce(sum(pixels), 0) AS BIGINT) AS pixels FROM done)
+    SELECT 'first' AS job, requested, computed, skipped, errors, requested - computed AS missing_after, pixels + (SELECT CAST(sum(masked_pixel_count) AS BIGINT) FROM fx_visual) AS stored_pixels FROM sums
+    UNION ALL SELECT 'again', 0, 0, 0, 0, requested - computed, pixels + (SELECT CAST(sum(masked_pixel_count) AS BIGINT) FROM fx_visual) FROM sums""")
+def _(t):
+    """Missing imagery figures of a run are filled in; the job run again finds nothing to do."""
+    from acremark.plans import analyses
+    from acremark.session import cut_lineage
+
+    def job(stored, states):
+        return analyses.fill_missing_visual(t("fx_parcels"), t("fx_points"), _strips(t), stored, 18, "tiles", t("fx_links"), "r0", states=states, tile_size=8)
+
+    first = job(t("fx_visual"), None)
+    again = job(cut_lineage(first["features"]), first["states"])
+    out = None
+    for name, done in (("first", first), ("again", again)):
+        pixels = done["features"].agg(F.sum("masked_pixel_count").alias("stored_pixels"))
+        row = done["report"].join(pixels, F.lit(True)).select(F.lit(name).alias("job"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
