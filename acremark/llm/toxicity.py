@@ -41,7 +41,7 @@ class _Buckets(dict):
         self.kept = None if kept is None else set(kept.tolist())
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = {zlib.crc32(part) & (BUCKETS - 1) for part in (word, b"^" + word[:4], b"^" + word[:5])}
         self[word] = out = tuple(found if self.kept is None else found & self.kept)
@@ -75,11 +75,12 @@ class Sample:
     @staticmethod
     def of(items: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Sample:
         """From the buckets of all rows, one row after the other, and their number in each row."""
-        known, place, n = np.unique(items, return_inverse=True, return_counts=True)
-        kept = n >= LEAST_ROWS
-        place = np.where(kept, np.cumsum(kept) - 1, -1)[place]
-        row = np.repeat(np.arange(len(sizes)), sizes)[place >= 0]
-        return Sample(known[kept], place[place >= 0].astype(np.int32), np.searchsorted(row, np.arange(len(sizes) + 1)), labels)
+        known, n = np.unique(items, return_counts=True)
+        kept = known[n >= LEAST_ROWS]
+        place = np.searchsorted(kept, items).astype(np.int32)
+        held = kept[np.minimum(place, len(kept) - 1)] == items if len(kept) else np.zeros(len(items), bool)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[held]
+        return Sample(kept, place[held], np.searchsorted(row, np.arange(len(sizes) + 1)), labels)
 
     def dependence(self) -> np.ndarray:
         """Chi-square of each kept bucket and the label."""
