@@ -68,30 +68,48 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) with the smallest node of a component as its label.
+#: Rows of one node from which on it is matched by a broadcast of such nodes alone: at most one in ``HUB`` rows.
+HUB = 500_000
+
+
+def _with_least(pairs: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """The pairs with the least ``other`` of their ``key``, no task getting all rows of a hub."""
+    found = pairs.groupBy(key).agg(F.min(other).alias(name), F.count("*").alias("_rows"))
+    hubs = cut_lineage(found.where(F.col("_rows") > HUB).drop("_rows"))
+    if hubs.isEmpty():
+        return pairs.join(found.drop("_rows"), key)
+    others = pairs.join(F.broadcast(hubs.select(key)), key, "left_anti").join(found.drop("_rows"), key)
+    return others.unionByName(pairs.join(F.broadcast(hubs), key))
+
 
-    Labels spread over edges and then jump to the label of their label, which shortens long chains
-    by half each round. The lineage is cut on shared storage after every round.
+def star_components(links: DataFrame, low: str = "one", high: str = "other", rounds: int = 60, store=cut_lineage) -> DataFrame:
+    """(node, root) of the nodes of the links, the root being the smallest node that each is connected to.
+
+    Alternates two steps until nothing changes: link every larger neighbour of a node to its smallest one, then do that
+    among each node and its smaller neighbours. Depth shrinks in logarithmic rounds. Hubs are matched by
+    :func:`_with_least`, so no join meets on a node or label that many rows hold. ``store`` cuts the lineage of a round.
     """
-    links = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
-    labels = cut_lineage(links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        offered = (
-            links.join(labels, links["dst"] == labels["node"]).groupBy(F.col("src").alias("node"))
-            .agg(F.min("label").alias("offer"))
-        )
-        lowered = labels.join(offered, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label")
-        )
-        jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        stepped = lowered.join(jump, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")
-        )
-        state = cut_lineage(stepped)
-        labels = state.select("node", "label")
-        if state.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    one, other = F.col(low), F.col(high)
+    pairs = store(links.where(one != other).select(F.least(one, other).alias("low"), F.greatest(one, other).alias("high")).distinct())
+    before = None
+    for _ in range(rounds):
+        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if state == before:
+            return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(
+                pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
+        before = state
+        both = pairs.unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
+        near = _with_least(both, "low", "high", "_near").where("high > low")
+        large = store(near.select(F.least("low", "_near").alias("low"), "high").distinct())
+        small = _with_least(large, "high", "low", "floor")
+        pairs = store(small.select(F.col("floor").alias("low"), "high").unionByName(
+            small.where("low > floor").select(F.col("floor").alias("low"), F.col("low").alias("high"))).distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) with the smallest node of a component as its label."""
+    return star_components(edges, "src", "dst").withColumnRenamed("root", "component")
 
 
 def largest_component(components: DataFrame) -> DataFrame:
@@ -100,18 +118,61 @@ def largest_component(components: DataFrame) -> DataFrame:
     return components.join(best.select("component"), "component", "left_semi")
 
 
+def contracted(links: DataFrame, keep: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(edges between junctions, ways out of the nodes within chains), of links in both directions.
+
+    A chain node has two neighbours and the same distances there and back; ``keep`` and all other nodes are junctions. Every
+    directed link is followed through chain nodes to the junction at its end by doubling, so the rounds are the
+    logarithm of the longest chain. Edges are (src, dst, distance, via): the last node before ``dst``; ways are
+    (node, end, distance, via): the junction that lies in the direction of the neighbour ``via``. Rings without a junction are left out.
+    """
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("distance").alias("_back"))
+    paired = links.join(back, ["src", "dst"], "full")
+    same = F.coalesce(F.col("distance") == F.col("_back"), F.lit(False))
+    degree = paired.groupBy("src").agg(F.count("*").alias("n"), F.count_if(same).alias("same"), F.min("dst").alias("one"), F.max("dst").alias("other"))
+    chain = degree.where("n = 2 AND same = 2").join(keep.select(F.col("node").alias("src")).distinct(), "src", "left_anti").select(
+        F.col("src").alias("end"), "one", "other")
+    chain = cut_lineage(chain)
+
+    def followed(rows: DataFrame) -> DataFrame:
+        """``to`` is the node to go on to from ``end``, null at a junction; ``source`` is where the last step came from."""
+        onward = F.when(F.col("one") == F.col("source"), F.col("other")).otherwise(F.col("one"))
+        return rows.join(chain, "end", "left").withColumn("to", F.when(F.col("one").isNotNull(), onward)).drop("one", "other", "source")
+
+    state = cut_lineage(followed(links.select("src", "dst", F.col("dst").alias("end"), "distance", F.col("src").alias("source"))))
+    before = None
+    for _ in range(rounds):
+        waiting = state.where("to IS NOT NULL")
+        left = waiting.count()
+        if left in (0, before):
+            break
+        before = left
+        jump = state.select(F.col("src").alias("end"), F.col("dst").alias("to"), F.col("end").alias("_end"), F.col("to").alias("_to"),
+                            F.col("distance").alias("_distance"))
+        moved = waiting.join(jump, ["end", "to"]).select("src", "dst", F.col("_end").alias("end"), (F.col("distance") + F.col("_distance")).alias("distance"),
+                                                         F.col("_to").alias("to"))
+        state = cut_lineage(state.where("to IS NULL").select("src", "dst", "end", "distance", "to").unionByName(moved))
+    done = state.where("to IS NULL")
+    inner = chain.select(F.col("end").alias("src"))
+    ways = done.join(inner, "src", "left_semi").select(F.col("src").alias("node"), "end", "distance", F.col("dst").alias("via"))
+    edges = done.join(inner, "src", "left_anti").where("src <> end").select(F.col("end").alias("src"), F.col("src").alias("dst"), "distance", F.col("dst").alias("via"))
+    return edges, ways
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, distance, prev) from the start node(s), by relaxing the edges of what just improved.
+    """(node, distance, prev) from the start node(s), for edges in both directions as :func:`way_edges` gives them.
 
-    Equal distances prefer the smaller previous node. Needs as many rounds as the deepest shortest
-    path has edges; each touches only the frontier's edges and the reached nodes.
+    Chains of nodes with two neighbours are contracted to one edge first; junctions are swept by relaxing the edges of
+    what just improved; nodes within chains then take the better of both ends. Equal distances prefer the smaller
+    previous node. Rounds are the logarithm of the longest chain plus the most junctions on a shortest path.
     """
     links = cut_lineage(simple_edges(edges))
+    junctions, ways = (cut_lineage(frame) for frame in contracted(links, start))
     none = F.lit(None).cast("long")
     state = cut_lineage(start.select("node", F.lit(0.0).alias("distance"), none.alias("prev"), F.lit(True).alias("fresh")))
     while True:
-        tried = state.where("fresh").select(F.col("node").alias("src"), F.col("distance").alias("so_far")).join(links, "src").select(
-            F.col("dst").alias("node"), (F.col("so_far") + F.col("distance")).alias("distance"), F.col("src").alias("prev"),
+        tried = state.where("fresh").select(F.col("node").alias("src"), F.col("distance").alias("so_far")).join(junctions, "src").select(
+            F.col("dst").alias("node"), (F.col("so_far") + F.col("distance")).alias("distance"), F.col("via").alias("prev"),
             F.lit(False).alias("known"),
         )
         # old and tried distances meet in one aggregation; what got shorter is the next frontier
@@ -122,7 +183,11 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
         shorter = F.col("was").isNull() | (F.col("b.distance") < F.col("was"))
         state = cut_lineage(best.select("node", "b.distance", "b.prev", shorter.alias("fresh")))
         if state.where("fresh").isEmpty():
-            return state.drop("fresh")
+            break
+    reached = state.select(F.col("node").alias("end"), F.col("distance").alias("so_far"))
+    within = ways.join(reached, "end").groupBy("node").agg(
+        F.min(F.struct((F.col("so_far") + F.col("distance")).alias("distance"), F.col("via").alias("prev"))).alias("b"))
+    return cut_lineage(state.drop("fresh").unionByName(within.select("node", "b.distance", "b.prev")))
 
 
 def farthest(paths: DataFrame) -> DataFrame:

@@ -245,3 +245,66 @@ def test_event_time_windows_leave_late_rows_out_and_count_them(spark, tmp_path):
     assert deliver("3.json", ("2024-05-01T10:30:00Z", "c1", 100), ("2024-05-01T14:30:00Z", "c2", 1)) == 1  # the window of 10 h is closed
     got = {(r.window_start.hour, r.county_code): (r.pages, r.fetched) for r in incremental.read_table(spark, store).collect()}
     assert got == {(10, "c1"): (3, 12), (14, "c2"): (2, 2)}
+
+
+def test_a_star_has_one_component_and_no_join_on_its_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 50_000)
+    n = 300_000
+    for hub in (0, n + 5):
+        edges = spark.range(1, n).select(F.lit(hub).cast("long").alias("src"), F.col("id").alias("dst"))
+        got = graph.connected_components(edges).agg(F.count("*"), F.min("component"), F.max("component"), F.countDistinct("node")).first()
+        assert tuple(got) == (n, min(hub, 1), min(hub, 1), n)
+
+
+def test_components_of_many_shapes(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(200) if i % 50 != 49] + [(300 + rng.randrange(40), 300 + rng.randrange(40)) for _ in range(30)] + [(900, 901), (901, 902), (902, 900)]
+    root = {}
+    for a, b in links:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {x: root[x] for x in linked}
+
+
+def test_a_path_of_many_hops_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda frame: rounds.append(1) or cut(frame))
+    n = 10_000
+    line = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.lit(1.0) + F.col("id") % 3).alias("distance"))
+    edges = line.unionByName(line.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
+    paths = graph.shortest_paths(edges, spark.createDataFrame([(0,)], "node long"))
+    last = paths.orderBy(F.desc("distance")).first()
+    assert paths.count() == n and last.node == n - 1 and last.prev == n - 2 and abs(last.distance - sum(1.0 + i % 3 for i in range(n - 1))) < 1e-6
+    assert paths.where("node > 0 AND prev <> node - 1").count() == 0 and len(rounds) < 24
+
+
+def test_shortest_paths_of_random_graphs(spark):
+    rng = random.Random(8)
+    for case in range(3):
+        links = {}
+        for i in range(1, 60):
+            links[rng.randrange(max(0, i - 3), i), i] = rng.randint(1, 9)
+        for _ in range(12 * case):
+            a, b = sorted(rng.sample(range(60), 2))
+            links[a, b] = rng.randint(1, 30)
+        ring = [(70, 71, 1), (71, 72, 1), (72, 70, 1)]
+        rows = [(a, b, float(d)) for (a, b), d in links.items()] + [(a, b, float(d)) for a, b, d in ring]
+        rows += [(b, a, d) for a, b, d in rows]
+        near, heap = {}, [(0.0, 5)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x not in near:
+                near[x] = d
+                heap += [(d + w, b) for a, b, w in rows if a == x]
+                heapq.heapify(heap)
+        got = {r.node: r for r in graph.shortest_paths(spark.createDataFrame(rows, "src long, dst long, distance double"), spark.createDataFrame([(5,)], "node long")).collect()}
+        assert {x: r.distance for x, r in got.items()} == near
+        weight = {(a, b): d for a, b, d in rows}
+        for x, r in got.items():
+            before = [a for a, b, d in rows if b == x and a in near and near[a] + d == near[x]]
+            assert r.prev == (min(before) if x != 5 else None) and (x == 5 or weight[r.prev, x] + near[r.prev] == near[x])
