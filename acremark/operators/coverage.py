@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acremark.functions.geo import METRES_PER_DEGREE, metres_per_lon_degree
 from acremark.functions.text import commune_matches
 from acremark.operators.filters import BOUNDS, rejection_reason
-from acremark.operators.geometry import first_parcel_at
+from acremark.operators.geometry import points_in_polygons
 from acremark.operators.ordering import sums_before
 from acremark.operators.spatial import keys_touching, points_in_boxes
 from acremark.session import cut_lineage
@@ -41,7 +41,8 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
     """Lattice points with the parcel under them and the verdict on it.
 
     ``outcome`` is uncovered, out_of_scope, rejected or found; ``reason`` names a rejection;
-    ``uncovered_before`` counts the uncovered points that come earlier in the same box.
+    ``uncovered_before`` counts the uncovered points that come earlier in the same box. The parcel is the one with the
+    smallest id, unless an earlier point of the box has rejected another one that the point lies in: then that one counts.
     """
     # the boxes are few and used several times; they are found once
     boxes = cut_lineage(boxes.select(key, *BOUNDS))
@@ -52,19 +53,20 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
     for bound in BOUNDS:
         unknown = unknown | F.col(bound).isNull()
     sides = ("bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
-    near = keys_touching(facts, "parcel_id", sides, boxes, sides).union(facts.where(unknown).select("parcel_id"))
-    located = first_parcel_at(spots, points.join(near, "parcel_id", "left_semi"), [key, "ordinal"])
-    # the verdict is per parcel, so it is made before the join, once for each
-    verdicts = facts.select(
-        "parcel_id",
-        commune_matches(F.col("commune"), expected_commune).alias("in_scope"),
-        rejection_reason(**(gates or {})).alias("reason"),
-    )
-    judged = located.join(verdicts, "parcel_id", "left").select(
-        key, "row", "ordinal", "lon", "lat", "parcel_id",
-        F.when(F.col("in_scope").isNull(), "uncovered").when(~F.col("in_scope"), "out_of_scope")
-        .when(F.col("reason").isNotNull(), "rejected").otherwise("found").alias("outcome"),
-        F.when(F.col("in_scope"), F.col("reason")).alias("reason"),
+    near = cut_lineage(keys_touching(facts, "parcel_id", sides, boxes, sides).union(facts.where(unknown).select("parcel_id")).distinct())
+    # the verdict is per parcel, so it is made before the join, once for each that is near
+    verdicts = _verdicts(facts.join(near, "parcel_id", "left_semi"), expected_commune, gates)
+    hits = points_in_polygons(spots, points.join(near, "parcel_id", "left_semi"), [key, "ordinal"])
+    hits = cut_lineage(hits.join(verdicts, "parcel_id"))
+    firsts = hits.groupBy(key, "ordinal").agg(F.min(F.struct("parcel_id", "in_scope", "reason")).alias("_first"), F.count("*").alias("_hits"))
+    rejected = _rejected_before(hits, firsts, key)
+    judged = spots.join(firsts, [key, "ordinal"], "left").join(rejected, [key, "ordinal"], "left")
+    taken = F.coalesce("_rejected", "_first")
+    judged = judged.select(
+        key, "row", "ordinal", "lon", "lat", taken["parcel_id"].alias("parcel_id"),
+        F.when(taken["in_scope"].isNull(), "uncovered").when(~taken["in_scope"], "out_of_scope")
+        .when(taken["reason"].isNotNull(), "rejected").otherwise("found").alias("outcome"),
+        F.when(taken["in_scope"], taken["reason"]).alias("reason"),
     )
     missed = F.when(F.col("outcome") == "uncovered", 1).otherwise(0)
     # located once; the running count and all that follows read the verdicts
@@ -72,6 +74,36 @@ def judged_samples(boxes: DataFrame, key: str, step_m: float, parcels: DataFrame
     return sums_before(judged, [key], "row", [F.col("ordinal")], missed, "uncovered_before")
 
 
+def _verdicts(facts: DataFrame, expected_commune: str | None, gates: dict | None) -> DataFrame:
+    """(parcel_id, in_scope, reason); each commune's name is folded once."""
+    reasons = facts.select("parcel_id", "commune", rejection_reason(**(gates or {})).alias("reason"))
+    if not expected_commune:
+        return reasons.select("parcel_id", F.lit(True).alias("in_scope"), "reason")
+    names = reasons.select("commune").distinct()
+    folded = names.withColumn("in_scope", commune_matches(F.col("commune"), expected_commune))
+    same = reasons["commune"].eqNullSafe(folded["commune"])
+    return reasons.join(folded, same).select("parcel_id", F.coalesce("in_scope", F.lit(False)).alias("in_scope"), "reason")
+
+
+def _rejected_before(hits: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """(key, ordinal, _rejected) of the points inside a parcel that an earlier point of the box has rejected.
+
+    A point rejects its first parcel unless it lies in one that is rejected already. What each point does depends on earlier
+    ones only, so repeating from "every point rejects" settles, in as many rounds as outlines overlap in a chain.
+    """
+    bad = hits.where(F.col("in_scope") & F.col("reason").isNotNull())
+    makes = firsts.where(F.col("_first.in_scope") & F.col("_first.reason").isNotNull()).select(key, "ordinal", F.col("_first.parcel_id").alias("parcel_id"))
+    since = cut_lineage(makes.groupBy(key, "parcel_id").agg(F.min("ordinal").alias("_since")))
+    while True:
+        inside = bad.join(since, [key, "parcel_id"]).where("_since < ordinal")
+        rejected = inside.groupBy(key, "ordinal").agg(F.min(F.struct("parcel_id", "in_scope", "reason")).alias("_rejected"))
+        left = makes.join(rejected, [key, "ordinal"], "left_anti").groupBy(key, "parcel_id").agg(F.min("ordinal").alias("_now"))
+        both = cut_lineage(since.join(left, [key, "parcel_id"], "full"))
+        if both.where(~F.col("_since").eqNullSafe(F.col("_now"))).isEmpty():
+            return rejected
+        since = both.where("_now IS NOT NULL").select(key, "parcel_id", F.col("_now").alias("_since"))
+
+
 def within_budget(samples: DataFrame, max_requests: int) -> DataFrame:
     """Points reached before the budget of uncovered points is used up; zero means no limit."""
     return samples.where(F.col("uncovered_before") < max_requests) if max_requests else samples

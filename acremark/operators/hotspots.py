@@ -14,6 +14,7 @@ from acremark.bbox import BBox
 from acremark.functions.geo import METRES_PER_DEGREE, bbox_area_m2, metres_per_lon_degree, overlap_area_m2, overlap_ratio
 from acremark.functions.scoring import density_score
 from acremark.operators.spatial import overlapping_boxes
+from acremark.operators.ordering import numbered
 from acremark.session import cut_lineage
 
 
@@ -133,14 +134,15 @@ def kernel_mesh(points: DataFrame, box: BBox, nx: int = 28, kernel_m: float = 45
 
 
 def number_cells(cells: DataFrame, run_id: str, tie_break: list[str]) -> DataFrame:
-    """``cell_id`` = run and five-digit rank by score. For cell tables, whose size the mesh bounds."""
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), *tie_break))
-    digits = F.when(F.length(rank.cast("string")) < 5, F.lpad(rank.cast("string"), 5, "0")).otherwise(rank.cast("string"))
-    return cells.withColumn("cell_id", F.concat(F.lit(run_id + "_"), digits)).withColumn("run_id", F.lit(run_id))
+    """``cell_id`` = run and five-digit rank by score."""
+    ranked = numbered(cells, [F.desc("score"), *map(F.col, tie_break)], "_rank")
+    rank = F.col("_rank").cast("string")
+    digits = F.when(F.length(rank) < 5, F.lpad(rank, 5, "0")).otherwise(rank)
+    return ranked.withColumn("cell_id", F.concat(F.lit(run_id + "_"), digits)).withColumn("run_id", F.lit(run_id)).drop("_rank")
 
 
 def normalise_by_max(cells: DataFrame, score: str, group: list[str]) -> DataFrame:
-    top = F.max(score).over(Window.partitionBy(*group))
+    top = F.max(score).over(Window.partitionBy(*group)) if group else cells.agg(F.max(score)).scalar()
     return cells.withColumn("norm", F.when(top != 0, F.col(score) / top).otherwise(F.lit(0.0)))
 
 

@@ -57,38 +57,60 @@ def beside(blocks: DataFrame, group: list[str], order: str, values: list[Column]
     return seen.join(ends, [*group, "_block"]).withColumn(name, near).drop("_own", "_end")
 
 
-def exact_median(frame: DataFrame, keys: list[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
+def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers the rows from 1 in this order, which must be total to be repeatable.
+
+    Rows are dealt to ranges of the order; a directory of one count per range gives each its first number, so no task
+    orders more than one range.
+    """
+    spark = frame.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(frame.repartitionByRange(ranges, *order).withColumn("_block", F.spark_partition_id()))
+    counts = dealt.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    first = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return dealt.join(F.broadcast(first), "_block").withColumn(name, F.col("_first") + inside).drop("_block", "_first")
+
+
+#: A bin with at most so many distinct values is ranked as it is; bins of a round.
+_RANKED, _BINS = 2048, 1024
+
+
+def exact_median(frame: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median per key, nulls left out, without holding a key's values in one place.
 
-    A quantile sketch brackets the middle; values below the bracket are only counted, and the few
-    inside it are counted per distinct value and ranked. Should the sketch have missed the middle, an error is raised.
+    Equal values are counted first. Histograms of all keys at once then find the bin with the middle, bins of that bin, and so on
+    until it holds few values, which are ranked. The first bins are the same for all keys and later ones meet on key and
+    bin, so nothing is joined or ranked on a key alone.
     """
-    known = frame.where(F.col(value).isNotNull()).select(*keys, value)
-    slack = min(0.5, 4.0 / accuracy)
-    cut = F.percentile_approx(value, [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy)
-    bracket = known.groupBy(*keys).agg(cut.alias("_cut"), F.count("*").alias("_n"))
-    if keys:
-        joined = known.join(bracket, keys)
-    else:
-        joined = known.withColumn("_b", bracket.select(F.struct("_cut", "_n")).scalar()).select(value, "_b.*")
-    lo, hi = F.col("_cut")[0], F.col("_cut")[1]
-    position = F.when(F.col(value) < lo, F.lit(None)).otherwise(F.col(value))
-    counted = (
-        joined.where(F.col(value) <= hi)
-        .groupBy(*keys, position.alias("_value"))
-        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    )
-    w = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    upto = counted.withColumn("_upto", F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
-    low_rank = F.floor((F.col("_n") - 1) / 2)
-    high_rank = F.ceil((F.col("_n") - 1) / 2)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_from") <= rank) & (rank < F.col("_upto"))
-
-    middle = (
-        F.max(F.when(holds(low_rank), F.col("_value"))) + F.max(F.when(holds(high_rank), F.col("_value")))
-    ) / 2.0
-    missed = F.raise_error(F.lit(f"the bracket of {value} misses the median"))
-    found = upto.groupBy(*keys).agg(middle.alias(name), F.count("*").alias("_rows"))
-    return found.withColumn(name, F.when((F.col("_rows") > 0) & F.col(name).isNull(), missed).otherwise(F.col(name))).drop("_rows")
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
+    by = [f"_k{i}" for i in range(max(1, len(keys)))]
+    counted = frame.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    scale = F.when(F.isnan("_v"), 1e9).otherwise(F.signum("_v") * F.floor(64 * F.log2(1 + F.abs("_v") * 1e6)))
+    rows = cut_lineage(counted.withColumn("_bin", F.least(scale, F.lit(1e8)).cast("long")).withColumn("_which", F.lit(0)))
+    ranks = None
+    while True:
+        bins = rows.groupBy(*by, "_which", "_bin").agg(F.sum("_n").alias("_n"), F.count("*").alias("_kinds"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        w = Window.partitionBy(*by, "_which").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("_upto", F.sum("_n").over(w)).withColumn("_from", F.col("_upto") - F.col("_n"))
+        if ranks is None:  # of n values those of rank (n - 1) / 2, rounded down and up
+            last = F.max("_upto").over(Window.partitionBy(*by, "_which"))
+            bins = bins.withColumn("_middle", F.array(F.floor((last - 1) / 2), F.ceil((last - 1) / 2)))
+            bins = bins.select("*", F.posexplode("_middle").alias("_half", "_rank"))
+        else:
+            bins = bins.join(ranks, [*by, "_which"]).withColumn("_half", F.col("_which"))
+        chosen = bins.where((F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+        chosen = cut_lineage(chosen.select(*by, "_which", "_bin", "_half", (F.col("_rank") - F.col("_from")).alias("_rank"), "_kinds", "_lo", "_hi"))
+        part = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * _BINS)
+        inner = F.when(F.col("_kinds") <= _RANKED, 0).otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(_BINS - 1)))
+        near = rows.join(chosen, [*by, "_which", "_bin"]).select(*by, F.col("_half").alias("_which"), inner.cast("long").alias("_bin"), "_v", "_n")
+        if chosen.where(F.col("_kinds") > _RANKED).isEmpty():
+            break
+        ranks = chosen.select(*by, F.col("_half").alias("_which"), "_rank")
+        rows = cut_lineage(near)
+    w = Window.partitionBy(*by, "_which").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.withColumn("_upto", F.sum("_n").over(w)).join(chosen.select(*by, F.col("_half").alias("_which"), "_rank"), [*by, "_which"])
+    values = ranked.where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    found = values.groupBy(*by).agg((F.sum("_v") / F.count("*")).alias(name))
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acremark.bbox import BBox
 from acremark.functions.geo import planar_distance_m
 from acremark.functions.text import clean_part
-from acremark.operators.filters import BOUNDS, area_between, match_tags, overlaps_bbox
+from acremark.operators.filters import BOUNDS, area_between, tag_map, overlaps_bbox
 from acremark.operators.geometry import nested_geometry
 from acremark.operators.ordering import first_per_key
 from acremark.session import cut_lineage
@@ -216,21 +216,21 @@ def named_visual(links: DataFrame, visual: DataFrame, run_id: str, limit: int) -
     )
 
 
-def points_of_runs(cells: DataFrame, features: DataFrame, box: BBox, types: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Features of the categories of several runs, each once per category; the first run wins.
+def points_of_runs(cells: DataFrame, features: DataFrame) -> DataFrame:
+    """Features inside the box around all cells that have a tag of theirs, each once per category.
 
-    ``types`` holds (key, value, category, run_id), the distinct ones of the cells, which are few.
+    Of several tags or runs that give a feature the same category the first counts, by key, value and run. Cells without a
+    tag ask for nothing.
     """
-    first_run: dict[str, tuple[str, str, str]] = {}
-    for key, value, category, run in sorted(types):
-        first_run.setdefault(category, (key, value, run))
-    inside = features.where(
-        F.col("center_lat").between(box.min_lat, box.max_lat) & F.col("center_lon").between(box.min_lon, box.max_lon)
-    )
-    matched = match_tags(inside, sorted({(k, v) for k, v, _ in first_run.values()}))
-    run = F.create_map(*[F.lit(x) for c, (_, _, r) in first_run.items() for x in (c, r)])
-    named = matched.withColumn("run_id", run[F.col("category")])
-    return first_per_key(named, ["osm_type", "osm_id", "category"], [F.col("run_id")])
+    bounds = cells.agg(F.struct(*[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BOUNDS)])).scalar()
+    wanted = cells.where((F.col("tag_key") != "") & (F.col("tag_value") != "")).groupBy("tag_key", "tag_value", "category").agg(F.min("run_id").alias("run_id"))
+    south, west, north, east = (bounds[c] for c in BOUNDS)
+    inside = features.where(F.col("center_lat").between(south, north) & F.col("center_lon").between(west, east))
+    own = [c for c in features.columns if c not in {"tag_key", "tag_value", "category", "name", "run_id"}]
+    tagged = inside.withColumn("_tags", tag_map(F.col("tags_json"))).select(
+        *own, F.coalesce(F.element_at("_tags", F.lit("name")), F.lit("")).alias("name"), F.explode("_tags").alias("tag_key", "tag_value"))
+    found = tagged.join(wanted, ["tag_key", "tag_value"])
+    return first_per_key(found, ["osm_type", "osm_id", "category"], [F.col("tag_key"), F.col("tag_value"), F.col("run_id")])
 
 
 def parcels_of_runs(parcels: DataFrame, links: DataFrame, runs: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from acremark.functions.scoring import Weights, simple_score, weighted_score
 from acremark.functions.text import map_link, nonzero
 from acremark.operators.filters import BOUNDS, not_in_categories, ranking_area, shape_gate, visual_gate
-from acremark.operators.ordering import first_per_key
+from acremark.operators.ordering import first_per_key, numbered
 
 GEOMETRY_COLUMNS = ["compactness", "elongation_ratio", "principal_moment_min_m4", "principal_moment_max_m4"]
 VISUAL_COLUMNS = ["green_pixel_ratio", "dark_pixel_ratio", "bright_pixel_ratio", "low_saturation_ratio", "brightness_mean"]
@@ -31,10 +31,12 @@ class Gates:
     max_brightness_mean: float = 0.0
 
 
-def ranked_candidates(cells: DataFrame, run_id: str, limit: int, excluded: list[str] = ()) -> DataFrame:
-    """Best cells of a run, one per exact box, numbered from 1. Exclusion comes before all else."""
+def ranked_candidates(cells: DataFrame, run_id: str, limit: int | None = None, excluded: list[str] = ()) -> DataFrame:
+    """Best cells of a run, one per exact box, numbered from 1; all of them without a limit. Exclusion comes before all else."""
     usable = cells.where((F.col("run_id") == run_id) & not_in_categories(F.col("category"), list(excluded)))
     distinct = first_per_key(usable, list(BOUNDS), [F.desc("score"), F.col("cell_id")])
+    if limit is None:
+        return numbered(distinct, [F.desc("score"), F.col("cell_id")], "candidate_index").withColumn("candidate_index", F.col("candidate_index").cast("int"))
     top = distinct.orderBy(F.desc("score"), "cell_id").limit(limit)
     # at most ``limit`` rows reach this window
     return top.withColumn("candidate_index", F.row_number().over(Window.orderBy(F.desc("score"), "cell_id")))

@@ -87,23 +87,24 @@ def probe_area(spark, box: BBox, step_m: float, parcels: DataFrame, points: Data
     return used, coverage.coverage_counts(used, "area_id")
 
 
-def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run_id: str, max_candidates: int = 20,
-                    step_m: float = 35.0, max_requests: int = 50, expected_commune: str | None = None,
+def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run_id: str, max_candidates: int | None = None,
+                    step_m: float = 35.0, max_requests: int = 0, expected_commune: str | None = None,
                     strict_commune: bool = False, excluded: list[str] = (), gates: dict | None = None,
                     target_parcels: int = 0) -> tuple[DataFrame, DataFrame]:
     """Parcels found under the best cells of a run: (links, one status row per candidate).
 
-    All candidates are probed in one join. A candidate is out of scope or empty by what its points
+    All candidates are probed in one join, or the ``max_candidates`` best, each until ``max_requests`` of its points were uncovered
+    (zero: all its points). A candidate is out of scope or empty by what its points
     up to the first uncovered one show. With ``target_parcels``, candidates after the one that
     reaches it are left out (1 stops at the first hit).
     """
     candidates = ranking.ranked_candidates(cells, run_id, max_candidates, excluded)
-    candidates = cut_lineage(candidates)  # at most ``max_candidates`` rows
+    candidates = cut_lineage(candidates)
     samples = coverage.judged_samples(
         candidates, "candidate_index", step_m, parcels, points, expected_commune if strict_commune else None, gates
     )
     first_look = F.col("uncovered_before") < 1
-    in_budget = first_look if max_requests <= 1 else F.col("uncovered_before") < max_requests
+    in_budget = F.lit(True) if max_requests == 0 else first_look if max_requests == 1 else F.col("uncovered_before") < max_requests
 
     def seen(outcome: str):
         return F.count_if(first_look & (F.col("outcome") == outcome))
@@ -119,7 +120,7 @@ def link_candidates(cells: DataFrame, parcels: DataFrame, points: DataFrame, run
     )
     firsts = found.groupBy("parcel_id").agg(F.min("candidate_index").alias("candidate_index"))
     hits = firsts.groupBy("candidate_index").agg(F.count("*").alias("new_parcels"))
-    # at most ``max_candidates`` rows from here on
+    # one row per candidate from here on
     before = Window.orderBy("candidate_index").rowsBetween(Window.unboundedPreceding, -1)
     progress = looked.join(hits, "candidate_index", "left").fillna(0, subset=["new_parcels"]).withColumn(
         "linked_before", F.coalesce(F.sum("new_parcels").over(before), F.lit(0))
@@ -283,17 +284,20 @@ def rank_run(links: DataFrame, parcels: DataFrame, geometry_table: DataFrame | N
 
 def presentation_bundle(runs: list[str], cells: DataFrame, features: DataFrame, parcels: DataFrame, points: DataFrame,
                         links: DataFrame, prices_table: DataFrame | None, geometry_table: DataFrame | None,
-                        visual_table: DataFrame | None, types: list[tuple[str, str, str, str]], box: BBox,
-                        limit: int = 0) -> dict[str, DataFrame]:
-    """All tables of a map page of several runs."""
+                        visual_table: DataFrame | None, limit: int = 0, scanned: int | None = None,
+                        kept: int | None = None) -> dict[str, DataFrame]:
+    """All tables of a map page of several runs.
+
+    ``limit`` cells are shown (zero: all); the top candidates are the ``kept`` first boxes among the ``scanned`` best cells, or all.
+    """
     shown = ranking.top_rows(cells, runs, limit)
-    spots = presentation.points_of_runs(shown, features, box, types)
+    spots = presentation.points_of_runs(shown, features)
     return {
         "cells": shown,
         "points": spots,
         "parcels": presentation.map_parcels(parcels, points, links, runs, prices_table, geometry_table, visual_table),
         "categories": presentation.categories_union(shown, spots),
-        "top_candidates": ranking.top_distinct_boxes(cells, runs, 50, 10),
+        "top_candidates": ranking.top_distinct_boxes(cells, runs, scanned, kept),
     }
 
 

@@ -127,16 +127,21 @@ def _(t):
     return presentation.named_visual(t("fx_links"), t("fx_visual"), "r2", 100)
 
 
-RUN_TYPES = [("amenity", "cafe", "amenity_cafe", "r1"), ("amenity", "cafe", "amenity_cafe", "r0"), ("tourism", "viewpoint", "tourism_viewpoint", "r1")]
 RUN_POINTS = """
-  spots AS (SELECT osm_type, osm_id, name, 'amenity_cafe' AS category, 'r0' AS run_id FROM fx_osm WHERE tag_key = 'amenity' AND tag_value = 'cafe'
-    UNION ALL SELECT osm_type, osm_id, name, 'tourism_viewpoint', 'r1' FROM fx_osm WHERE (tag_key = 'tourism' AND tag_value = 'viewpoint') OR second_tag)
+  shown AS (SELECT * FROM fx_cells WHERE run_id IN ('r0', 'r1')),
+  around AS (SELECT min(bbox_min_lat) AS s, min(bbox_min_lon) AS w, max(bbox_max_lat) AS n, max(bbox_max_lon) AS e FROM shown),
+  want AS (SELECT DISTINCT tag_key, tag_value, category, run_id FROM shown),
+  tags AS (SELECT osm_type, osm_id, name, center_lat, center_lon, tag_key, tag_value FROM fx_osm
+    UNION ALL SELECT osm_type, osm_id, name, center_lat, center_lon, 'tourism', 'viewpoint' FROM fx_osm WHERE second_tag AND tag_key <> 'tourism'),
+  spots AS (SELECT osm_type, osm_id, any_value(name) AS name, category, arg_min(run_id, tag_key || '|' || tag_value || '|' || run_id) AS run_id
+    FROM tags JOIN want USING (tag_key, tag_value) CROSS JOIN around WHERE center_lat BETWEEN s AND n AND center_lon BETWEEN w AND e GROUP BY osm_type, osm_id, category)
 """
 
 
 @query("points_of_runs", ["fx_osm", "fx_cells"], f"WITH {RUN_POINTS} SELECT * FROM spots")
 def _(t):
-    return presentation.points_of_runs(t("fx_cells"), t("fx_osm"), ALL, RUN_TYPES).select("osm_type", "osm_id", "name", "category", "run_id")
+    shown = t("fx_cells").where("run_id IN ('r0', 'r1')")
+    return presentation.points_of_runs(shown, t("fx_osm")).select("osm_type", "osm_id", "name", "category", "run_id")
 
 
 @query("parcels_of_runs", ["fx_parcels", "fx_links"], "SELECT parcel_id FROM fx_parcels WHERE parcel_id IN (SELECT parcel_id FROM fx_links WHERE run_id IN ('r0', 'r2'))")
@@ -163,7 +168,7 @@ def _(t):
     UNION ALL SELECT 'top_candidates', (SELECT least(10, count(*)) FROM (SELECT DISTINCT bbox_min_lat, bbox_min_lon FROM (SELECT * FROM fx_cells WHERE run_id IN ('r0', 'r1') ORDER BY score DESC, run_id, cell_id LIMIT 50) b) d)""")
 def _(t):
     bundle = analyses.presentation_bundle(["r0", "r1"], t("fx_cells"), t("fx_osm"), t("fx_parcels"), t("fx_points"), t("fx_links"), None,
-                                           None, None, RUN_TYPES, ALL)
+                                           None, None, scanned=50, kept=10)
     names = {"cells": "mesh_cells", "points": "osm_points", "parcels": "parcels", "categories": "categories", "top_candidates": "top_candidates"}
     parts = [bundle[k].agg(F.lit(n).alias("part"), F.count("*").alias("n")) for k, n in names.items()]
     out = parts[0]

@@ -78,3 +78,69 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(session(master))
     assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+
+
+def test_a_rejected_outline_wins_over_a_later_first_parcel(spark):
+    """Overlapping parcels against the points taken one after the other."""
+    import random
+
+    from acremark.operators import coverage
+
+    rng = random.Random(6)
+    for case in range(2):
+        lots = {f"P{i:02d}": (x, y, x + rng.choice([0.002, 0.004]), y + rng.choice([0.002, 0.004]))
+                for i in range(14) for x, y in [(16 + rng.randrange(8) * 0.001, 50 + rng.randrange(8) * 0.001)]}
+        area = {p: rng.choice([100.0, 5000.0]) for p in lots}
+        commune = {p: rng.choice(["Here", "here ", "There"]) for p in lots}
+        parcels = spark.createDataFrame([(p, commune[p], area[p], b, a, d, c) for p, (a, b, c, d) in lots.items()],
+                                        "parcel_id string, commune string, area_m2 double, bbox_min_lat double, bbox_min_lon double, bbox_max_lat double, bbox_max_lon double")
+        corners = [(p, 0, 0, k, lon, lat) for p, (a, b, c, d) in lots.items() for k, (lon, lat) in enumerate([(a, b), (c, b), (c, d), (a, d)])]
+        points = spark.createDataFrame(corners, "parcel_id string, polygon_index int, ring_index int, point_index int, lon double, lat double")
+        box = spark.createDataFrame([("k", 50.0, 16.0, 50.011, 16.011)], "key string, bbox_min_lat double, bbox_min_lon double, bbox_max_lat double, bbox_max_lon double")
+        got = {r.ordinal: r for r in coverage.judged_samples(box, "key", 37.0, parcels, points, "here", {"min_area_m2": 1000.0}).collect()}
+        marked, uncovered = set(), 0
+        for n in sorted(got):
+            r = got[n]
+            under = sorted(p for p, (a, b, c, d) in lots.items() if a < r.lon < c and b < r.lat < d)
+            before = sorted(marked & set(under))
+            if before:
+                want = ("rejected", before[0])
+            elif not under:
+                want = ("uncovered", None)
+            elif commune[under[0]].strip().lower() != "here":
+                want = ("out_of_scope", under[0])
+            elif area[under[0]] < 1000:
+                want = ("rejected", under[0])
+                marked.add(under[0])
+            else:
+                want = ("found", under[0])
+            assert (r.outcome, r.parcel_id) == want and r.uncovered_before == uncovered
+            uncovered += want[0] == "uncovered"
+        assert marked
+
+
+def test_exact_medians_of_skewed_keys(spark, monkeypatch):
+    import random
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from acremark.operators import ordering
+
+    monkeypatch.setattr(ordering, "_RANKED", 20)
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-3, 7)) for _ in range(5000)]
+    rows += [("hot", 12.5)] * 800 + [("even", 1.0), ("even", 4.0), ("one", -3.25), ("none", None), (None, 2.0), (None, 4.0), (None, 9.0)]
+    rows += [("near", 100 + i * 1e-9) for i in range(401)]
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in ordering.exact_median(frame.where("k IS NOT NULL"), ["k"], "v", "m").collect()}
+    assert got == {k: statistics.median(v) for k, v in want.items() if k is not None}
+    assert ordering.exact_median(frame, [], "v", "m").first().m == statistics.median([v for _, v in rows if v is not None])
+    plan = ordering.exact_median(frame, ["k"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    numbers = ordering.numbered(frame.where("v IS NOT NULL"), [F.desc("v"), F.col("k")], "n").orderBy("n").collect()
+    assert [r.n for r in numbers] == list(range(1, len(numbers) + 1)) and [r.v for r in numbers] == sorted((r.v for r in numbers), reverse=True)
