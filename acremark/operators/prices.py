@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acremark.functions.geo import margin_degrees
 from acremark.functions.text import area_m2_from_text, nonzero, price_from_text, record_key, unit_price
 from acremark.operators.filters import BOUNDS
-from acremark.operators.ordering import exact_median
+from acremark.operators.ordering import exact_median, first_per_key
 from acremark.session import cut_lineage
 
 SOURCE = "gugik_rcn_wfs"  # fixed value: name of the price register in stored rows
@@ -66,19 +66,33 @@ def add_inflation(records: DataFrame, index: DataFrame, requested: str | None =
     return joined.withColumn("inflation_reference_year", year)
 
 
-def price_observations(records: DataFrame, run_id: str, index: DataFrame | None = None,
-                       requested_year: str | None = None) -> DataFrame:
-    """Landed price records as observations: numbers, unit price, inflation-adjusted prices."""
-    area = area_m2_from_text(F.col("dzi_pow_ewid"), F.col("nier_pow_gruntu"))
-    price = price_from_text(F.col("dzi_cena_brutto"), F.col("nier_cena_brutto"))
-    base = records.select(
-        F.lit(SOURCE).alias("source"),
-        record_key(F.col("gml_id"), *[F.col(f) for f in RECORD_FIELDS]).alias("source_record_id"),
-        F.lit(run_id).alias("run_id"),
+def parsed_records(records: DataFrame) -> DataFrame:
+    """Landed price records with ``source_record_id``, ``area_m2``, ``price_pln`` and ``price_per_m2``; each text is parsed once."""
+    keyed = records.select(
+        "gml_id", *RECORD_FIELDS, record_key(F.col("gml_id"), *[F.col(f) for f in RECORD_FIELDS]).alias("source_record_id"),
+        area_m2_from_text(F.col("dzi_pow_ewid"), F.col("nier_pow_gruntu")).alias("area_m2"),
+        price_from_text(F.col("dzi_cena_brutto"), F.col("nier_cena_brutto")).alias("price_pln"),
+    )
+    return keyed.withColumn("price_per_m2", unit_price(F.col("price_pln"), F.col("area_m2")))
+
+
+def newest_records(parsed: DataFrame, newest_by: tuple[str, ...]) -> DataFrame:
+    """One of the parsed records of each key: the last by these columns of an observation, which may be ``raw_json``.
+
+    Records that differ in none of them are told apart by a digest of their texts, so the long text itself is never sorted.
+    """
+    texts = {name: field for field, name in STORED_COLUMNS.items()}
+    digest = F.xxhash64("gml_id", *RECORD_FIELDS)
+    order = [F.desc(texts.get(c, c)) if c != "raw_json" else digest.desc() for c in newest_by]
+    return first_per_key(parsed, ["source_record_id"], [*order, digest.desc()])
+
+
+def observations_of(parsed: DataFrame, run_id: str, index: DataFrame | None = None, requested_year: str | None = None) -> DataFrame:
+    """Parsed records as observations of a run, with inflation-adjusted prices."""
+    base = parsed.select(
+        F.lit(SOURCE).alias("source"), "source_record_id", F.lit(run_id).alias("run_id"),
         *[F.col(f).alias(name) for f, name in STORED_COLUMNS.items()],
-        area.alias("area_m2"),
-        price.alias("price_pln"),
-        unit_price(price, area).alias("price_per_m2"),
+        "area_m2", "price_pln", "price_per_m2",
         F.to_json(F.struct("gml_id", *RECORD_FIELDS)).alias("raw_json"),
     )
     if index is None:
@@ -93,6 +107,12 @@ def price_observations(records: DataFrame, run_id: str, index: DataFrame | None
     )
 
 
+def price_observations(records: DataFrame, run_id: str, index: DataFrame | None = None,
+                       requested_year: str | None = None) -> DataFrame:
+    """Landed price records as observations: numbers, unit price, inflation-adjusted prices."""
+    return observations_of(parsed_records(records), run_id, index, requested_year)
+
+
 def _positive(column: str) -> Column:
     return F.count_if(F.col(column) > 0)
 

@@ -9,7 +9,6 @@ from acremark.bbox import BBox
 from acremark.functions.scoring import Weights
 from acremark.operators import coverage, filters, geometry, graph, hotspots, imagery, presentation, prices, ranking
 from acremark.operators.filters import BOUNDS
-from acremark.operators.ordering import first_per_key
 from acremark.operators.upsert import insert_if_absent, upsert
 from acremark.session import cut_lineage
 from acremark.streaming.incremental import missing_features
@@ -171,8 +170,9 @@ def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataF
     if checks is not None:
         pending = pending.join(checks.where("status = 'ok'").select("parcel_id"), "parcel_id", "left_anti")
     tiles, members = prices.scan_tiles(pending, tile_km, margin_m)
-    landed = prices.price_observations(records, run_id, index, reference_year)
-    observations = first_per_key(landed, ["source", "source_record_id", "run_id"], [F.desc(c) for c in newest_by])
+    # one stored copy of the records that stay; figures, counts and observations are made from it
+    newest = cut_lineage(prices.newest_records(prices.parsed_records(records), newest_by))
+    observations = prices.observations_of(newest, run_id, index, reference_year)
     stats = prices.stats_per_parcel(members, observations)
     status = members.join(stats, "parcel_id")
     if failed_tiles is None:
@@ -191,7 +191,7 @@ def price_scan(parcels: DataFrame, records: DataFrame, run_id: str, index: DataF
     tile_status = checked.groupBy("tile_id").agg(F.max(F.when(F.col("status") == "ok", "ok").otherwise("error")).alias("status"))
     return {
         "observations": observations, "tiles": tiles, "checks": checked,
-        "totals": prices.scan_totals(tile_status, checked, landed, observations),
+        "totals": prices.scan_totals(tile_status, checked, records, newest),
     }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +29,26 @@ STRIPS = "z int, x long, y long, py int, r array<int>, g array<int>, b array<int
 def scan_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Image tiles under ``.../z/x/y.ext`` as one row per pixel line, colours as arrays.
 
-    Spark's image source decodes the files (as BGR); a task turns one image at a time into lines.
+    Spark's image source decodes the files (as BGR). What goes to Python at once is a line of a tile, not whole images.
     """
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select(
-        "image.origin", "image.height", "image.width", "image.nChannels", "image.data"
-    )
-
-    def to_lines(batches):
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    width = F.col("width") * F.col("nChannels")
+    place = F.split(F.regexp_extract("origin", r"([^/]+/[^/]+/[^/.]+)[^/]*$", 1), "/")
+    cut = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: F.substring(F.col("data"), i * width + 1, width))
+    lines = images.where("height > 0").select(place[0].cast("int").alias("z"), place[1].cast("long").alias("x"), place[2].cast("long").alias("y"),
+                                              F.col("nChannels").alias("n"), F.posexplode(cut).alias("py", "line"))
+
+    def colours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                z, x, y = row.origin.rsplit("/", 3)[-3:]
-                channels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(np.int32)
-                colour = channels if row.nChannels >= 3 else np.repeat(channels[:, :, :1], 3, axis=2)
-                yield pd.DataFrame({
-                    "z": int(z), "x": int(x), "y": int(y.split(".")[0]), "py": np.arange(row.height),
-                    "r": list(colour[:, :, 2]), "g": list(colour[:, :, 1]), "b": list(colour[:, :, 0]),
-                })
-
-    return images.mapInPandas(to_lines, STRIPS)
+            found = {c: [] for c in "rgb"}
+            for line, n in zip(batch["line"].to_pylist(), batch["n"].to_pylist()):
+                pixels = np.frombuffer(line, np.uint8).reshape(-1, n)
+                for c, i in zip("rgb", (2, 1, 0) if n >= 3 else (0, 0, 0)):
+                    found[c].append(pixels[:, i].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("z", "x", "y", "py")], *[pa.array(v, pa.list_(pa.int32())) for v in found.values()]],
+                                             ["z", "x", "y", "py", "r", "g", "b"])
+
+    return lines.mapInArrow(colours, STRIPS)
 
 
 def scan_analysis(spark: SparkSession, path: str, title_length: int | None = None,

@@ -274,6 +274,25 @@ def _(t):
     return coverage.uncovered_points(_samples(t), "candidate_index").select("candidate_index", "ordinal")
 
 
+AREA = BBox(16.0, 50.0, 16.024, 50.018)
+_CANDIDATES = PROBE[PROBE.index("cand AS ("):PROBE.index("b AS (SELECT candidate_index")]
+PROBE_AREA = PROBE.replace(_CANDIDATES, f"""cand AS (SELECT 0 AS candidate_index, CAST({AREA.min_lat} AS DOUBLE) AS bbox_min_lat, CAST({AREA.min_lon} AS DOUBLE) AS bbox_min_lon,
+      CAST({AREA.max_lat} AS DOUBLE) AS bbox_max_lat, CAST({AREA.max_lon} AS DOUBLE) AS bbox_max_lon),
+    """)
+
+
+@query("probe_area", ["fx_points", "fx_parcels"], PROBE_AREA + """
+    SELECT 'area' AS area_id, count(*) AS processed_points, count(*) FILTER (WHERE outcome = 'uncovered') AS uncovered,
+      count(*) FILTER (WHERE outcome = 'found') + count(DISTINCT CASE WHEN outcome = 'rejected' THEN parcel_id END) AS skipped_existing,
+      CAST(0 AS BIGINT) AS out_of_scope, count(DISTINCT CASE WHEN outcome = 'rejected' THEN parcel_id END) AS rejected,
+      count(*) FILTER (WHERE outcome = 'rejected') - count(DISTINCT CASE WHEN outcome = 'rejected' THEN parcel_id END) AS skipped_rejected_polygon,
+      count(DISTINCT CASE WHEN outcome = 'found' THEN parcel_id END) AS found_parcels
+    FROM sam WHERE uncovered_before < 500""")
+def _(t):
+    """One area sampled within a budget of 500 uncovered points."""
+    return analyses.probe_area(t.spark, AREA, 60.0, t("fx_parcels"), t("fx_points"), 500, gates={"min_area_m2": 1000.0})[1]
+
+
 LINK = PROBE + """,
     looks AS (SELECT candidate_index, count(*) FILTER (WHERE uncovered_before < 1 AND outcome = 'uncovered') AS u, count(*) FILTER (WHERE uncovered_before < 1 AND outcome = 'found') AS f FROM sam GROUP BY candidate_index),
     st AS (SELECT candidate_index, CASE WHEN u > 0 AND f = 0 THEN 'empty' ELSE 'probed' END AS status FROM looks),
