@@ -9,7 +9,7 @@ from acremark.functions.geo import METRES_PER_DEGREE, metres_per_lon_degree
 from acremark.functions.text import commune_matches
 from acremark.operators.filters import BOUNDS, rejection_reason
 from acremark.operators.geometry import points_in_polygons
-from acremark.operators.ordering import sums_before
+from acremark.operators.ordering import numbered, sums_before
 from acremark.operators.spatial import keys_touching, points_in_boxes
 from acremark.session import cut_lineage
 
@@ -142,9 +142,9 @@ def uncovered_points(samples: DataFrame, key: str) -> DataFrame:
     return samples.where("outcome = 'uncovered'").select(key, "ordinal", "lon", "lat")
 
 
-def parcels_in_boxes(parcels: DataFrame, boxes: DataFrame, order: str, limit: int,
+def parcels_in_boxes(parcels: DataFrame, boxes: DataFrame, order: str, limit: int | None = None,
                      expected_commune: str | None = None, strict: bool = False) -> DataFrame:
-    """Parcels whose centroid lies in any box, each taken by the first box in order; ``limit`` in all."""
+    """Parcels whose centroid lies in any box, each taken by the first box in order; ``limit`` in all, or every one."""
     from acremark.operators.filters import commune_is
 
     scoped = parcels.where(commune_is(F.col("commune"), expected_commune, strict))
@@ -154,6 +154,8 @@ def parcels_in_boxes(parcels: DataFrame, boxes: DataFrame, order: str, limit: in
     pairs = points_in_boxes(located, frames, "centroid_lon", "centroid_lat",
                             ("c_min_lon", "c_min_lat", "c_max_lon", "c_max_lat"))
     firsts = pairs.groupBy("parcel_id").agg(F.min(order).alias(order))
+    if limit is None:
+        return numbered(firsts, [F.col(order), F.col("parcel_id")], "ordinal").join(scoped, "parcel_id")
     taken = firsts.orderBy(order, "parcel_id").limit(limit)
     ordinal = F.row_number().over(Window.orderBy(order, "parcel_id"))  # at most ``limit`` rows
     return taken.withColumn("ordinal", ordinal).join(scoped, "parcel_id")

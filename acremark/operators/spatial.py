@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acremark.session import cut_lineage
+
 BASE_DEGREES = 1e-4  # smallest cell, about 10 m
 GROWTH = 4.0  # cell size ratio between neighbouring grids
 
@@ -173,6 +175,22 @@ def radius_join(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], rig
     )
 
 
+def neighbour_counts(points: DataFrame, xy: tuple[str, str], radius: float, within: list[str]) -> DataFrame:
+    """(``within``, x, y, ``here``, ``others``, ``nearest``) of each position of points: how many points lie there, how many other points at most
+    ``radius`` apart, and the distance of the nearest other position among them.
+
+    Points at one position are one row with a count before anything meets, so a spot with any number of them costs one row.
+    """
+    x, y = xy
+    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*within, x, y).agg(F.count("*").alias("here"))
+    spots = cut_lineage(spots)
+    others = spots.select(*[F.col(c).alias(f"_{c}") for c in within], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("here").alias("_there"))
+    met = radius_join(spots, others, xy, ("_x", "_y"), radius, [(c, f"_{c}") for c in within])
+    apart = (F.col(x) != F.col("_x")) | (F.col(y) != F.col("_y"))
+    return met.groupBy(*within, x, y, "here").agg(
+        (F.sum("_there") - 1).alias("others"), F.min(F.when(apart, F.col("distance"))).alias("nearest"))
+
+
 def interval_locate(points: DataFrame, segments: DataFrame, at: str, start: str, end: str,
                     step: float) -> DataFrame:
     """Segment with ``start < at <= end`` for every position; both sides meet in blocks of ``step``."""

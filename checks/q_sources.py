@@ -212,8 +212,11 @@ def _(t):
                                     text.list_key(F.col("run_id"), F.array("artifact_type", "artifact_key"), F.col("producer")).alias("list_key"))
 
 
-@query("record_keys", ["fx_price_text"], "SELECT gml_id AS k, count(*) AS n, false AS digested FROM fx_price_text WHERE property_price <> 'n/a' GROUP BY 1")
+@query("record_keys", ["fx_price_text"], """
+    SELECT CASE WHEN property_price <> 'n/a' THEN gml_id ELSE sha256('{"parcel_id":"' || parcel_id || '","transaction_date":"' || transaction_date || '"}') END AS k,
+      count(*) AS n, bool_or(property_price = 'n/a') AS digested FROM fx_price_text GROUP BY 1""")
 def _(t):
-    rows = t("fx_price_text").where("property_price <> 'n/a'")
-    key = text.record_key(F.col("gml_id"), F.col("parcel_id"), F.col("transaction_date"))
-    return rows.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.max(F.length("k") == 64).alias("digested"))
+    """Own ids, and digests of the fields of the records that are given none here."""
+    own = F.when(F.col("property_price") == "n/a", "").otherwise(F.col("gml_id"))
+    key = text.record_key(own, F.col("parcel_id"), F.col("transaction_date"))
+    return t("fx_price_text").select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.max(F.length("k") == 64).alias("digested"))

@@ -189,15 +189,16 @@ def _(t):
 
 
 @query("centroids_in_hotspot_boxes", ["fx_parcels", "fx_cells"], """
-    WITH boxes AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell_id) AS pos FROM fx_cells WHERE run_id = 'r1' AND category = 'amenity_cafe'),
+    WITH boxes AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell_id) AS pos FROM (SELECT * FROM fx_cells WHERE run_id = 'r1'
+      QUALIFY row_number() OVER (PARTITION BY bbox_min_lat, bbox_min_lon, bbox_max_lat, bbox_max_lon ORDER BY score DESC, cell_id) = 1) c),
     pairs AS (SELECT p.parcel_id, min(b.pos) AS pos FROM fx_parcels p JOIN boxes b
       ON p.centroid_lat BETWEEN b.bbox_min_lat AND b.bbox_max_lat AND p.centroid_lon BETWEEN b.bbox_min_lon AND b.bbox_max_lon GROUP BY p.parcel_id)
-    SELECT parcel_id, pos, row_number() OVER (ORDER BY pos, parcel_id) AS ordinal FROM pairs ORDER BY pos, parcel_id LIMIT 500""")
+    SELECT parcel_id, pos, row_number() OVER (ORDER BY pos, parcel_id) AS ordinal FROM pairs""")
 def _(t):
     from acremark.operators.ranking import ranked_candidates
 
-    boxes = ranked_candidates(t("fx_cells").where("category = 'amenity_cafe'"), "r1", 400).withColumnRenamed("candidate_index", "pos")
-    return coverage.parcels_in_boxes(t("fx_parcels"), boxes, "pos", 500).select(
+    boxes = ranked_candidates(t("fx_cells"), "r1").withColumnRenamed("candidate_index", "pos")
+    return coverage.parcels_in_boxes(t("fx_parcels"), boxes, "pos").select(
         "parcel_id", F.col("pos").cast("long").alias("pos"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -218,27 +219,28 @@ def _(t):
 
 @query("radius_neighbours", ["fx_osm"], """
     WITH spots AS (SELECT osm_type, osm_id, tag_value, center_lon * CAST(111320 AS DOUBLE) * cos(radians(CAST(50.055 AS DOUBLE))) AS x, center_lat * CAST(111320 AS DOUBLE) AS y FROM fx_osm)
-    SELECT a.osm_type, a.osm_id, count(*) AS schools, round(min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))), 3) AS nearest_m
-    FROM spots a JOIN spots b ON a.tag_value = 'cafe' AND b.tag_value = 'school' AND a.x BETWEEN b.x - 150 AND b.x + 150 AND a.y BETWEEN b.y - 150 AND b.y + 150
+    SELECT a.osm_type, a.osm_id, count(*) - 1 AS others, round(min(CASE WHEN a.x <> b.x OR a.y <> b.y THEN sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) END), 3) AS nearest_m
+    FROM spots a JOIN spots b ON a.tag_value = b.tag_value AND a.x BETWEEN b.x - 150 AND b.x + 150 AND a.y BETWEEN b.y - 150 AND b.y + 150
     WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 150 GROUP BY a.osm_type, a.osm_id""")
 def _(t):
+    """All features: how many others of their kind lie within 150 m, and how near the nearest is."""
     spots = t("fx_osm").select(
         "osm_type", "osm_id", "tag_value", (F.col("center_lon") * geo.metres_per_lon_degree(50.055)).alias("x"),
         (F.col("center_lat") * geo.METRES_PER_DEGREE).alias("y"))
-    schools = spots.where("tag_value = 'school'").select(F.col("x").alias("sx"), F.col("y").alias("sy"))
-    near = spatial.radius_join(spots.where("tag_value = 'cafe'"), schools, ("x", "y"), ("sx", "sy"), 150.0)
-    return near.groupBy("osm_type", "osm_id").agg(F.count("*").alias("schools"), F.round(F.min("distance"), 3).alias("nearest_m"))
+    near = spatial.neighbour_counts(spots, ("x", "y"), 150.0, ["tag_value"])
+    return spots.join(near, ["tag_value", "x", "y"]).select("osm_type", "osm_id", "others", F.round("nearest", 3).alias("nearest_m"))
 
 
 @query("overlapping_box_pairs", ["fx_osm"], """
     WITH b AS (SELECT osm_id, tag_value, bbox_min_lat - CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS s, bbox_max_lat + CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS n,
-        bbox_min_lon - CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS w, bbox_max_lon + CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS e FROM fx_osm WHERE osm_type = 'way')
+        bbox_min_lon - CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS w, bbox_max_lon + CAST(osm_id % 5 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS e FROM fx_osm WHERE bbox_min_lat IS NOT NULL)
     SELECT least(p.osm_id, q.osm_id) AS first_id, greatest(p.osm_id, q.osm_id) AS second_id,
       round((least(p.n, q.n) - greatest(p.s, q.s)) * CAST(111320 AS DOUBLE) * (least(p.e, q.e) - greatest(p.w, q.w)) * CAST(111320 AS DOUBLE) * cos(radians((least(p.n, q.n) + greatest(p.s, q.s)) / CAST(2 AS DOUBLE))), 1) AS shared_m2
-    FROM b p JOIN b q ON p.osm_id < q.osm_id AND p.tag_value = q.tag_value AND p.n > q.s AND p.s < q.n AND p.e > q.w AND p.w < q.e""")
+    FROM b p JOIN b q ON p.osm_id < q.osm_id AND p.tag_value = q.tag_value AND p.n > q.s AND p.s < q.n AND p.e > q.w AND p.w < q.e
+    WHERE least(p.n, q.n) > greatest(p.s, q.s) AND least(p.e, q.e) > greatest(p.w, q.w)""")
 def _(t):
     grow = F.col("osm_id") % 5 * F.lit(0.0003)
-    boxes = t("fx_osm").where("osm_type = 'way'").select(
+    boxes = t("fx_osm").where("bbox_min_lat IS NOT NULL").select(
         "osm_id", "tag_value", (F.col("bbox_min_lat") - grow).alias("min_lat"), (F.col("bbox_max_lat") + grow).alias("max_lat"),
         (F.col("bbox_min_lon") - grow).alias("min_lon"), (F.col("bbox_max_lon") + grow).alias("max_lon"))
     pairs = spatial.overlapping_boxes(boxes, "osm_id", ("min_lon", "min_lat", "max_lon", "max_lat"), ["tag_value"])
@@ -341,12 +343,11 @@ def _(t):
     WITH b AS (SELECT cell_id, bbox_min_lat AS s, bbox_min_lon AS w, bbox_max_lat AS n, bbox_max_lon AS e,
         greatest(1, CAST(ceil((bbox_max_lat - bbox_min_lat) / (CAST(200 AS DOUBLE) / CAST(111320 AS DOUBLE))) AS BIGINT)) AS r,
         greatest(1, CAST(ceil((bbox_max_lon - bbox_min_lon) / (CAST(200 AS DOUBLE) / (CAST(111320 AS DOUBLE) * cos(radians((bbox_min_lat + bbox_max_lat) / CAST(2 AS DOUBLE)))))) AS BIGINT)) AS c
-      FROM fx_cells WHERE run_id = 'r0' AND category = 'tourism_viewpoint'),
+      FROM fx_cells),
     rr AS (SELECT b.*, unnest(range(r)) AS i FROM b), cc AS (SELECT rr.*, unnest(range(c)) AS j FROM rr)
     SELECT cell_id, CAST(i * c + j + 1 AS BIGINT) AS ordinal, round(s + (i + 0.5) * (n - s) / r, 8) AS lat, round(w + (j + 0.5) * (e - w) / c, 8) AS lon FROM cc""")
 def _(t):
-    boxes = t("fx_cells").where("run_id = 'r0' AND category = 'tourism_viewpoint'")
-    return coverage.sampling_lattice(boxes, 200.0, "cell_id").select(
+    return coverage.sampling_lattice(t("fx_cells"), 200.0, "cell_id").select(
         "cell_id", "ordinal", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
