@@ -200,7 +200,8 @@ def _(t):
     return rows.select("doc_id", text.repair_mojibake(F.col("bad")).alias("text"))
 
 
-@query("name_normalisation", ["documents"])
+@query("name_normalisation", [], r"""
+    SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss'), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+', ' ', 'g')) AS name FROM documents""")
 def _(t):
     return t("documents").select("doc_id", text.normalized_name(F.col("text")).alias("name"))
 
