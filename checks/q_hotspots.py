@@ -168,9 +168,31 @@ def _(t):
     return cells.select("id", "category", "point_count", F.round("score", 5).alias("score"), F.round("norm", 7).alias("norm"))
 
 
-@query("radius_thinning", ["fx_osm"])
+def thinned(radius: float, rounds: int = 16) -> str:
+    """SQL of the points that stay when they are gone through in order: in each round those that no open earlier point is near to.
+
+    The last round must leave none open, else the text raises.
+    """
+    parts = [MATCHES.strip(), f"""
+    spot AS MATERIALIZED (SELECT row_number() OVER (ORDER BY category, osm_type, osm_id) AS id, category, osm_type, osm_id, center_lat, center_lon,
+        center_lon * (CAST(111320 AS DOUBLE) * cos(radians(CAST({AREA.mid_lat} AS DOUBLE)))) AS x, center_lat * CAST(111320 AS DOUBLE) AS y FROM matches
+      WHERE center_lat IS NOT NULL AND center_lon IS NOT NULL),
+    near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM spot a JOIN spot b ON a.category = b.category AND a.id < b.id
+      AND b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius} AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {radius}),
+    o0 AS MATERIALIZED (SELECT id FROM spot)"""]
+    for r in range(rounds):
+        parts.append(f"""
+    k{r} AS MATERIALIZED (SELECT id FROM o{r} WHERE id NOT IN (SELECT n.b FROM near n JOIN o{r} e ON e.id = n.a)),
+    o{r + 1} AS MATERIALIZED (SELECT id FROM o{r} WHERE id NOT IN (SELECT id FROM k{r}) AND id NOT IN (SELECT n.b FROM near n JOIN k{r} k ON k.id = n.a))""")
+    kept = " UNION ALL ".join(f"SELECT id FROM k{r}" for r in range(rounds))
+    parts.append(f"""
+    kept AS (SELECT spot.* FROM spot JOIN ({kept}) u ON u.id = spot.id
+      WHERE CASE WHEN (SELECT count(*) FROM o{rounds}) > 0 THEN error('points are still open') ELSE true END)""")
+    return "WITH " + ",".join(parts)
+
+
+@query("radius_thinning", ["fx_osm"], thinned(120.0) + " SELECT osm_type, osm_id, category FROM kept")
 def _(t):
-    """No SQL: the outcome depends on going through the points in order. Tested against such a loop."""
     return hotspots.thin_by_radius(_matched(t), ["osm_type", "osm_id"], ["category"], 120.0, AREA.mid_lat, "center_lat", "center_lon").select(
         "osm_type", "osm_id", "category")
 
@@ -182,8 +204,12 @@ def _(t):
         "id", "category", "point_count", "score", "norm")
 
 
-@query("quadtree_category_stats", ["fx_osm"])
+@query("quadtree_category_stats", ["fx_osm"], thinned(25.0) + f""",
+    inside AS (SELECT *, center_lat BETWEEN {AREA.min_lat} AND {AREA.max_lat} AND center_lon BETWEEN {AREA.min_lon} AND {AREA.max_lon} AS ok FROM spot)
+    SELECT category, count(*) AS stored_matching_points, count(*) FILTER (WHERE ok) AS in_bbox_points, count(*) FILTER (WHERE NOT ok) AS outside_bbox_points,
+      (SELECT count(*) FROM kept WHERE kept.category = inside.category) AS deduped_points FROM inside GROUP BY category""")
 def _(t):
+    """All features lie in the area, so thinning them all and thinning those inside is the same."""
     return analyses.quadtree_points(t("fx_osm"), AREA, TYPES)[1]
 
 
@@ -274,10 +300,10 @@ def _(t):
     return coverage.uncovered_points(_samples(t), "candidate_index").select("candidate_index", "ordinal")
 
 
-AREA = BBox(16.0, 50.0, 16.024, 50.018)
+PROBE_BOX = BBox(16.0, 50.0, 16.024, 50.018)
 _CANDIDATES = PROBE[PROBE.index("cand AS ("):PROBE.index("b AS (SELECT candidate_index")]
-PROBE_AREA = PROBE.replace(_CANDIDATES, f"""cand AS (SELECT 0 AS candidate_index, CAST({AREA.min_lat} AS DOUBLE) AS bbox_min_lat, CAST({AREA.min_lon} AS DOUBLE) AS bbox_min_lon,
-      CAST({AREA.max_lat} AS DOUBLE) AS bbox_max_lat, CAST({AREA.max_lon} AS DOUBLE) AS bbox_max_lon),
+PROBE_AREA = PROBE.replace(_CANDIDATES, f"""cand AS (SELECT 0 AS candidate_index, CAST({PROBE_BOX.min_lat} AS DOUBLE) AS bbox_min_lat, CAST({PROBE_BOX.min_lon} AS DOUBLE) AS bbox_min_lon,
+      CAST({PROBE_BOX.max_lat} AS DOUBLE) AS bbox_max_lat, CAST({PROBE_BOX.max_lon} AS DOUBLE) AS bbox_max_lon),
     """)
 
 
@@ -290,7 +316,7 @@ PROBE_AREA = PROBE.replace(_CANDIDATES, f"""cand AS (SELECT 0 AS candidate_index
     FROM sam WHERE uncovered_before < 500""")
 def _(t):
     """One area sampled within a budget of 500 uncovered points."""
-    return analyses.probe_area(t.spark, AREA, 60.0, t("fx_parcels"), t("fx_points"), 500, gates={"min_area_m2": 1000.0})[1]
+    return analyses.probe_area(t.spark, PROBE_BOX, 60.0, t("fx_parcels"), t("fx_points"), 500, gates={"min_area_m2": 1000.0})[1]
 
 
 LINK = PROBE + """,
