@@ -77,10 +77,17 @@ class Sample:
         """From the buckets of all rows, one row after the other, and their number in each row."""
         known, n = np.unique(items, return_counts=True)
         kept = known[n >= LEAST_ROWS]
-        place = np.searchsorted(kept, items).astype(np.int32)
-        held = kept[np.minimum(place, len(kept) - 1)] == items if len(kept) else np.zeros(len(items), bool)
-        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[held]
-        return Sample(kept, place[held], np.searchsorted(row, np.arange(len(sizes) + 1)), labels)
+        flat, row, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+        ends = np.cumsum(sizes)
+        while at < len(items):  # a part at a time, as the driver's memory is small
+            part = items[at : at + (1 << 19)]
+            place = np.minimum(np.searchsorted(kept, part), max(len(kept) - 1, 0)).astype(np.int32)
+            held = kept[place] == part if len(kept) else np.zeros(len(part), bool)
+            flat.append(place[held])
+            row.append(np.searchsorted(ends, at + np.flatnonzero(held), side="right").astype(np.int32))
+            at += len(part)
+        start = np.searchsorted(np.concatenate(row), np.arange(len(sizes) + 1))
+        return Sample(kept, np.concatenate(flat), start, labels)
 
     def dependence(self) -> np.ndarray:
         """Chi-square of each kept bucket and the label."""
@@ -166,8 +173,11 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))))
 
 
-def fit(sample: Sample, paired: np.ndarray, factors: int = FACTORS, epochs: int = 20, batch: int = 256, rate: float = 0.2, seed: int = 7) -> Machine:
-    """Logistic factorization machine over all buckets of the sample, by adaptive gradient steps.
+def fit(sample: Sample, paired: np.ndarray, factors: int = FACTORS, epochs: int = 20, batch: int = 256, rate: float = 0.2, seed: int = 7,
+        order: np.ndarray | None = None) -> Machine:
+    """Logistic factorization machine over all buckets of the sample, by adaptive gradient steps over its rows in a seeded order.
+
+    With ``order`` the seed shuffles the rows in that order, so that the result does not depend on how they came in.
 
     Every bucket has a weight and a vector. The less a bucket and the label depend on each other, the more both decay, so that
     few words are learned by heart; vectors of ``paired`` places hardly decay.
@@ -178,13 +188,14 @@ def fit(sample: Sample, paired: np.ndarray, factors: int = FACTORS, epochs: int
     model = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors)))
     if not len(kept):
         return model
+    order = np.arange(len(labels)) if order is None else order
     decay_w = 1e-4 + 0.1 / (1 + sample.dependence() ** 2)
     decay_v = decay_w.copy()
     decay_v[paired] = 1e-4
     model.vectors[paired] *= 2
     grad_w, grad_v, grad_b = np.full(len(kept), 1e-6), np.full(model.vectors.shape, 1e-6), 1e-6
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch, min(len(labels) // 32, 8))):
+        for rows in np.array_split(order[rng.permutation(len(labels))], max(1, len(labels) // batch, min(len(labels) // 32, 8))):
             n = sample.start[rows + 1] - sample.start[rows]
             row = np.repeat(np.arange(len(rows)), n)
             at = sample.flat[np.arange(n.sum()) + np.repeat(sample.start[rows] - np.cumsum(n) + n, n)]
@@ -227,10 +238,14 @@ def train(analyses: DataFrame, labels: DataFrame, learn: Column, analysis_id: st
         text, F.col(label).alias("label"), F.xxhash64(F.col(analysis_id).cast("string"), F.lit(seed)).alias("place"))
     got = rows.mapInArrow(run, "items array<int>, label int, place bigint").toArrow()
     order = np.argsort(got["place"].to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
     sizes = pc.list_value_length(got["items"]).to_numpy().astype(np.int64)
-    sample = Sample.of(pc.list_flatten(got["items"]).to_numpy(), sizes, got["label"].to_numpy().astype(np.float64))
-    machine = fit(sample, pair_buckets(analyses.sparkSession, sample), seed=seed)
+    items = np.concatenate([np.zeros(0, np.int32), *[part.flatten().to_numpy() for part in got["items"].chunks]])
+    is_one = got["label"].to_numpy().astype(np.float64)
+    del got
+    sample = Sample.of(items, sizes, is_one)
+    del items
+    machine = fit(sample, pair_buckets(analyses.sparkSession, sample), seed=seed, order=order)
+    pa.default_memory_pool().release_unused()
     if not len(sizes):
         machine.bias = -40.0
         return machine
