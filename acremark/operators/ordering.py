@@ -73,15 +73,15 @@ def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
     return dealt.join(F.broadcast(first), "_block").withColumn(name, F.col("_first") + inside).drop("_block", "_first")
 
 
-#: A bin with at most so many distinct values is ranked as it is; bins of a round.
-_RANKED, _BINS = 2048, 1024
+#: Bins of a round after the first.
+_BINS = 1024
 
 
-def exact_median(frame: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def exact_median(frame: DataFrame, keys: list[str], value: str, name: str, ranked: int = 2048) -> DataFrame:
     """Exact median per key, nulls left out, without holding a key's values in one place.
 
     Equal values are counted first. Histograms of all keys at once then find the bin with the middle, bins of that bin, and so on
-    until it holds few values, which are ranked. The first bins are the same for all keys and later ones meet on key and
+    until it holds at most ``ranked`` values, which are ranked. The first bins are the same for all keys and later ones meet on key and
     bin, so nothing is joined or ranked on a key alone.
     """
     own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
@@ -103,14 +103,14 @@ def exact_median(frame: DataFrame, keys: list[str], value: str, name: str) -> Da
         chosen = bins.where((F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
         chosen = cut_lineage(chosen.select(*by, "_which", "_bin", "_half", (F.col("_rank") - F.col("_from")).alias("_rank"), "_kinds", "_lo", "_hi"))
         part = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * _BINS)
-        inner = F.when(F.col("_kinds") <= _RANKED, 0).otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(_BINS - 1)))
+        inner = F.when(F.col("_kinds") <= ranked, 0).otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(_BINS - 1)))
         near = rows.join(chosen, [*by, "_which", "_bin"]).select(*by, F.col("_half").alias("_which"), inner.cast("long").alias("_bin"), "_v", "_n")
-        if chosen.where(F.col("_kinds") > _RANKED).isEmpty():
+        if chosen.where(F.col("_kinds") > ranked).isEmpty():
             break
         ranks = chosen.select(*by, F.col("_half").alias("_which"), "_rank")
         rows = cut_lineage(near)
     w = Window.partitionBy(*by, "_which").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = near.withColumn("_upto", F.sum("_n").over(w)).join(chosen.select(*by, F.col("_half").alias("_which"), "_rank"), [*by, "_which"])
-    values = ranked.where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    placed = near.withColumn("_upto", F.sum("_n").over(w)).join(chosen.select(*by, F.col("_half").alias("_which"), "_rank"), [*by, "_which"])
+    values = placed.where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
     found = values.groupBy(*by).agg((F.sum("_v") / F.count("*")).alias(name))
     return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], name)

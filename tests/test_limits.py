@@ -119,7 +119,7 @@ def test_a_rejected_outline_wins_over_a_later_first_parcel(spark):
         assert marked
 
 
-def test_exact_medians_of_skewed_keys(spark, monkeypatch):
+def test_exact_medians_of_skewed_keys(spark):
     import random
     import statistics
 
@@ -127,7 +127,6 @@ def test_exact_medians_of_skewed_keys(spark, monkeypatch):
 
     from acremark.operators import ordering
 
-    monkeypatch.setattr(ordering, "_RANKED", 20)
     rng = random.Random(3)
     rows = [("hot", rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-3, 7)) for _ in range(5000)]
     rows += [("hot", 12.5)] * 800 + [("even", 1.0), ("even", 4.0), ("one", -3.25), ("none", None), (None, 2.0), (None, 4.0), (None, 9.0)]
@@ -137,10 +136,10 @@ def test_exact_medians_of_skewed_keys(spark, monkeypatch):
         if v is not None:
             want.setdefault(k, []).append(v)
     frame = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.m for r in ordering.exact_median(frame.where("k IS NOT NULL"), ["k"], "v", "m").collect()}
+    got = {r.k: r.m for r in ordering.exact_median(frame.where("k IS NOT NULL"), ["k"], "v", "m", 20).collect()}
     assert got == {k: statistics.median(v) for k, v in want.items() if k is not None}
-    assert ordering.exact_median(frame, [], "v", "m").first().m == statistics.median([v for _, v in rows if v is not None])
-    plan = ordering.exact_median(frame, ["k"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert ordering.exact_median(frame, [], "v", "m", 20).first().m == statistics.median([v for _, v in rows if v is not None])
+    plan = ordering.exact_median(frame, ["k"], "v", "m", 20)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     numbers = ordering.numbered(frame.where("v IS NOT NULL"), [F.desc("v"), F.col("k")], "n").orderBy("n").collect()
     assert [r.n for r in numbers] == list(range(1, len(numbers) + 1)) and [r.v for r in numbers] == sorted((r.v for r in numbers), reverse=True)
