@@ -401,7 +401,7 @@ def test_more_text_gives_more_contexts(spark):
         counts = ppm.token_counts(spark.createDataFrame(rows, "id long, description string"), F.lit(True))
         rated = counts.selectExpr("token", "0.0D AS base", "1L AS known", "-1.0D AS model", "n_train", "n_all")
         texts = spark.createDataFrame([(t,) for _, t in rows], "description string")
-        pairs = {r.pair: r.n for r in ppm.pair_counts(texts, ppm.held_words(rated)).collect()}
+        pairs = {r.pair: r.n for r in ppm.pair_counts(texts, ppm.held_words(rated)).collect()}  # all words are in memory
         assert pairs["quartz zebra"] == 8 and pairs[" quartz"] == 8 and "zebra 1" not in pairs
         key = 4 << 48 | int.from_bytes(b"artz", "big")
         assert ppm.train(counts).where(f"shiftright(key, 8) = {key}").count() == 1
