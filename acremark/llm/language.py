@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from acremark.llm.common import row_slices
+from acremark.llm.common import row_slices, stored
 
 UNDETERMINED = "und"
 #: Learned rows of each language and landmarks in all, at most.
 SAMPLE, LANDMARKS = 400, 192
+#: Up to this many languages their counts are broadcast.
+BROADCAST_LANGUAGES = 100_000
 _LENGTHS = (1, 2, 3)
 _POINT = np.uint64(21)
 
@@ -132,7 +134,8 @@ def train(features: DataFrame, learn: Column, feature_id: str = "osm_id", text:
     known = features.where(learn & F.col(language).isNotNull() & F.col(text).isNotNull() & F.col(feature_id).isNotNull())
     chosen = known.select(F.col(language).alias("language"), order[0].alias("_o"), F.col(feature_id).alias("_id"))
     share = F.lit(1.2 * most + 200) / F.col("_n")
-    chosen = chosen.join(known.groupBy(F.col(language).alias("language")).agg(F.count("*").alias("_n")), "language")
+    counts = stored(known.groupBy(F.col(language).alias("language")).agg(F.count("*").alias("_n")), "languages")
+    chosen = chosen.join(F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts, "language")
     chosen = chosen.where(F.shiftrightunsigned("_o", 11) / F.lit(2.0**53) <= share)
     chosen = chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("_id").distinct()
     rows = known.join(F.broadcast(chosen), known[feature_id] == chosen["_id"], "left_semi")
